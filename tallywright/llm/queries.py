@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallywright.llm.names import variants
 from tallywright.llm.packing import pack
+from tallywright.llm.persons import people
 from tallywright.llm.tokens import encode
 from tallywright.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    student, person = table(spark, sf_dir, "student"), table(spark, sf_dir, "spriden")
+    records = people(student, 0, F.col("id"), "firstname", "middlenames", "lastname", "dateofbirth", "email", None).unionByName(
+        people(person, 1, F.col("spriden_pidm"), "spriden_first_name", "spriden_mi", "spriden_last_name", "spriden_birth_date", "email", "postcode")
+    )
+    names = F.when(F.col("source") == 0, F.lit("student")).otherwise(F.lit("spriden"))
+    return variants(records).select(names.alias("source_table"), "key_1", "key_2")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
@@ -17,5 +29,5 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(encode(table(spark, sf_dir, "documents"), lengths_only=True), "doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_containers)}
+QUERIES = {f.__name__: f for f in (p3_found, p8_ids, p9_containers)}
 SQL: dict[str, str] = {}
