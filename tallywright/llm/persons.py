@@ -25,7 +25,7 @@ TITLES = frozenset("mr mrs ms miss mx dr prof professor sir dame rev".split())
 SUFFIXES = frozenset("jr snr sr jnr ii iii iv bsc ba ma msc phd mba meng beng esq intl deceased".split())
 PARTICLES = frozenset("o al el di de da du la le del van von der den st san santa mac mc ap ab bin ibn".split())
 SHORT_FORMS = """
-abigail abby gail; aleksandra ola; alexander alex sandy; alexandra alex sandra; andrew andy drew; anthony tony; benjamin ben benji;
+abigail abby gail; aleksandra ola; alexander alex sandy xander; alexandra alex sandra; andrew andy drew; anthony tony; benjamin ben benji;
 caroline caro carrie; catherine cathy kate katie; charles charlie chas chuck; charlotte charlie lottie; christina chris tina; christopher chris kit;
 daniel dan danny; david dave davy; deborah deb debbie; dorothy dolly dot; edward eddie ned ted; eleanor ella ellie nell nora;
 elizabeth beth betty eliza libby liz lizzie; emmanuel manny; florence flo florrie; francesca fran frankie; frederick fred freddie;
@@ -143,7 +143,8 @@ def monge_elkan(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return sum(max(part_alike(x, y) for y in b) for x in a) / len(a)
 
 
-LIKE = 0.7
+#: From this likeness on parts answer to each other; from the second on without doubt.
+LIKE, CLOSE = 0.58, 0.78
 
 
 def birth_date(c: Column) -> Column:
@@ -275,20 +276,19 @@ class Batch:
             return 0.0, 0.0, False
         table = self.known.parts
         pairs = sorted(((part_alike(x, y), m, n) for m, x in enumerate(pa_) for n, y in enumerate(pb)), key=lambda p: (-p[0], p[1], p[2]))
-        used_a, used_b, bits, like = set(), set(), 0.0, []
+        used_a, used_b, bits = set(), set(), 0.0
         for s, m, n in pairs:
             if s < LIKE or m in used_a or n in used_b:
                 continue
             used_a.add(m)
             used_b.add(n)
-            like.append(s)
             rarity = min(table.get(pa_[m], MOST_BITS), table.get(pb[n], MOST_BITS))
             if s == 1.0 and len(pa_[m]) > 1:
                 bits += rarity
             elif len(pa_[m]) == 1 or len(pb[n]) == 1:
                 bits += 2.5
             else:
-                bits += min(rarity, 12.0) * 0.6
+                bits += min(rarity, 12.0) * (0.65 if s >= CLOSE else 0.4)
         left_a, left_b = len(pa_) - len(used_a), len(pb) - len(used_b)
         bits -= 4.5 * min(left_a, left_b)  # parts on both sides that answer to nothing
         first = lambda f: f[0][0] if f[0] else (f[1][0] if f[1] else (f[2][-1] if f[2] else ""))
