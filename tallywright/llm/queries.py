@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywright.llm.matching import match
 from tallywright.llm.names import variants
 from tallywright.llm.packing import pack
 from tallywright.llm.persons import people
@@ -12,6 +13,22 @@ from tallywright.llm.tokens import encode
 from tallywright.session import table
 
 
+def cross_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    banner, sits = table(spark, sf_dir, "spriden"), table(spark, sf_dir, "stu")
+    records = people(banner, 0, F.col("spriden_pidm"), "spriden_first_name", "spriden_mi", "spriden_last_name", "spriden_birth_date", "email", "postcode").unionByName(
+        people(sits, 1, F.col("stu_code"), "stu_fore", None, "stu_surn", "stu_dob", "email", "postcode")
+    )
+    return match(records)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_reference(spark, sf_dir).select(F.col("a").cast("bigint").alias("spriden_pidm"), F.col("b").alias("stu_code"))
+
+
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_reference(spark, sf_dir).select(F.col("a").cast("bigint").alias("spriden_pidm"), F.col("b").alias("stu_code"), F.round("confidence", 6).alias("confidence"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     student, person = table(spark, sf_dir, "student"), table(spark, sf_dir, "spriden")
     records = people(student, 0, F.col("id"), "firstname", "middlenames", "lastname", "dateofbirth", "email", None).unionByName(
@@ -29,5 +46,5 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(encode(table(spark, sf_dir, "documents"), lengths_only=True), "doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p8_ids, p9_containers)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p3_found, p8_ids, p9_containers)}
 SQL: dict[str, str] = {}
