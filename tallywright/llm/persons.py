@@ -43,6 +43,8 @@ RARE = 1 / 20_000
 #: Bits that a share of RARE gives; no value gives more.
 MOST_BITS = -np.log2(RARE)
 GRAM_BITS = 256
+#: Years that make a generation, and dates that stand for an unknown one.
+GENERATION, NO_DATES = 15, (19000101, 11111111, 99991231)
 
 _MARKS = {ord(a): b for a, b in zip("øłđðħıßæœþ", ["o", "l", "d", "d", "h", "i", "ss", "ae", "oe", "th"], strict=True)}
 _PREFIX = re.compile(r"\b(?:mc|mac|o')(?=[a-z]{4})")
@@ -128,6 +130,8 @@ def part_alike(a: str, b: str) -> float:
         return 0.95
     if min(len(a), len(b)) >= 3 and (a.startswith(b) or b.startswith(a)):
         return 0.9
+    if min(len(a), len(b)) >= 4 and (a.endswith(b) or b.endswith(a)):
+        return 0.85
     x = alike(a, b)
     if x < 0.75 and (fa or fb):  # a short form that was misspelt, or of a misspelt name
         x = max([x, *(alike(p, b) - 0.05 for p in fa or ()), *(alike(a, p) - 0.05 for p in fb or ())])
@@ -155,7 +159,8 @@ def birth_date(c: Column) -> Column:
     month_first = F.regexp_replace(s, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", "$2/$1/$3")
     dotted = F.regexp_replace(s, r"^(\d{4})\.(\d{1,2})\.(\d{1,2})$", "$1-$2-$3")
     d = F.coalesce(V.calendar_date(c), V.calendar_date(century), V.calendar_date(month_first), V.calendar_date(dotted))
-    return F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)
+    number = F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)
+    return F.when(~number.isin(*NO_DATES), number)
 
 
 def people(df: DataFrame, source: int, key: Column, first: str, middle: str | None, last: str, birth: str, email: str | None, postcode: str | None) -> DataFrame:
@@ -308,19 +313,21 @@ def share(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def weigh(batch: Batch, i: np.ndarray, j: np.ndarray, differs_email: float = -1.5, differs_post: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
     """The bits of all evidence for each pair, -inf where the records contradict each other, and the names' likeness.
 
-    Two different first names, as of twins, contradict unless the e-mail address, a rare one, is the same.
+    Two different first names contradict, as of twins, who share birth dates, homes and mailboxes; so
+    do birth years a generation apart, as of a parent of the same name.
     """
     dates = batch.dates(i, j)
     email = batch.contact("email", i, j, differs_email)
     other = dates + email + batch.contact("post", i, j, differs_post)
     total, like = np.full(len(i), -np.inf), np.zeros(len(i))
-    rare = min(12.0, np.log2(max(2, batch.known.n)) - 4)
+    a, b = batch.born[i], batch.born[j]
+    apart = (a != 0) & (b != 0) & (np.abs(a // 10000 - b // 10000) >= GENERATION)
     cache: dict[tuple[str, str], tuple[float, float, bool]] = {}
-    for n, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        pair = (batch.names[a], batch.names[b])
+    for n in np.flatnonzero(~apart).tolist():
+        pair = (batch.names[i[n]], batch.names[j[n]])
         if pair not in cache:
-            cache[pair] = batch.name_bits(a, b)
+            cache[pair] = batch.name_bits(int(i[n]), int(j[n]))
         bits, like[n], contradict = cache[pair]
-        if not contradict or email[n] > rare:
+        if not contradict:
             total[n] = other[n] + bits
     return total, like

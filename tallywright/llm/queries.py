@@ -9,6 +9,7 @@ from tallywright.llm.matching import match
 from tallywright.llm.names import variants
 from tallywright.llm.packing import pack
 from tallywright.llm.persons import people
+from tallywright.llm.reading import reading_bands
 from tallywright.llm.tokens import encode
 from tallywright.session import table
 
@@ -46,5 +47,9 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(encode(table(spark, sf_dir, "documents"), lengths_only=True), "doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p3_found, p8_ids, p9_containers)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_bands(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p3_found, p8_ids, p9_containers, p10_found)}
 SQL: dict[str, str] = {}
