@@ -172,7 +172,7 @@ def people(df: DataFrame, source: int, key: Column, first: str, middle: str | No
     text = lambda c: F.col(c) if c else F.lit(None).cast("string")
     packed = lambda c: F.lower(F.regexp_replace(text(c), r"(?U)\s", ""))
     hashed = lambda c: F.when(packed(c) != "", F.xxhash64(packed(c)))
-    raw = df.select(key.cast("string").alias("key"), text(first).alias("f"), text(middle).alias("m"), text(last).alias("l"), birth_date(F.col(birth)).alias("born"), hashed(email).alias("email"), hashed(postcode).alias("post")).where(F.col("key").isNotNull()).distinct()
+    raw = df.select(key.cast("string").alias("key"), text(first).alias("f"), text(middle).alias("m"), text(last).alias("l"), birth_date(F.col(birth)).alias("born"), hashed(email).alias("email"), hashed(postcode).alias("post")).where(F.col("key").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -280,27 +280,31 @@ class Batch:
         if not pa_ or not pb:
             return 0.0, 0.0, False
         table = self.known.parts
-        pairs = sorted(((part_alike(x, y), m, n) for m, x in enumerate(pa_) for n, y in enumerate(pb)), key=lambda p: (-p[0], p[1], p[2]))
+        alike_ = [[part_alike(x, y) for y in pb] for x in pa_]
+        rows, columns = [max(r) for r in alike_], [max(c) for c in zip(*alike_, strict=True)]
+        short = rows if len(rows) <= len(columns) else columns
+        like = sum(short) / len(short)
         used_a, used_b, bits = set(), set(), 0.0
+        pairs = sorted((-s, m, n) for m, r in enumerate(alike_) for n, s in enumerate(r) if s >= LIKE)
         for s, m, n in pairs:
-            if s < LIKE or m in used_a or n in used_b:
+            if m in used_a or n in used_b:
                 continue
             used_a.add(m)
             used_b.add(n)
             rarity = min(table.get(pa_[m], MOST_BITS), table.get(pb[n], MOST_BITS))
-            if s == 1.0 and len(pa_[m]) > 1:
-                bits += rarity
-            elif len(pa_[m]) == 1 or len(pb[n]) == 1:
+            if len(pa_[m]) == 1 or len(pb[n]) == 1:
                 bits += 2.5
+            elif s == -1.0:
+                bits += rarity
             else:
-                bits += min(rarity, 12.0) * (0.65 if s >= CLOSE else 0.4)
+                bits += min(rarity, 12.0) * (0.65 if -s >= CLOSE else 0.4)
         left_a, left_b = len(pa_) - len(used_a), len(pb) - len(used_b)
         bits -= 4.5 * min(left_a, left_b)  # parts on both sides that answer to nothing
         first = lambda f: f[0][0] if f[0] else (f[1][0] if f[1] else (f[2][-1] if f[2] else ""))
         fa, fb = first(self.fields[i]), first(self.fields[j])
         lost_a = pa_.index(fa) not in used_a if fa else False
         lost_b = pb.index(fb) not in used_b if fb else False
-        return bits, monge_elkan(pa_, pb), lost_a and lost_b
+        return bits, like, lost_a and lost_b
 
 
 def share(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
