@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from datetime import date
 
 import numpy as np
 import pyarrow as pa
@@ -151,16 +152,32 @@ def monge_elkan(a: tuple[str, ...], b: tuple[str, ...]) -> float:
 LIKE, CLOSE = 0.58, 0.78
 
 
-def birth_date(c: Column) -> Column:
-    """yyyymmdd as a number; null where no date can be read. Two-digit years are of the last hundred; of notations that start with the month the month goes first where day first is no date."""
-    s = F.upper(F.regexp_replace(c, r"(?U)\s+", ""))
-    short = F.regexp_replace(s, r"^(\d{1,2}-[A-Z]{3}-)([013-9]\d|2[0-5])$", "$1@$2")
-    century = F.regexp_replace(F.regexp_replace(short, r"@([012]\d)$", "20$1"), r"@(\d\d)$", "19$1")
-    month_first = F.regexp_replace(s, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", "$2/$1/$3")
-    dotted = F.regexp_replace(s, r"^(\d{4})\.(\d{1,2})\.(\d{1,2})$", "$1-$2-$3")
-    d = F.coalesce(V.calendar_date(c), V.calendar_date(century), V.calendar_date(month_first), V.calendar_date(dotted))
-    number = F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)
-    return F.when(~number.isin(*NO_DATES), number)
+_DATES = [re.compile(p) for p in (r"(\d{4})[-/.]?(\d{1,2})[-/.]?(\d{1,2})", r"(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4}|\d\d)", r"(\d{1,2})[- ]?([A-Z]{3})[A-Z]*[- ]?(\d{4}|\d\d)")]
+
+
+@_memo(200_000)
+def birth_date(text: str) -> int:
+    """yyyymmdd as a number, 0 where no date can be read.
+
+    Reads the year, month and day with any marks between, with or without a time; day, month (number
+    or name) and year; and with the month first where day first is no date. Two-digit years are of
+    the last hundred. Dates that stand for an unknown one are none.
+    """
+    s = re.sub(r"[T ]\d\d?:[\d:.]*Z?$", "", text.strip().upper())
+    for n, pattern in enumerate(_DATES):
+        if (m := pattern.fullmatch(s)) is None:
+            continue
+        y, mo, d = m.groups() if n == 0 else reversed(m.groups())
+        y = int(y) + (0 if len(y) == 4 else 2000 if int(y) <= 25 else 1900)
+        mo = V.MONTHS.index(mo) + 1 if mo in V.MONTHS else int(mo) if mo.isdigit() else 0
+        for month, day in ((mo, int(d)), (int(d), mo)) if n == 1 else ((mo, int(d)),):
+            try:
+                date(y, month, day)
+            except ValueError:
+                continue
+            number = y * 10000 + month * 100 + day
+            return 0 if number in NO_DATES else number
+    return 0
 
 
 def people(df: DataFrame, source: int, key: Column, first: str, middle: str | None, last: str, birth: str, email: str | None, postcode: str | None) -> DataFrame:
@@ -172,12 +189,13 @@ def people(df: DataFrame, source: int, key: Column, first: str, middle: str | No
     text = lambda c: F.col(c) if c else F.lit(None).cast("string")
     packed = lambda c: F.lower(F.regexp_replace(text(c), r"(?U)\s", ""))
     hashed = lambda c: F.when(packed(c) != "", F.xxhash64(packed(c)))
-    raw = df.select(key.cast("string").alias("key"), text(first).alias("f"), text(middle).alias("m"), text(last).alias("l"), birth_date(F.col(birth)).alias("born"), hashed(email).alias("email"), hashed(postcode).alias("post")).where(F.col("key").isNotNull())
+    raw = df.select(key.cast("string").alias("key"), text(first).alias("f"), text(middle).alias("m"), text(last).alias("l"), F.col(birth).cast("string").alias("born"), hashed(email).alias("email"), hashed(postcode).alias("post")).where(F.col("key").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = ["|".join(" ".join(clean(x) if x else ()) for x in row) for row in zip(*(b.column(n).to_pylist() for n in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), *(b.column(n) for n in (4, 5, 6))], names=["key", "name", "born", "email", "post"])
+            born = [birth_date(x) or None if x else None for x in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(born, pa.int32()), b.column(5), b.column(6)], names=["key", "name", "born", "email", "post"])
 
     cleaned = raw.mapInArrow(run, "key string, name string, born int, email bigint, post bigint")
     return cleaned.distinct().select(F.lit(source).alias("source"), "key", "name", "born", "email", "post")
