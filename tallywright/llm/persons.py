@@ -86,6 +86,10 @@ _FULL = _short_forms()
 @_memo(200_000)
 def clean(name: str) -> tuple[str, ...]:
     """A name's parts: lower case, without accents, titles, suffixes, particles and marks; look-alike digits as letters."""
+    if name.isascii() and name.isalpha():  # most names
+        s = name.lower()
+        if not s.startswith(("mc", "mac")):
+            return () if s in TITLES or s in SUFFIXES else (s,)
     s = unicodedata.normalize("NFKD", name.casefold()).translate(_MARKS)
     s = "".join(c for c in s if not unicodedata.combining(c)).replace("’", "'").replace("`", "'")
     s = s.replace("0", "o").replace("1", "l").replace("5", "s")
@@ -297,25 +301,31 @@ class Batch:
         pa_, pb = self.parts[i], self.parts[j]
         if not pa_ or not pb:
             return 0.0, 0.0, False
-        table = self.known.parts
-        alike_ = [[part_alike(x, y) for y in pb] for x in pa_]
-        rows, columns = [max(r) for r in alike_], [max(c) for c in zip(*alike_, strict=True)]
+        table, get = self.known.parts, part_alike
+        alike_ = [(get(x, y), m, n) for m, x in enumerate(pa_) for n, y in enumerate(pb)]
+        rows, columns = [0.0] * len(pa_), [0.0] * len(pb)
+        for s, m, n in alike_:
+            if s > rows[m]:
+                rows[m] = s
+            if s > columns[n]:
+                columns[n] = s
         short = rows if len(rows) <= len(columns) else columns
         like = sum(short) / len(short)
         used_a, used_b, bits = set(), set(), 0.0
-        pairs = sorted((-s, m, n) for m, r in enumerate(alike_) for n, s in enumerate(r) if s >= LIKE)
-        for s, m, n in pairs:
+        for s, m, n in sorted([x for x in alike_ if x[0] >= LIKE], key=lambda x: -x[0]):
             if m in used_a or n in used_b:
                 continue
             used_a.add(m)
             used_b.add(n)
-            rarity = min(table.get(pa_[m], MOST_BITS), table.get(pb[n], MOST_BITS))
-            if len(pa_[m]) == 1 or len(pb[n]) == 1:
+            x, y = pa_[m], pb[n]
+            if len(x) == 1 or len(y) == 1:
                 bits += 2.5
-            elif s == -1.0:
+                continue
+            rarity = table.get(x, MOST_BITS)
+            if s == 1.0:
                 bits += rarity
             else:
-                bits += min(rarity, 12.0) * (0.65 if -s >= CLOSE else 0.4)
+                bits += min(rarity, table.get(y, MOST_BITS), 12.0) * (0.65 if s >= CLOSE else 0.4)
         left_a, left_b = len(pa_) - len(used_a), len(pb) - len(used_b)
         bits -= 4.5 * min(left_a, left_b)  # parts on both sides that answer to nothing
         first = lambda f: f[0][0] if f[0] else (f[1][0] if f[1] else (f[2][-1] if f[2] else ""))
