@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywright.queries import problems, problems_sql
+from tallywright.queries import problems, problems_sql, reference, rule_shapes
 
-_MODULES = [(problems.QUERIES, problems_sql.SQL)]
+_MODULES = [(problems.QUERIES, problems_sql.SQL), (rule_shapes.QUERIES, rule_shapes.SQL), (reference.QUERIES, reference.SQL)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p6_counts(spark, sf_dir)
+    return reference.severity_surface_cube(spark, sf_dir)
