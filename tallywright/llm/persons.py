@@ -235,20 +235,29 @@ class Batch:
         """born is 0 where unknown, as are email and post."""
         self.known, self.born, self.email, self.post = known, born, email, post
         self.names = names
-        self.fields = [tuple(tuple(p.split()) for p in x.split("|")) for x in names]
-        self.parts = [f + m + s for f, m, s in self.fields]
+        self._split: dict[int, tuple] = {}
+        self._grams: tuple[np.ndarray, np.ndarray] | None = None
+
+    def split(self, i: int) -> tuple[tuple[str, ...], str]:
+        """A name's parts, and the first name among them (where there is none the surname's last part)."""
+        if (known := self._split.get(i)) is None:
+            first, middle, last = (x.split() for x in self.names[i].split("|"))
+            known = self._split[i] = ((*first, *middle, *last), first[0] if first else middle[0] if middle else last[-1] if last else "")
+        return known
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """The padded 2-grams of all parts of all names, as codes in one flat array, and how many each name has."""
-        padded = [" " + " ".join(p) + " " if p else "" for p in self.parts]
-        size = np.fromiter(map(len, padded), "i8", len(padded))
-        flat = np.frombuffer("".join(padded).encode("ascii"), "u1").astype("u4")
-        code = np.zeros(len(flat), "u4")
-        if len(flat):
-            code[:-1] = flat[:-1] * 256 + flat[1:]
-        inside = np.ones(len(flat), bool)
-        inside[np.cumsum(size)[size > 0] - 1] = False
-        return code[inside], np.maximum(size - 1, 0)
+        if self._grams is None:
+            padded = [" " + " ".join(x.replace("|", " ").split()) + " " if len(x) > 2 else "" for x in self.names]
+            size = np.fromiter(map(len, padded), "i8", len(padded))
+            flat = np.frombuffer("".join(padded).encode("ascii"), "u1").astype("u4")
+            code = np.zeros(len(flat), "u4")
+            if len(flat):
+                code[:-1] = flat[:-1] * 256 + flat[1:]
+            inside = np.ones(len(flat), bool)
+            inside[np.cumsum(size)[size > 0] - 1] = False
+            self._grams = code[inside], np.maximum(size - 1, 0)
+        return self._grams
 
     def signature(self, hashes: int) -> np.ndarray:
         """MinHash values of the names' grams, one row per name; names without grams get their own values."""
@@ -298,7 +307,7 @@ class Batch:
         Parts are paired by likeness, each once; a pair gives the rarity of its part, less if it is
         only alike.
         """
-        pa_, pb = self.parts[i], self.parts[j]
+        (pa_, fa), (pb, fb) = self.split(i), self.split(j)
         if not pa_ or not pb:
             return 0.0, 0.0, False
         table, get = self.known.parts, part_alike
@@ -328,8 +337,6 @@ class Batch:
                 bits += min(rarity, table.get(y, MOST_BITS), 12.0) * (0.65 if s >= CLOSE else 0.4)
         left_a, left_b = len(pa_) - len(used_a), len(pb) - len(used_b)
         bits -= 4.5 * min(left_a, left_b)  # parts on both sides that answer to nothing
-        first = lambda f: f[0][0] if f[0] else (f[1][0] if f[1] else (f[2][-1] if f[2] else ""))
-        fa, fb = first(self.fields[i]), first(self.fields[j])
         lost_a = pa_.index(fa) not in used_a if fa else False
         lost_b = pb.index(fb) not in used_b if fb else False
         return bits, like, lost_a and lost_b
