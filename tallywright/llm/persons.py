@@ -51,6 +51,10 @@ _MARKS = {ord(a): b for a, b in zip("øłđðħıßæœþ", ["o", "l", "d", "d",
 _PREFIX = re.compile(r"\b(?:mc|mac|o')(?=[a-z]{4})")
 
 
+#: Likeness of words below this is none.
+LEAST_ALIKE = 0.4
+
+
 def _memo(size: int) -> Callable:
     """Remembers results; a plain closure, so that it travels to executors by value."""
 
@@ -101,26 +105,36 @@ def clean(name: str) -> tuple[str, ...]:
 
 @_memo(500_000)
 def alike(a: str, b: str) -> float:
-    """1 - edits / length, where two neighbouring letters that change places are one edit."""
+    """1 - edits / length, where two neighbouring letters that change places are one edit; 0 below LEAST_ALIKE.
+
+    The letters two words share bound their likeness, so most pairs need no table of edits; common
+    beginnings and ends cost no edits and leave a small one.
+    """
     if a == b:
         return 1.0
-    n, m = len(a), len(b)
-    if abs(n - m) * 2 > max(n, m):
+    long = max(len(a), len(b))
+    if sum([min(a.count(c), b.count(c)) for c in set(a)]) < LEAST_ALIKE * long:
         return 0.0
-    older, old = list(range(m + 1)), list(range(m + 1))
+    i, n, m = 0, len(a), len(b)
+    while i < n and i < m and a[i] == b[i]:
+        i += 1
+    while n > i and m > i and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    a, b = a[i:n], b[i:m]
+    n, m = len(a), len(b)
+    older, old = [], list(range(m + 1))
     for i in range(1, n + 1):
-        new = [i] * (m + 1)
+        new = [i]
+        x = a[i - 1]
         for j in range(1, m + 1):
-            x = old[j - 1] + (a[i - 1] != b[j - 1])
-            if x > old[j] + 1:
-                x = old[j] + 1
-            if x > new[j - 1] + 1:
-                x = new[j - 1] + 1
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] and x > older[j - 2] + 1:
-                x = older[j - 2] + 1
-            new[j] = x
+            y = b[j - 1]
+            d = old[j - 1] if x == y else 1 + min(old[j - 1], old[j], new[j - 1])
+            if i > 1 and j > 1 and x != y and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, older[j - 2] + 1)
+            new.append(d)
         older, old = old, new
-    return 1 - old[m] / max(n, m)
+    likeness = 1 - old[m] / long
+    return likeness if likeness >= LEAST_ALIKE else 0.0
 
 
 @_memo(500_000)
