@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 #: What is redacted, in the order in which it is.
 PII = (
-    ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("NINO", r"(?i)\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z]\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b"),
-    ("HUSID", r"\b\d{13}\b"),
-    ("DATE", r"\b\d{4}-\d{2}-\d{2}\b"),
-    ("POSTCODE", r"(?i)\b[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b"),
-    ("PHONE", r"(?:\+44\s?|\b0)\d{2,4}\s?\d{3,4}\s?\d{3,4}\b"),
+    ("EMAIL", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"),
+    ("PHONE", r"(?:\+44|0)[\s-]?\d[\s-]?(?:\d[\s-]?){8,9}"),
+    ("NHS_NUMBER", r"\b\d{3}[\s-]?\d{3}[\s-]?\d{4}\b"),
+    ("POSTCODE", r"(?i)\b[A-Z]{1,2}\d[\d A-Z]?\s?\d[A-Z]{2}\b"),
+    ("NI_NUMBER", r"(?i)\b[A-CEGHJ-PR-TW-Z]{1}[A-CEGHJ-NPR-TW-Z]{1}\d{6}[A-D ]{1}\b"),
+    ("PASSPORT", r"\b[A-Z]{1,3}\d{7}\b"),
 )
 MOD11_WEIGHTS = (9, 8, 7, 6, 5, 4, 3, 2, 1, 0, 0, 0)
 

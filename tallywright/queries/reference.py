@@ -487,11 +487,6 @@ def embed_names(spark, sf_dir):
     return mapping.embed(table(spark, sf_dir, "part"), "p_partkey", "p_name")
 
 
-@query(
-    "SELECT doc_id, md5("
-    + "regexp_replace(" * 6
-    + "text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '(?i)\\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z]\\s?\\d{2}\\s?\\d{2}\\s?\\d{2}\\s?[A-D]\\b', '[NINO]', 'g'), '\\b\\d{13}\\b', '[HUSID]', 'g'),"
-    " '\\b\\d{4}-\\d{2}-\\d{2}\\b', '[DATE]', 'g'), '(?i)\\b[A-Z]{1,2}\\d[A-Z\\d]?\\s?\\d[A-Z]{2}\\b', '[POSTCODE]', 'g'), '(?:\\+44\\s?|\\b0)\\d{2,4}\\s?\\d{3,4}\\s?\\d{3,4}\\b', '[PHONE]', 'g')) AS digest FROM documents"
-)
+@query("SELECT doc_id, md5(" + "regexp_replace(" * len(X.PII) + "text" + "".join(f", '{p}', '[{kind}]', 'g')" for kind, p in X.PII) + ") AS digest FROM documents")
 def pii_redact(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.redact(F.col("text"))).alias("digest"))
