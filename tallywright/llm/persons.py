@@ -252,11 +252,11 @@ class Batch:
         self._split: dict[int, tuple] = {}
         self._grams: tuple[np.ndarray, np.ndarray] | None = None
 
-    def split(self, i: int) -> tuple[tuple[str, ...], str]:
-        """A name's parts, and the first name among them (where there is none the surname's last part)."""
+    def split(self, i: int) -> tuple[tuple[str, ...], int, int]:
+        """A name's parts, the place of the first name among them (where there is none the surname's last part), and where the surname begins."""
         if (known := self._split.get(i)) is None:
             first, middle, last = (x.split() for x in self.names[i].split("|"))
-            known = self._split[i] = ((*first, *middle, *last), first[0] if first else middle[0] if middle else last[-1] if last else "")
+            known = self._split[i] = ((*first, *middle, *last), 0 if first or middle else max(0, len(last) - 1), len(first) + len(middle))
         return known
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
@@ -321,7 +321,7 @@ class Batch:
         Parts are paired by likeness, each once; a pair gives the rarity of its part, less if it is
         only alike.
         """
-        (pa_, fa), (pb, fb) = self.split(i), self.split(j)
+        (pa_, fa, la), (pb, fb, lb) = self.split(i), self.split(j)
         if not pa_ or not pb:
             return 0.0, 0.0, False
         table, get = self.known.parts, part_alike
@@ -334,12 +334,11 @@ class Batch:
                 columns[n] = s
         short = rows if len(rows) <= len(columns) else columns
         like = sum(short) / len(short)
-        used_a, used_b, bits = set(), set(), 0.0
+        used_a, used_b, bits = {}, {}, 0.0
         for s, m, n in sorted([x for x in alike_ if x[0] >= LIKE], key=lambda x: -x[0]):
             if m in used_a or n in used_b:
                 continue
-            used_a.add(m)
-            used_b.add(n)
+            used_a[m], used_b[n] = n, m
             x, y = pa_[m], pb[n]
             if len(x) == 1 or len(y) == 1:
                 bits += 2.5
@@ -351,8 +350,9 @@ class Batch:
                 bits += min(rarity, table.get(y, MOST_BITS), 12.0) * (0.65 if s >= CLOSE else 0.4)
         left_a, left_b = len(pa_) - len(used_a), len(pb) - len(used_b)
         bits -= 4.5 * min(left_a, left_b)  # parts on both sides that answer to nothing
-        lost_a = pa_.index(fa) not in used_a if fa else False
-        lost_b = pb.index(fb) not in used_b if fb else False
+        # a first name is lost that answers to nothing, or, with something left on its side, to a surname (fields exchanged)
+        lost_a = fa not in used_a or (left_a > 0 and used_a[fa] >= lb and fb not in used_b)
+        lost_b = fb not in used_b or (left_b > 0 and used_b[fb] >= la and fa not in used_a)
         return bits, like, lost_a and lost_b
 
 

@@ -40,6 +40,18 @@ def test_likeness():
     assert P.monge_elkan(("wei", "marwood"), ("marwood", "wei", "x")) == 1.0 and P.monge_elkan((), ("a",)) == 0.0
 
 
+@pytest.mark.parametrize(
+    ("a", "b", "contradict"),
+    [
+        ("alexandra||kholeski", "kholeski||katarzyna", True), ("alexandra||kholeski", "katarzyna||kholeski", True), ("alexandra||kholeski", "kholeski||alexandra", False), ("daniel||pajiazoova", "daniel||rothbury", False),
+        ("emmanuel|josephine|kholeski", "josephine||kholeski", False), ("k||kholeski", "kofi||kholeski", False), ("gabby||kholeski", "gabriella||kholeski", False), ("||kholeski francesca", "francesca||kholeski", False), ("||", "a||b", False),
+    ],
+)
+def test_contradicting_first_names(a, b, contradict):
+    batch = P.Batch([a, b], *np.zeros((3, 2), "i8"), P.Evidence(2))
+    assert batch.name_bits(0, 1)[2] is contradict and batch.name_bits(1, 0)[2] is contradict
+
+
 def test_collision_curve():
     assert N.bands(0.5, 0.9, 2) == 9 and 1 - (1 - 0.42**2) ** N.BANDS[0] >= 0.95
     rng = random.Random(3)
