@@ -85,3 +85,19 @@ def id_index(records: DataFrame, canonical: str, system: str, source_id: str, or
     named = [F.max_by(F.when(F.col(system) == s, F.col(source_id)), F.when(F.col(system) == s, F.col(ordinal))).alias(f"{s}_id") for s in systems]
     others = F.concat_ws(",", F.sort_array(F.collect_set(F.when(~F.col(system).isin(*systems), F.concat(F.col(system), F.lit(":"), F.col(source_id))))))
     return records.groupBy(canonical).agg(*named, others.alias("other_ids"))
+
+
+def current_status(kind: str, signals: dict[str, Column], at: Column) -> Column:
+    """Whether a row is current by its pattern: activity (dated not after at), term (effective not after at), period (start <= at < end), indicator (blank), status (among the active), snapshot (always)."""
+    on_or_before = lambda c: F.coalesce(c <= at, F.lit(False))
+    if kind in ("activity", "term"):
+        return on_or_before(signals["date"])
+    if kind == "period":
+        return on_or_before(signals["start"]) & (signals["end"].isNull() | (at < signals["end"]))
+    if kind == "indicator":
+        return F.coalesce(F.trim(signals["indicator"]), F.lit("")) == ""
+    if kind == "status":
+        return F.coalesce(signals["status"].isin(*signals["active"]), F.lit(False))
+    if kind == "snapshot":
+        return F.lit(True)
+    raise ValueError(f"unknown pattern: {kind}")

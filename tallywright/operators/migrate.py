@@ -95,3 +95,19 @@ def rollback(written: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 def commit(staged: DataFrame, path: str, entity: str) -> None:
     """Writes the rows to create or update, one folder per entity."""
     staged.where(F.col("op").isin("create", "update")).write.mode("append").partitionBy(entity).parquet(path)
+
+
+def required_fields(required: DataFrame, present: DataFrame, keys: tuple[str, str] = ("table_name", "field")) -> DataFrame:
+    """Each required field with its verdict: ok, missing, or unknown where nothing is known of its table."""
+    table, name = keys
+    have = present.select(F.lower(table).alias("_t"), F.lower(name).alias("_f")).distinct()
+    tables = have.select(F.col("_t").alias("_tt")).distinct().withColumn("_known", F.lit(True))
+    met = required.join(have.withColumn("_in", F.lit(True)), (F.lower(table) == F.col("_t")) & (F.lower(name) == F.col("_f")), "left").join(tables, F.lower(table) == F.col("_tt"), "left")
+    return met.select(table, name, F.when(F.col("_in"), F.lit("ok")).when(F.col("_known"), F.lit("missing")).otherwise(F.lit("unknown")).alias("verdict"))
+
+
+def fill_gap(df: DataFrame, column: str, due: Column, default: str | None = None) -> DataFrame:
+    """df with the column filled where it is due and blank, and gap: filled with a default, else queued; null where there is no gap."""
+    gap = F.coalesce(due, F.lit(False)) & is_blank(F.col(column).cast("string"))
+    filled = F.when(gap & F.lit(default is not None), F.lit(default)).otherwise(F.col(column))
+    return df.withColumns({"gap": F.when(gap, F.lit("filled" if default is not None else "queued")), column: filled})

@@ -13,6 +13,7 @@ from tallywright.rules import engine, grammar
 from tallywright.sinks import load
 from tallywright.sources import files
 from tallywright.session import table
+from tallywright.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -490,3 +491,77 @@ def embed_names(spark, sf_dir):
 @query("SELECT doc_id, md5(" + "regexp_replace(" * len(X.PII) + "text" + "".join(f", '{p}', '[{kind}]', 'g')" for kind, p in X.PII) + ") AS digest FROM documents")
 def pii_redact(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.redact(F.col("text"))).alias("digest"))
+
+
+@query("SELECT n.n_nationkey, m.t AS target FROM nation n LEFT JOIN (VALUES ('NATION_1', 'A'), ('NATION_3', 'B'), ('NATION_7', 'C')) m(c, t) ON m.c = n.n_name")
+def code_translate(spark, sf_dir):
+    maps = spark.createDataFrame([(1, "NATION_1", "A"), (2, "NATION_3", "B"), (3, "NATION_7", "C"), (4, "NATION_7", "D")], "entry_id long, sourcecode string, targetcode string").selectExpr("*", "string(null) as activefrom", "string(null) as activeto", "string(null) as tenantid")
+    return codes.translate(table(spark, sf_dir, "nation"), "n_name", maps).select("n_nationkey", "target")
+
+
+@query(
+    """SELECT c_mktsegment AS entity, c_custkey AS name FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_acctbal > 9990)
+UNION ALL SELECT 'EXTRA', s_suppkey FROM supplier WHERE s_suppkey < 5"""
+)
+def dictionary_join(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    extra = table(spark, sf_dir, "supplier").where("s_suppkey < 5").select(F.lit("EXTRA").alias("entity"), F.col("s_suppkey").alias("name"))
+    known = c.where("c_acctbal > 9990").select(F.col("c_mktsegment").alias("entity")).distinct()
+    return files.dictionary(c.select(F.col("c_mktsegment").alias("entity"), F.col("c_custkey").alias("name")), known, extra, "entity")
+
+
+@query("SELECT * FROM (VALUES ('orders', 'o_orderkey', 'ok'), ('ORDERS', 'o_nothing', 'missing'), ('invoices', 'id', 'unknown')) t(table_name, field, verdict)")
+def preflight_fields(spark, sf_dir):
+    have = files.describe(table(spark, sf_dir, "orders")).select(F.lit("orders").alias("table_name"), F.col("name").alias("field"))
+    need = spark.createDataFrame([("orders", "o_orderkey"), ("ORDERS", "o_nothing"), ("invoices", "id")], "table_name string, field string")
+    return migrate.required_fields(need, have)
+
+
+@query("SELECT row_id, CASE WHEN sgbstdn_stst_code = 'AS' AND (sgbstdn_mode_code IS NULL OR trim(sgbstdn_mode_code) = '') THEN 'FT' ELSE sgbstdn_mode_code END AS mode_code, CASE WHEN sgbstdn_stst_code = 'AS' AND (sgbstdn_mode_code IS NULL OR trim(sgbstdn_mode_code) = '') THEN 'filled' END AS gap FROM sgbstdn")
+def mig_fill_gap(spark, sf_dir):
+    s = table(spark, sf_dir, "sgbstdn").select("row_id", "sgbstdn_stst_code", F.col("sgbstdn_mode_code").alias("mode_code"))
+    return migrate.fill_gap(s, "mode_code", F.col("sgbstdn_stst_code") == "AS", "FT").select("row_id", "mode_code", "gap")
+
+
+@query(
+    """WITH n AS (SELECT user_id, event_type AS target, count(*) AS accepts, max(event_id) AS last_accepted FROM events GROUP BY ALL)
+SELECT user_id, target, accepts, CAST(least(0.98, round(0.85 + (1 - exp(-0.4 * accepts)) * 0.13, 2)) AS DOUBLE) AS confidence FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY accepts DESC, last_accepted DESC) = 1"""
+)
+def learned_mapping(spark, sf_dir):
+    return mapping.best_learned(table(spark, sf_dir, "events").withColumnRenamed("event_type", "target"), "user_id", "target", "event_id").select("user_id", "target", "accepts", "confidence")
+
+
+@query(f"SELECT CASE WHEN o.o_orderkey IS NULL THEN 'no native row' END AS unavailable, count(*) AS n FROM ({_ORDER_FINDINGS}) f LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 7 <> 0) o ON o.o_orderkey = f.k GROUP BY 1")
+def reproduce_findings(spark, sf_dir):
+    rows = findings.reproduce(order_findings(spark, sf_dir), table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0"), "o_orderkey")
+    return rows.groupBy("unavailable").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS VARCHAR) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def window_tumbling(spark, sf_dir):
+    rows = incremental.windowed_counts(table(spark, sf_dir, "events"), "ts", "10 minutes", "1 hour", None, "event_type")
+    return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) k FROM g)
+SELECT user_id, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start FROM s GROUP BY user_id, k"""
+)
+def window_session(spark, sf_dir):
+    rows = incremental.sessions(table(spark, sf_dir, "events"), "ts", "10 minutes", "6 hours", "user_id")
+    return rows.select("user_id", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
+
+
+@query(
+    f"""WITH d AS (SELECT *, lag(kind) OVER (PARTITION BY user_id ORDER BY event_id) p, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE 'why' END reason FROM ({_DECISIONS}))
+SELECT CASE WHEN kind = 'waive' AND trim(reason) = '' THEN 'no reason' WHEN kind = 'revoke' AND (p IS NULL OR p = 'revoke') THEN 'nothing to revoke' END AS refused, count(*) AS n FROM d GROUP BY 1"""
+)
+def waiver_validation(spark, sf_dir):
+    d = decisions(spark, sf_dir).withColumns({"reason": F.when(F.col("event_id") % 5 == 0, " ").otherwise("why"), "decided_at": F.col("ts")})
+    return findings.valid_decisions(d, "user_id", "event_id").groupBy("refused").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT row_id, spriden_change_ind IS NULL OR trim(spriden_change_ind) = '' AS by_indicator, coalesce(spriden_activity_date <= TIMESTAMP '2021-01-01', false) AS by_activity FROM spriden")
+def currentness(spark, sf_dir):
+    at = F.lit("2021-01-01").cast("timestamp_ntz")
+    return table(spark, sf_dir, "spriden").select("row_id", codes.current_status("indicator", {"indicator": F.col("spriden_change_ind")}, at).alias("by_indicator"), codes.current_status("activity", {"date": F.col("spriden_activity_date")}, at).alias("by_activity"))
