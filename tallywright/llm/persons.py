@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.functions import values as V
+from tallywright.functions.values import MONTHS
 
 #: Titles, suffixes and particles that are no part of a name; common English short forms by name.
 TITLES = frozenset("mr mrs ms miss mx dr prof professor sir dame rev".split())
@@ -187,7 +187,7 @@ def birth_date(text: str) -> int:
             continue
         y, mo, d = m.groups() if n == 0 else reversed(m.groups())
         y = int(y) + (0 if len(y) == 4 else 2000 if int(y) <= 25 else 1900)
-        mo = V.MONTHS.index(mo) + 1 if mo in V.MONTHS else int(mo) if mo.isdigit() else 0
+        mo = MONTHS.index(mo) + 1 if mo in MONTHS else int(mo) if mo.isdigit() else 0
         for month, day in ((mo, int(d)), (int(d), mo)) if n == 1 else ((mo, int(d)),):
             try:
                 date(y, month, day)

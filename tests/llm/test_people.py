@@ -194,3 +194,10 @@ def test_assignment_is_the_best(spark):
     sure = [("a1", "b", 50.0), ("a2", "b", 45.0), ("a3", "b", 20.0), ("a3", "c", 10.0)]
     got = {(r["a"], r["b"]) for r in M.assign(spark.createDataFrame(sure, "a string, b string, bits double"), 40.0).collect()}
     assert got == {("a1", "b"), ("a2", "b"), ("a3", "c")}
+
+
+def test_after_other_operators_of_the_session(spark):
+    from tallywright.functions.values import same_composed
+
+    assert spark.createDataFrame([("é", "é")], "a string, b string").select(same_composed("a", "b")).first()[0]
+    assert records(spark, [("a", "Wei", None, "Marwood", "05-MAR-2001", None, None)]).first()["born"] == 20010305
