@@ -57,3 +57,11 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def tasks(spark: SparkSession, rows: int, per_task: int) -> int:
+    """A number of partitions for work that is heavy for its bytes: as many as the session shuffles into, more where rows ask for it.
+
+    Adaptive execution sizes partitions by bytes and would leave such work to a few tasks.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-rows // per_task))
