@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.persons import Batch, Evidence, evidence, share, weigh
-from tallywright.session import cut
+from tallywright.session import cut, tasks
 
-#: Records a window spans, and records compared at once.
-WINDOW, RANGE_ROWS = 16, 1 << 15
+#: Records a window spans, records compared at once, and records for a task.
+WINDOW, RANGE_ROWS, ROWS_A_TASK = 16, 1 << 15, 250_000
 #: Bits above log2 of the number of records that make a pair a match, and that make it one beyond doubt.
 MARGIN, BEYOND_DOUBT = 4.0, 12.0
 MIN_SHARE, MIN_OTHER = 0.3, -3.0
@@ -83,14 +83,13 @@ def candidates(records: DataFrame, margin: float = MARGIN) -> DataFrame:
     are sorted by the key's other fields, and the window moves on.
     """
     spark = records.sparkSession
-    records = cut(records)
     known = evidence(records)
     per_source = records.groupBy("source").agg(F.count_distinct("key").alias("n")).agg(F.max("n")).first()[0] or 1
     threshold = float(np.log2(max(2, per_source)) + margin)
     shared = spark.sparkContext.broadcast((known.n, known.parts, known.born, known.email, known.post))
     keys = F.array(*[F.struct(F.lit(n).alias("turn"), k.alias("at")) for n, k in enumerate(sort_keys())])
     placed = records.select(*_FIELDS, F.explode(F.filter(keys, lambda k: k["at"].isNotNull())).alias("_k")).select("_k.turn", "_k.at", *_FIELDS)
-    sorted_rows = placed.repartitionByRange("turn", "at", "key").sortWithinPartitions("turn", "at", "key").withColumn("pid", F.spark_partition_id())
+    sorted_rows = placed.repartitionByRange(tasks(spark, known.n * len(sort_keys()), ROWS_A_TASK), "turn", "at", "key").sortWithinPartitions("turn", "at", "key").withColumn("pid", F.spark_partition_id())
     result = "a string, b string, bits double, edge int, half int, turn int, at string, source int, key string, name string, born int, email bigint, post bigint"
     edge_fields = ["turn", "at", *_FIELDS]
 
@@ -189,6 +188,7 @@ def match(records: DataFrame, margin: float = MARGIN) -> DataFrame:
     Defined cases: records without any name are matched to nothing; null fields say nothing for or
     against; repeated records are one; a table that is empty gives no rows; ties go by key.
     """
+    records = cut(records)
     n = max(2, records.select("source", "key").distinct().groupBy("source").count().agg(F.max("count")).first()[0] or 1)
     out = assign(candidates(records, margin), float(np.log2(n)) + BEYOND_DOUBT)
     return out.withColumn("confidence", 1 / (1 + F.pow(F.lit(2.0), F.lit(float(np.log2(n))) - F.col("bits"))))
