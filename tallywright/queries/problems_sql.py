@@ -113,6 +113,33 @@ UNION ALL SELECT load_id, 'nationality', 'shift' FROM tv WHERE tv > 0.35
 UNION ALL SELECT load_id, 'dhp', 'shift' FROM e2 WHERE abs(m - mb) > 0.1
 """
 
+_P7_PROFILE = f"""
+WITH s AS (
+  SELECT tenant_id, load_id, load_date, dateofbirth b, nationality c,
+    b IS NULL OR lower(trim(b)) IN {_WORDS}, '0000-00-00', '0001-01-01', '1111-11-11', '1900-01-01', '9999-12-31', '9999-99-99') bm,
+    c IS NULL OR lower(trim(c)) IN {_WORDS}, '000', '999') cm,
+    CASE WHEN NOT bm AND regexp_full_match(b, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast(b AS DATE) END d,
+    CASE WHEN NOT cm AND regexp_full_match(c, '\\d{{3}}') THEN CAST(c AS DOUBLE) END w FROM student),
+v AS (
+  SELECT 'dateofbirth' column_name, tenant_id, load_id, load_date, b AS value, bm AS missing, CAST(year(d) AS DOUBLE) m, d IS NOT NULL AND NOT (year(load_date) - year(d) BETWEEN 15 AND 90) oor FROM s
+  UNION ALL SELECT 'nationality', tenant_id, load_id, load_date, c, cm, w, false FROM s
+  UNION ALL SELECT 'dhp', tenant_id, load_id, load_date, CAST(dhp AS VARCHAR), dhp IS NULL, CASE WHEN NOT isnan(dhp) AND dhp BETWEEN 0 AND 1 THEN dhp END, dhp IS NOT NULL AND (isnan(dhp) OR NOT dhp BETWEEN 0 AND 1) FROM entity_dhp),
+f AS (
+  SELECT column_name, min(tenant_id) tenant, load_id, min(load_date) load_date, count(*) "rows", count(*) FILTER (missing) missing, count(*) FILTER (NOT missing AND m IS NULL) ill_formed, count(m) well_formed, count(*) FILTER (oor) out_of_range,
+    count(DISTINCT value) FILTER (m IS NOT NULL) AS "distinct", min(m) low, max(m) high, median(m) median, avg(m) mean FROM v GROUP BY column_name, load_id),
+h AS (SELECT column_name, load_id, max(n) top FROM (SELECT column_name, load_id, value, count(*) n FROM v WHERE m IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+p AS (SELECT *, lag(load_id) OVER w previous_load, lag(median) OVER w median_before, lag(mean) OVER w mean_before, lag(well_formed) OVER w wb FROM f WINDOW w AS (PARTITION BY column_name, tenant ORDER BY load_date, load_id)),
+x AS (
+  SELECT p.column_name, p.load_id, v.m, v.value, 1.0 / p.well_formed a, 0.0 b FROM p JOIN v ON v.column_name = p.column_name AND v.load_id = p.load_id AND v.m IS NOT NULL WHERE p.wb > 0
+  UNION ALL SELECT p.column_name, p.load_id, v.m, v.value, 0.0, 1.0 / p.wb FROM p JOIN v ON v.column_name = p.column_name AND v.load_id = p.previous_load AND v.m IS NOT NULL WHERE p.well_formed > 0),
+y AS (SELECT column_name, load_id, m, value, sum(a) a, sum(b) b FROM x GROUP BY ALL),
+tv AS (SELECT column_name, load_id, sum(abs(a - b)) / 2 tv FROM y GROUP BY ALL),
+ks AS (SELECT column_name, load_id, max(abs(d)) ks FROM (SELECT column_name, load_id, sum(sum(a) - sum(b)) OVER (PARTITION BY column_name, load_id ORDER BY m) d FROM y GROUP BY column_name, load_id, m) GROUP BY ALL)
+SELECT p.column_name, p.tenant, p.load_id, CAST(p.load_date AS VARCHAR) AS load_date, p."rows", p.missing, p.ill_formed, p.well_formed, p.out_of_range, p."distinct", round(p.low, 6) AS low, round(p.high, 6) AS high, round(p.median, 6) AS median, round(p.mean, 6) AS mean,
+  round(h.top / p.well_formed, 6) AS heap, CAST(p.previous_load AS VARCHAR) AS previous_load, round(p.median_before, 6) AS median_before, round(p.mean_before, 6) AS mean_before, round(ks.ks, 6) AS ks, round(tv.tv, 6) AS tv
+FROM p LEFT JOIN h USING (column_name, load_id) LEFT JOIN ks USING (column_name, load_id) LEFT JOIN tv USING (column_name, load_id)
+"""
+
 SQL = {
     "p1_found": _p1(),
     "p4_found": _P4,
@@ -121,4 +148,5 @@ SQL = {
     "p6_found": _P6_PARTS + "SELECT run_id, delta_key, kind FROM delta WHERE kind IS NOT NULL",
     "p6_counts": _P6_PARTS + "SELECT run_id, count(*) FILTER (kind = 'new') AS new_count, count(*) FILTER (kind = 'resolved') AS resolved_count, count(*) FILTER (kind = 'changed') AS changed_count FROM delta WHERE kind IS NOT NULL GROUP BY run_id",
     "p7_found": _P7,
+    "p7_profile": _P7_PROFILE,
 }
