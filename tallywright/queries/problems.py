@@ -101,7 +101,7 @@ def load_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = load_profile(spark, sf_dir)
-    flat = {"double": lambda c: F.round(c, 6), "date": lambda c: F.col(c).cast("string")}
+    flat = {"double": lambda c: F.round(c, 9), "date": lambda c: F.col(c).cast("string")}
     p = p.withColumn("previous_load", F.col("previous_load").cast("string"))
     return p.select(*[flat.get(kind, F.col)(c).alias(c) for c, kind in p.dtypes])
 

@@ -135,8 +135,8 @@ x AS (
 y AS (SELECT column_name, load_id, m, value, sum(a) a, sum(b) b FROM x GROUP BY ALL),
 tv AS (SELECT column_name, load_id, sum(abs(a - b)) / 2 tv FROM y GROUP BY ALL),
 ks AS (SELECT column_name, load_id, max(abs(d)) ks FROM (SELECT column_name, load_id, sum(sum(a) - sum(b)) OVER (PARTITION BY column_name, load_id ORDER BY m) d FROM y GROUP BY column_name, load_id, m) GROUP BY ALL)
-SELECT p.column_name, p.tenant, p.load_id, CAST(p.load_date AS VARCHAR) AS load_date, p."rows", p.missing, p.ill_formed, p.well_formed, p.out_of_range, p."distinct", round(p.low, 6) AS low, round(p.high, 6) AS high, round(p.median, 6) AS median, round(p.mean, 6) AS mean,
-  round(h.top / p.well_formed, 6) AS heap, CAST(p.previous_load AS VARCHAR) AS previous_load, round(p.median_before, 6) AS median_before, round(p.mean_before, 6) AS mean_before, round(ks.ks, 6) AS ks, round(tv.tv, 6) AS tv
+SELECT p.column_name, p.tenant, p.load_id, CAST(p.load_date AS VARCHAR) AS load_date, p."rows", p.missing, p.ill_formed, p.well_formed, p.out_of_range, p."distinct", round(p.low, 9) AS low, round(p.high, 9) AS high, round(p.median, 9) AS median, round(p.mean, 9) AS mean,
+  round(h.top / p.well_formed, 9) AS heap, CAST(p.previous_load AS VARCHAR) AS previous_load, round(p.median_before, 9) AS median_before, round(p.mean_before, 9) AS mean_before, round(ks.ks, 9) AS ks, round(tv.tv, 9) AS tv
 FROM p LEFT JOIN h USING (column_name, load_id) LEFT JOIN ks USING (column_name, load_id) LEFT JOIN tv USING (column_name, load_id)
 """
 
