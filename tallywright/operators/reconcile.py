@@ -12,6 +12,8 @@ from tallywright.session import cut
 #: The fuzzy policy's terms (exact, within one edit) in the order they are added, and thresholds.
 LAST, FIRST, BORN, EMAIL = (0.35, 0.25), (0.20, 0.12), 0.30, 0.15
 FUZZY_THRESHOLD, REVIEW_BELOW, SURE_ABOVE = 0.7, 0.15, 0.1
+#: Letters from which a text is long.
+LONG = 60
 
 
 def norm(c: Column) -> Column:
@@ -30,6 +32,18 @@ def near(a: Column, b: Column) -> Column:
     return (plain <= 1) | (same & (plain == 2) & (at > 0) & (a == swapped))
 
 
+def near_keys(c: Column) -> Column:
+    """Keys of which two texts that are near share at least one: the text, and what is left without one of its letters.
+
+    Of long texts the beginning and the end, as one edit touches only one of them. Texts of LONG letters have both kinds.
+    """
+    n, i = F.length(c), F.lit(1)
+    without = F.transform(F.sequence(i, F.greatest(F.least(n, F.lit(LONG)), i)), lambda k: F.concat(F.substr(c, i, k - 1), F.substr(c, k + 1, n)))
+    short = F.when(n <= LONG, F.concat(F.array(c), without)).otherwise(F.array().cast("array<string>"))
+    ends = F.when(n >= LONG, F.array(F.concat(F.lit("^"), F.left(c, F.lit(LONG // 3))), F.concat(F.lit("$"), F.right(c, F.lit(LONG // 3))))).otherwise(F.array().cast("array<string>"))
+    return F.when(c.isNotNull(), F.array_distinct(F.transform(F.concat(short, ends), lambda k: F.xxhash64(k))))
+
+
 def match_exact(a: DataFrame, b: DataFrame, ids: list[str], a_key: str, b_key: str) -> DataFrame:
     """Pairs that share any of the ids: one equi-join for each, united."""
     parts = []
@@ -52,16 +66,24 @@ def match_institutional(a: DataFrame, b: DataFrame, fields: list[str], a_key: st
 def match_fuzzy(a: DataFrame, b: DataFrame, a_key: str, b_key: str, last: str, first: str, born: str, email: str, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """Pairs with the fuzzy policy's score, classified confident, review or rejected; the rejected are dropped.
 
-    A pair that is kept shares the birth date, the e-mail address, or both names: the terms allow no
-    other. So three equi-joins find all of them, at the default threshold.
+    A pair that is kept has both names equal, or near last names and an equal birth date or e-mail
+    address, or birth date and address equal: the terms allow no other. So four equi-joins find all
+    of them, at the default threshold. Near last names share one of their near_keys, which divide
+    the rows of a birth date (a placeholder, say) or a mailbox that very many share; none are left out.
     """
     if threshold < FUZZY_THRESHOLD:
         raise ValueError("below the default threshold the joins would miss pairs")
     fields = {"last": last, "first": first, "born": born, "email": email}
     side = lambda d, key, s: d.select(F.col(key).alias(f"{s}_id"), *[norm(F.col(c).cast("string")).alias(f"{s}_{n}") for n, c in fields.items()])
     left, right = side(a, a_key, "a"), side(b, b_key, "b")
-    on = [F.col("a_born") == F.col("b_born"), F.col("a_email") == F.col("b_email"), (F.col("a_last") == F.col("b_last")) & (F.col("a_first") == F.col("b_first"))]
-    pairs = reduce(DataFrame.unionByName, [left.join(right, c) for c in on]).distinct()
+    exploded = lambda d, s: d.where(f"{s}_born is not null or {s}_email is not null").select("*", F.explode(near_keys(F.col(f"{s}_last"))).alias("_k"))
+    keyed = (exploded(left, "a"), exploded(right, "b"))
+    both = lambda x, y: (F.col(f"a_{x}") == F.col(f"b_{x}")) & (F.col(f"a_{y}") == F.col(f"b_{y}"))
+    parts = [left.join(right, both("last", "first")), left.join(right, both("born", "email"))]
+    for c in ("born", "email"):
+        l, r = keyed[0], keyed[1].withColumnRenamed("_k", "_kb")
+        parts.append(l.join(r, (F.col(f"a_{c}") == F.col(f"b_{c}")) & (F.col("_k") == F.col("_kb"))).drop("_k", "_kb"))
+    pairs = reduce(DataFrame.unionByName, parts).distinct()
     eq = lambda n: F.coalesce(F.col(f"a_{n}") == F.col(f"b_{n}"), F.lit(False))
     term = lambda n, w: F.when(eq(n), F.lit(w[0])).when(F.coalesce(near(F.col(f"a_{n}"), F.col(f"b_{n}")), F.lit(False)), F.lit(w[1])).otherwise(F.lit(0.0))
     score = F.least(F.lit(1.0), term("last", LAST) + term("first", FIRST) + F.when(eq("born"), F.lit(BORN)).otherwise(F.lit(0.0)) + F.when(eq("email"), F.lit(EMAIL)).otherwise(F.lit(0.0)))

@@ -367,8 +367,8 @@ def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallywright.functions.values import calendar_date
 
     born = lambda c: calendar_date(F.col(c)).cast("string")
-    a = table(spark, sf_dir, "spriden").where("email is null or email not like '%@uni.example'").select("row_id", F.col("spriden_last_name").alias("l"), F.col("spriden_first_name").alias("f"), born("spriden_birth_date").alias("d"), "email")
-    b = table(spark, sf_dir, "stu").where("stu_dob <> '1900-01-01'").select("row_id", F.col("stu_surn").alias("l"), F.col("stu_fore").alias("f"), born("stu_dob").alias("d"), "email")
+    a = table(spark, sf_dir, "spriden").select("row_id", F.col("spriden_last_name").alias("l"), F.col("spriden_first_name").alias("f"), born("spriden_birth_date").alias("d"), "email")
+    b = table(spark, sf_dir, "stu").select("row_id", F.col("stu_surn").alias("l"), F.col("stu_fore").alias("f"), born("stu_dob").alias("d"), "email")
     return reconcile.match_fuzzy(a, b, "row_id", "row_id", "l", "f", "d", "email")
 
 

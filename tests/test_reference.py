@@ -184,3 +184,51 @@ def test_streams(spark, tmp_path):
     got.clear()
     incremental.run_available(incremental.first_seen(stream(), "t", "1 hour", "k"), str(tmp_path / "c3"), keep)
     assert sorted(r["k"] for r in got) == [0, 1, 2]
+
+
+def test_near_texts_share_a_key(spark):
+    rng = random.Random(13)
+    pairs = []
+    for n in (1, 2, 3, 8, 58, 59, 60, 61, 62, 90):
+        for _ in range(12):
+            s = "".join(rng.choice("abc") for _ in range(n))
+            i = rng.randrange(n)
+            pairs += [(s, s), (s, s[:i] + s[i + 1 :]), (s, s[:i] + "x" + s[i:]), (s, s[:i] + "x" + s[i + 1 :]), (s, s[:i] + s[i : i + 2][::-1] + s[i + 2 :])]
+    df = spark.createDataFrame([p for p in pairs if p[1]], "a string, b string")
+    assert df.where(~F.arrays_overlap(reconcile.near_keys(F.col("a")), reconcile.near_keys(F.col("b")))).count() == 0
+    assert df.where(~reconcile.near(F.col("a"), F.col("b"))).count() == 0
+
+
+def test_fuzzy_query_takes_all_rows(spark):
+    from tallywright.functions.values import calendar_date
+    from tallywright.queries import reference as Q
+    from tallywright.session import table
+
+    sf_dir = "/root/testdata/sf0.001"
+    n = lambda c: reconcile.norm(F.col(c))
+    d = lambda c: calendar_date(F.col(c)).cast("string")
+    a = table(spark, sf_dir, "spriden").select("row_id", n("spriden_last_name"), n("spriden_first_name"), d("spriden_birth_date"), n("email")).collect()
+    b = table(spark, sf_dir, "stu").select("row_id", n("stu_surn"), n("stu_fore"), d("stu_dob"), n("email")).collect()
+
+    def edits(x, y):
+        t = [[i + j if not i * j else 0 for j in range(len(y) + 1)] for i in range(len(x) + 1)]
+        for i in range(1, len(x) + 1):
+            for j in range(1, len(y) + 1):
+                t[i][j] = min(t[i - 1][j] + 1, t[i][j - 1] + 1, t[i - 1][j - 1] + (x[i - 1] != y[j - 1]))
+                if i > 1 and j > 1 and x[i - 1] == y[j - 2] and x[i - 2] == y[j - 1]:
+                    t[i][j] = min(t[i][j], t[i - 2][j - 2] + 1)
+        return t[-1][-1]
+
+    near = lambda x, y: abs(len(x) - len(y)) < 2 and len(set(x) ^ set(y)) < 3 and edits(x, y) < 2
+    want = {}
+    for i, *x in a:
+        for j, *y in b:
+            same = [p is not None and p == q for p, q in zip(x, y, strict=True)]
+            if not any(same):  # near names alone give 0.37
+                continue
+            s = sum((w[0] if same[k] else w[1] if x[k] and y[k] and near(x[k], y[k]) else 0) for k, w in ((0, reconcile.LAST), (1, reconcile.FIRST)))
+            s = min(1.0, s + same[2] * reconcile.BORN + same[3] * reconcile.EMAIL)
+            if s >= 0.7 - 0.15:
+                want[i, j] = round(s, 9)
+    got = {(r["a_id"], r["b_id"]): round(r["score"], 9) for r in Q.match_fuzzy(spark, sf_dir).collect()}
+    assert got == want
