@@ -17,6 +17,8 @@ WINDOW, RANGE_ROWS, ROWS_A_TASK = 16, 1 << 15, 250_000
 #: Bits above log2 of the number of records that make a pair a match, and that make it one beyond doubt.
 MARGIN, BEYOND_DOUBT = 4.0, 12.0
 MIN_SHARE, MIN_OTHER = 0.3, -3.0
+#: Bits from which the records of two keys that want one partner speak for one person: more for than against.
+AGREE = 0.0
 #: Bits by which a bid at least rises.
 STEP = 0.25
 
@@ -153,19 +155,60 @@ def candidates(records: DataFrame, margin: float = MARGIN) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("bits").alias("bits"))
 
 
-def assign(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Rows (a, b, bits): each a at most once, each b once, so that the sum of bits is greatest.
+def _best(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a").agg(F.max_by(F.struct("b", "bits"), F.struct("bits", "b")).alias("x")).select("a", "x.b", "x.bits")
 
-    Pairs beyond doubt (bits >= threshold) that are their a's best are settled first, and there a b
-    may have several a, the entries of one person. For the rest an auction is held: every free a bids
-    for its best b, up to what this is better than its second best; a b goes to the highest bid and
-    frees the a that held it. The auction ends when no a bids, within STEP per pair of the greatest
-    sum. Ties go by key.
+
+def entries(records: DataFrame, pairs: DataFrame, known: Evidence) -> DataFrame:
+    """Rows (a, holder): keys of source 0 whose best b is holder's best too, and whose own records speak for one person.
+
+    holder is the a with most bits for that b, so every other a is compared once. Each pair of their
+    records is weighed; contradictions, as of twins, speak against.
+    """
+    best = _best(pairs)
+    held = best.groupBy("b").agg(F.max_by("a", F.struct("bits", "a")).alias("holder"))
+    rivals = best.join(held, "b").where("a != holder").select("a", "holder")
+    own = [c for c in _FIELDS if c not in ("source", "key")]
+    of = lambda key, s: records.where("source = 0").select(F.col("key").alias(key), *[F.col(c).alias(f"{s}_{c}") for c in own])
+    both = rivals.join(of("a", "x"), "a").join(of("holder", "y"), "holder")
+    shared = records.sparkSession.sparkContext.broadcast((known.n, known.parts, known.born, known.email, known.post))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evid = Evidence(*shared.value)
+        for b in batches:
+            n, t = b.num_rows, pa.Table.from_batches([b])
+            two = lambda c: pa.concat_arrays([t[f"{s}_{c}"].combine_chunks() for s in "xy"])  # noqa: E731, B023
+            batch = Batch(two("name").to_pylist(), *(two(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("born", "email", "post")), evid)
+            total, _ = weigh(batch, np.arange(n), np.arange(n) + n)
+            ok = pa.array(total > AGREE)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("holder").filter(ok)], names=["a", "holder"])
+
+    return both.mapInArrow(compare, "a string, holder string").distinct()
+
+
+def assign(pairs: DataFrame, threshold: float, one: DataFrame | None = None) -> DataFrame:
+    """Rows (a, b, bits): each a at most once, each b for one person, so that the sum of bits is greatest.
+
+    one has rows (a, holder), the a that are entries of holder's person. Pairs beyond doubt (bits >=
+    threshold) that are their a's best are settled first, and there a b may have several a, the
+    entries of one person; so may entries of a holder that is settled. For the rest an auction is
+    held between persons: every free person bids for its best b, up to what this is better than its
+    second best; a b goes to the highest bid and frees the person that held it. The auction ends when
+    none bids, within STEP per pair of the greatest sum. Ties go by key. All entries of a person get
+    its b; those without a pair of their own with it have the person's bits.
     """
     pairs = cut(pairs)
-    best = pairs.groupBy("a").agg(F.max_by(F.struct("b", "bits"), F.struct("bits", "b")).alias("x")).select("a", "x.b", "x.bits")
-    sure = cut(best.where(F.col("bits") >= threshold))
+    best = _best(pairs)
+    sure = best.where(F.col("bits") >= threshold)
+    if one is not None:
+        one = cut(one)
+        # an entry of a settled holder has the same best b, whatever its bits
+        settled = one.join(sure.select(F.col("a").alias("holder")), "holder", "left_semi").select("a")
+        sure = sure.unionByName(best.join(settled, "a", "left_semi")).distinct()
+    sure = cut(sure)
     left = pairs.join(sure.select("a"), "a", "left_anti").join(sure.select("b").distinct(), "b", "left_anti")
+    if one is not None:
+        left = left.join(one, "a", "left").groupBy(F.coalesce("holder", "a").alias("a"), "b").agg(F.max("bits").alias("bits"))
     left = cut(left)
     held = left.select("b", F.lit(0.0).alias("price"), "a", "bits").limit(0)
     while True:
@@ -177,7 +220,12 @@ def assign(pairs: DataFrame, threshold: float) -> DataFrame:
         if won.isEmpty():
             break
         held = cut(held.join(won.select("b"), "b", "left_anti").unionByName(won))
-    return sure.select("a", "b", "bits").unionByName(held.select("a", "b", "bits"))
+    held = held.select("a", "b", "bits")
+    if one is not None:
+        more = one.join(sure, "a", "left_anti").join(held.withColumnRenamed("a", "holder"), "holder")
+        own = pairs.withColumnRenamed("bits", "own")
+        held = held.unionByName(more.select("a", "b", "bits")).join(own, ["a", "b"], "left").select("a", "b", F.coalesce("own", "bits").alias("bits"))
+    return sure.select("a", "b", "bits").unionByName(held)
 
 
 def match(records: DataFrame, margin: float = MARGIN) -> DataFrame:
@@ -186,9 +234,10 @@ def match(records: DataFrame, margin: float = MARGIN) -> DataFrame:
     confidence is the probability of a match that the bits give, at one true partner among all records.
 
     Defined cases: records without any name are matched to nothing; null fields say nothing for or
-    against; repeated records are one; a table that is empty gives no rows; ties go by key.
+    against; several keys of one person all get its partner; repeated records are one; a table that is empty gives no rows; ties go by key.
     """
     records = cut(records)
     n = max(2, records.select("source", "key").distinct().groupBy("source").count().agg(F.max("count")).first()[0] or 1)
-    out = assign(candidates(records, margin), float(np.log2(n)) + BEYOND_DOUBT)
+    pairs = cut(candidates(records, margin))
+    out = assign(pairs, float(np.log2(n)) + BEYOND_DOUBT, entries(records, pairs, evidence(records)))
     return out.withColumn("confidence", 1 / (1 + F.pow(F.lit(2.0), F.lit(float(np.log2(n))) - F.col("bits"))))

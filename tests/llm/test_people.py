@@ -201,3 +201,18 @@ def test_after_other_operators_of_the_session(spark):
 
     assert spark.createDataFrame([("é", "é")], "a string, b string").select(same_composed("a", "b")).first()[0]
     assert records(spark, [("a", "Wei", None, "Marwood", "05-MAR-2001", None, None)]).first()["born"] == 20010305
+
+
+def test_all_entries_of_a_person_get_its_partner(spark):
+    pairs = spark.createDataFrame([("a1", "b", 50.0), ("a3", "b", 20.0), ("a3", "c", 10.0), ("a4", "d", 22.0), ("a5", "d", 21.0), ("a6", "d", 20.0), ("a6", "e", 19.0)], "a string, b string, bits double")
+    one = spark.createDataFrame([("a3", "a1"), ("a5", "a4")], "a string, holder string")
+    assert {tuple(r) for r in M.assign(pairs, 40.0, one).select("a", "b", "bits").collect()} == {("a1", "b", 50.0), ("a3", "b", 20.0), ("a4", "d", 22.0), ("a5", "d", 21.0), ("a6", "e", 19.0)}
+
+
+def test_doubtful_entries_are_matched_and_twins_are_not(spark):
+    data = [r for _, r in people_data(random.Random(14), 150)]
+    # of this person one entry is sure, one has moved and has no e-mail; the twin has their home and birthday
+    mine = [("z1", "Gabriella", None, "Zutubington", "1999-04-05", "g@z.example", "ZZ1 1ZZ"), ("z2", "Gabriella", None, "Zutubington", "1999-04-05", None, "QQ9 9QQ"), ("z3", "Omar", None, "Zutubington", "1999-04-05", None, "ZZ1 1ZZ")]
+    theirs = [("s1", "Gabriella", None, "Zutubington", "1999-04-05", "g@z.example", "ZZ1 1ZZ")]
+    got = {(r["a"], r["b"]) for r in M.match(records(spark, data + mine).unionByName(records(spark, theirs, 1))).collect()}
+    assert {p for p in got if p[1] == "s1"} == {("z1", "s1"), ("z2", "s1")}
