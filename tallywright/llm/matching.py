@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.persons import Batch, Evidence, evidence, share, weigh
+from tallywright.llm.persons import Batch, Evidence, share, weigh, weighted
 from tallywright.session import cut, tasks
 
 #: Records a window spans, records compared at once, and records for a task.
@@ -22,7 +22,7 @@ AGREE = 0.0
 #: Bits by which a bid at least rises.
 STEP = 0.25
 
-_FIELDS = ["source", "key", "name", "born", "email", "post"]
+_FIELDS = ["source", "key", "name", "born", "email", "post", "rare"]
 
 
 def sort_keys() -> list:
@@ -48,7 +48,7 @@ def sort_keys() -> list:
 def _window_pairs(t: pa.Table, known: Evidence, threshold: float, crossing: np.ndarray | None = None) -> pa.RecordBatch:
     """The matches among neighbours in a sorted table. crossing: where given, only pairs across its change are compared."""
     array = lambda c: t[c].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
-    batch = Batch(t["name"].to_pylist(), array("born"), array("email"), array("post"), known)
+    batch = Batch(t["name"].to_pylist(), array("born"), array("email"), array("post"), known.beside(t))
     source, turn, bits = array("source"), array("turn"), batch.bits()
     found_i, found_j = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
     for d in range(1, min(WINDOW, len(source))):
@@ -74,10 +74,10 @@ def _window_pairs(t: pa.Table, known: Evidence, threshold: float, crossing: np.n
     return pa.RecordBatch.from_arrays([key.take(pa.array(a)), key.take(pa.array(b)), pa.array(total)], names=["a", "b", "bits"])
 
 
-def candidates(records: DataFrame, margin: float = MARGIN) -> DataFrame:
+def candidates(records: DataFrame, margin: float = MARGIN, known: Evidence | None = None) -> DataFrame:
     """Rows (a, b, bits): keys of sources 0 and 1 whose records, in some window, are one person's by their evidence.
 
-    records as people() gives them, of sources 0 and 1. They are range-sorted by each of several
+    records as people() gives them, of sources 0 and 1, or, with known, as weighted() does. They are range-sorted by each of several
     composite keys; a window slides over every order, and the records of the two sources in it are
     compared field by field: names by likeness of their parts, birth dates by parts, addresses. The
     weights are bits of evidence, by how rare a value is. The windows over the boundaries of
@@ -85,14 +85,15 @@ def candidates(records: DataFrame, margin: float = MARGIN) -> DataFrame:
     are sorted by the key's other fields, and the window moves on.
     """
     spark = records.sparkSession
-    known = evidence(records)
+    if known is None:
+        known, records = weighted(records)
     per_source = records.groupBy("source").agg(F.count_distinct("key").alias("n")).agg(F.max("n")).first()[0] or 1
     threshold = float(np.log2(max(2, per_source)) + margin)
     shared = spark.sparkContext.broadcast((known.n, known.parts, known.born, known.email, known.post))
     keys = F.array(*[F.struct(F.lit(n).alias("turn"), k.alias("at")) for n, k in enumerate(sort_keys())])
     placed = records.select(*_FIELDS, F.explode(F.filter(keys, lambda k: k["at"].isNotNull())).alias("_k")).select("_k.turn", "_k.at", *_FIELDS)
     sorted_rows = placed.repartitionByRange(tasks(spark, known.n * len(sort_keys()), ROWS_A_TASK), "turn", "at", "key").sortWithinPartitions("turn", "at", "key").withColumn("pid", F.spark_partition_id())
-    result = "a string, b string, bits double, edge int, half int, turn int, at string, source int, key string, name string, born int, email bigint, post bigint"
+    result = "a string, b string, bits double, edge int, half int, turn int, at string, source int, key string, name string, born int, email bigint, post bigint, rare array<bigint>"
     edge_fields = ["turn", "at", *_FIELDS]
 
     def empty(n: int, kind: pa.DataType) -> pa.Array:
@@ -100,12 +101,12 @@ def candidates(records: DataFrame, margin: float = MARGIN) -> DataFrame:
 
     def matches(found: pa.RecordBatch) -> pa.RecordBatch:
         n = found.num_rows
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([*found.columns, *[empty(n, k) for k in kinds]], names=["a", "b", "bits", "edge", "half", *edge_fields])
 
     def edges(t: pa.Table, edge: int, half: int) -> pa.RecordBatch:
         n = t.num_rows
-        own = [t[c].combine_chunks() for c in edge_fields]
+        own = [*[t[c].combine_chunks() for c in edge_fields[:-1]], t["rare"].combine_chunks().cast(pa.list_(pa.int64()))]  # as in matches()
         return pa.RecordBatch.from_arrays([empty(n, pa.string()), empty(n, pa.string()), empty(n, pa.float64()), pa.array(np.full(n, edge, "i4")), pa.array(np.full(n, half, "i4")), *own], names=["a", "b", "bits", "edge", "half", *edge_fields])
 
     def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +178,8 @@ def entries(records: DataFrame, pairs: DataFrame, known: Evidence) -> DataFrame:
         evid = Evidence(*shared.value)
         for b in batches:
             n, t = b.num_rows, pa.Table.from_batches([b])
-            two = lambda c: pa.concat_arrays([t[f"{s}_{c}"].combine_chunks() for s in "xy"])  # noqa: E731, B023
-            batch = Batch(two("name").to_pylist(), *(two(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("born", "email", "post")), evid)
+            two = pa.table({c: pa.concat_arrays([t[f"{s}_{c}"].combine_chunks() for s in "xy"]) for c in own})
+            batch = Batch(two["name"].to_pylist(), *(two[c].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) for c in ("born", "email", "post")), evid.beside(two))
             total, _ = weigh(batch, np.arange(n), np.arange(n) + n)
             ok = pa.array(total > AGREE)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("holder").filter(ok)], names=["a", "holder"])
@@ -238,6 +239,7 @@ def match(records: DataFrame, margin: float = MARGIN) -> DataFrame:
     """
     records = cut(records)
     n = max(2, records.select("source", "key").distinct().groupBy("source").count().agg(F.max("count")).first()[0] or 1)
-    pairs = cut(candidates(records, margin))
-    out = assign(pairs, float(np.log2(n)) + BEYOND_DOUBT, entries(records, pairs, evidence(records)))
+    known, records = weighted(records)
+    pairs = cut(candidates(records, margin, known))
+    out = assign(pairs, float(np.log2(n)) + BEYOND_DOUBT, entries(records, pairs, known))
     return out.withColumn("confidence", 1 / (1 + F.pow(F.lit(2.0), F.lit(float(np.log2(n))) - F.col("bits"))))

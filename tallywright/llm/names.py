@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.persons import Batch, Evidence, evidence, share, weigh
+from tallywright.llm.persons import Batch, Evidence, share, weigh, weighted
 from tallywright.session import cut, tasks
 
 #: Records of a range of blocks that are compared at once, and records for a task.
@@ -69,7 +69,7 @@ def _links(t: pa.Table, known: Evidence, threshold: float) -> pa.RecordBatch | N
     t = t.filter(pa.array(np.repeat(several, np.diff(np.append(starts, len(block))))))
     if not t.num_rows:
         return None
-    batch = Batch(t["name"].to_pylist(), _array(t, "born"), _array(t, "email"), _array(t, "post"), known)
+    batch = Batch(t["name"].to_pylist(), _array(t, "born"), _array(t, "email"), _array(t, "post"), known.beside(t))
     block, kind, source, person = (_array(t, c) for c in ("block", "kind", "source", "person"))
     signature = batch.signature(max(r * b for r, b in zip(ROWS, BANDS, strict=True)))
     found = []
@@ -127,14 +127,14 @@ def link(records: DataFrame, margin: float = MARGIN) -> DataFrame:
     date or address that more than HOT or HOT_ADDRESS records share is divided by bands of the names first.
     """
     spark = records.sparkSession
-    known = evidence(records)
+    known, records = weighted(records)
     threshold = float(np.log2(max(2, known.n)) + margin)
     most = {"born": HOT, "email": HOT_ADDRESS, "post": HOT_ADDRESS}
     hot = {c: [v for v, bits in getattr(known, c).items() if known.n * 2.0**-bits > n] for c, n in most.items()}
     shared = spark.sparkContext.broadcast((known.n, known.parts, known.born, known.email, known.post))
 
     y, m, d = F.floor(F.col("born") / 10000), F.floor(F.col("born") / 100) % 100, F.col("born") % 100
-    fields = ["source", "person", "name", "born", "email", "post"]
+    fields = ["source", "person", "name", "born", "email", "post", "rare"]
     is_hot = lambda c: F.coalesce(F.col(c).isin(hot[c]), F.lit(False)) if hot[c] else F.lit(False)
     block = lambda c, n, kind, *of: F.when(F.col(c).isNotNull() & ~is_hot(c), F.struct(F.xxhash64(F.lit(n), *of).alias("block"), F.lit(kind).alias("kind")))
     blocks = F.array(block("born", 0, 0, y, F.least(m, d), F.greatest(m, d)), block("email", 1, 1, F.col("email")), block("post", 2, 1, F.col("post")))
@@ -154,7 +154,7 @@ def link(records: DataFrame, margin: float = MARGIN) -> DataFrame:
 
     if any(hot.values()):
         heated = records.where(is_hot("born") | is_hot("email") | is_hot("post")).select(*fields)
-        placed = placed.unionByName(heated.mapInArrow(divide, "block bigint, kind int, source int, person bigint, name string, born int, email bigint, post bigint"))
+        placed = placed.unionByName(heated.mapInArrow(divide, "block bigint, kind int, source int, person bigint, name string, born int, email bigint, post bigint, rare array<bigint>"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Evidence(*shared.value)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions.values import MONTHS
+from tallywright.session import cut
 
 #: Titles, suffixes and particles that are no part of a name; common English short forms by name.
 TITLES = frozenset("mr mrs ms miss mx dr prof professor sir dame rev".split())
@@ -41,8 +42,10 @@ theodore ted teddy theo; thomas tom tommy; timothy tim timmy; victoria tori vick
 """
 #: Share of the records from which a value counts as frequent: at most 1 / RARE values are, which bounds the table of them.
 RARE = 1 / 20_000
-#: Bits that a share of RARE gives; no value gives more.
+#: Bits of a value that occurs once, at least.
 MOST_BITS = -np.log2(RARE)
+#: In a record's counts of rare values: count * SLOTS + place, where the places are birth date, e-mail, postcode and the parts of the name.
+SLOTS = 1 << 20
 GRAM_BITS = 256
 #: Years that make a generation, and dates that stand for an unknown one.
 GENERATION, NO_DATES = 15, (19000101, 11111111, 99991231)
@@ -221,7 +224,7 @@ def people(df: DataFrame, source: int, key: Column, first: str, middle: str | No
 
 @dataclass
 class Evidence:
-    """Bits by value for frequent values; the others count as rare. n is the number of records."""
+    """Bits by value; a value without any occurs once. n is the number of records."""
 
     n: int
     parts: dict[str, float] = field(default_factory=dict)
@@ -229,9 +232,31 @@ class Evidence:
     email: dict[int, float] = field(default_factory=dict)
     post: dict[int, float] = field(default_factory=dict)
 
+    @property
+    def most(self) -> float:
+        """Bits of a value that occurs once."""
+        return max(MOST_BITS, float(np.log2(max(2, self.n))))
+
+    def beside(self, t: pa.Table) -> Evidence:
+        """These and the bits of the rarer values of some records, from the counts they carry (weighted)."""
+        rare = t["rare"].combine_chunks()
+        size = rare.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = rare.flatten().to_numpy(zero_copy_only=False)
+        if not len(flat):
+            return self
+        row, place, bits = np.repeat(np.arange(len(size)), size), flat % SLOTS, np.log2(self.n / (flat // SLOTS))
+        out = []
+        for n, (c, known) in enumerate((("born", self.born), ("email", self.email), ("post", self.post))):
+            at = np.flatnonzero(place == n)
+            out.append(known | dict(zip(t[c].combine_chunks().take(pa.array(row[at])).to_pylist(), bits[at].tolist(), strict=True)))
+        words = [x.replace("|", " ").split() for x in t["name"].to_pylist()]
+        at = np.flatnonzero(place > 2)
+        parts = self.parts | {words[r][k - 3]: b for r, k, b in zip(row[at].tolist(), place[at].tolist(), bits[at].tolist(), strict=True)}
+        return Evidence(self.n, parts, *out)
+
 
 def evidence(records: DataFrame) -> Evidence:
-    """How often values occur, from all records. Only values with more than RARE of the records are gathered: at most 1 / RARE of each kind (for parts of names some times that)."""
+    """How often frequent values occur, from all records; weighted adds the others. Only values with more than RARE of the records are gathered: at most 1 / RARE of each kind (for parts of names some times that)."""
     n = records.count()
     least = max(2.0, n * RARE)
     out = Evidence(n)
@@ -242,6 +267,31 @@ def evidence(records: DataFrame) -> Evidence:
     return out
 
 
+def weighted(records: DataFrame) -> tuple[Evidence, DataFrame]:
+    """The evidence of frequent values, and the records with their own rarer values' counts (column rare), so that every value has its exact weight.
+
+    A value that is not frequent has fewer than RARE of the records, so gathering them by value makes
+    no hot group. Values that occur once are left out.
+    """
+    known = evidence(records)
+    if known.n * RARE <= 2:  # evidence has all values that occur twice
+        return known, records.withColumn("rare", F.lit(None).cast("array<bigint>"))
+    valued = lambda kind, c: F.xxhash64(F.lit(kind), c.cast("string"))
+    kinds = ("born", "email", "post")
+    frequent = [(k, str(v)) for k in ("parts", *kinds) for v in getattr(known, k)]
+    common = records.sparkSession.createDataFrame(frequent, "kind string, of string").select(F.xxhash64("kind", "of").alias("value"))
+    own = F.array(*[F.struct(F.lit(n).cast("bigint").alias("place"), F.when(F.col(k).isNotNull(), valued(k, F.col(k))).alias("value")) for n, k in enumerate(kinds)])
+    words = F.filter(F.split(F.translate("name", "|", " "), " "), lambda w: w != "")
+    named = F.transform(words, lambda w, n: F.struct((n + 3).cast("bigint").alias("place"), valued("parts", w).alias("value")))
+    records = records.withColumn("_r", F.xxhash64("source", "key", "name", "born", "email", "post"))
+    values = records.select("_r", F.explode(F.concat(own, named)).alias("_v")).select("_r", "_v.place", "_v.value").where("value is not null")
+    values = values.join(F.broadcast(common), "value", "left_anti")
+    groups = values.groupBy("value").agg(F.collect_list(F.struct("_r", "place")).alias("at"))
+    groups = groups.withColumn("c", F.size(F.array_distinct(F.col("at._r"))).cast("bigint")).where("c > 1")
+    rare = groups.select(F.explode("at").alias("_at"), "c").select("_at._r", (F.col("c") * SLOTS + F.col("_at.place")).alias("x")).groupBy("_r").agg(F.collect_list("x").alias("rare"))
+    return known, cut(records.join(rare, "_r", "left").drop("_r"))
+
+
 class Batch:
     """Some records as arrays, and the evidence between pairs of them."""
 
@@ -299,9 +349,9 @@ class Batch:
         a, b = self.born[i], self.born[j]
         part = lambda x: (x // 10000, x // 100 % 100, x % 100)
         (ya, ma, da), (yb, mb, db) = part(a), part(b)
-        table = self.known.born
+        table, most = self.known.born, self.known.most
         uniq, back = np.unique(a, return_inverse=True)
-        rarity = np.array([table.get(v, MOST_BITS) for v in uniq.tolist()])[back] if len(uniq) else np.zeros(0)
+        rarity = np.array([table.get(v, most) for v in uniq.tolist()])[back] if len(uniq) else np.zeros(0)
         same = (ya == yb).astype(int) + (ma == mb) + (da == db)
         out = np.where(a == b, rarity, np.where((ya == yb) & (ma == db) & (da == mb), rarity - 4, np.where(same == 2, 3.0, -6.0)))
         return np.where((a == 0) | (b == 0), 0.0, out)
@@ -312,7 +362,8 @@ class Batch:
         a, b = column[i], column[j]
         out = np.where((a == 0) | (b == 0), 0.0, differs)
         eq = np.flatnonzero((a == b) & (a != 0))
-        out[eq] = [table.get(v, MOST_BITS) for v in a[eq].tolist()]
+        most = self.known.most
+        out[eq] = [table.get(v, most) for v in a[eq].tolist()]
         return out
 
     def name_bits(self, i: int, j: int) -> tuple[float, float, bool]:
@@ -324,7 +375,7 @@ class Batch:
         (pa_, fa, la), (pb, fb, lb) = self.split(i), self.split(j)
         if not pa_ or not pb:
             return 0.0, 0.0, False
-        table, get = self.known.parts, part_alike
+        table, most, get = self.known.parts, self.known.most, part_alike
         alike_ = [(get(x, y), m, n) for m, x in enumerate(pa_) for n, y in enumerate(pb)]
         rows, columns = [0.0] * len(pa_), [0.0] * len(pb)
         for s, m, n in alike_:
@@ -343,11 +394,11 @@ class Batch:
             if len(x) == 1 or len(y) == 1:
                 bits += 2.5
                 continue
-            rarity = table.get(x, MOST_BITS)
+            rarity = table.get(x, most)
             if s == 1.0:
                 bits += rarity
             else:
-                bits += min(rarity, table.get(y, MOST_BITS), 12.0) * (0.65 if s >= CLOSE else 0.4)
+                bits += min(rarity, table.get(y, most), 12.0) * (0.65 if s >= CLOSE else 0.4)
         left_a, left_b = len(pa_) - len(used_a), len(pb) - len(used_b)
         bits -= 4.5 * min(left_a, left_b)  # parts on both sides that answer to nothing
         # a first name is lost that answers to nothing, or, with something left on its side, to a surname (fields exchanged)

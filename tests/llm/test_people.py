@@ -216,3 +216,17 @@ def test_doubtful_entries_are_matched_and_twins_are_not(spark):
     theirs = [("s1", "Gabriella", None, "Zutubington", "1999-04-05", "g@z.example", "ZZ1 1ZZ")]
     got = {(r["a"], r["b"]) for r in M.match(records(spark, data + mine).unionByName(records(spark, theirs, 1))).collect()}
     assert {p for p in got if p[1] == "s1"} == {("z1", "s1"), ("z2", "s1")}
+
+
+def test_rare_values_have_their_own_weight(spark, monkeypatch):
+    data = [r for _, r in people_data(random.Random(15), 150)]
+    recs = records(spark, data).withColumn("person", F.xxhash64("source", "key"))
+    bits = lambda df: {(r["a"], r["b"]): round(r["bits"], 6) for r in df.collect()}
+    left, right = split(people_data(random.Random(16), 120))
+    two = records(spark, left).unionByName(records(spark, right, 1))
+    links, pairs = bits(N.link(recs)), bits(M.candidates(two))
+    # with a table of at most 50 values of each kind nearly all values are counted at their records
+    monkeypatch.setattr(P, "RARE", 1 / 50)
+    assert links and pairs and bits(N.link(recs)) == links and bits(M.candidates(two)) == pairs
+    many = P.Batch(["a||b"] * 2, *np.array([[20010203] * 2, [7] * 2, [8] * 2]), P.Evidence(10**7, email={7: np.log2(10**7 / 2)}))
+    assert many.contact("email", np.array([0]), np.array([1]), -1.0)[0] > 22 and many.contact("post", np.array([0]), np.array([1]), -1.0)[0] > 23
