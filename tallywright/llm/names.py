@@ -15,8 +15,9 @@ from tallywright.session import cut, tasks
 
 #: Records of a range of blocks that are compared at once, and records for a task.
 RANGE_ROWS, ROWS_A_TASK = 1 << 16, 60_000
-#: Records with one birth date, and with one address, from which its block is divided by the names. An address that many share says little.
-HOT, HOT_ADDRESS = 20_000, 50
+#: Records with one birth date, and with one address, from which its block is divided by the names: what is compared at once in memory.
+#: Addresses have more bands with fewer rows, so more pairs. Divided or not, the same pairs are compared.
+HOT, HOT_ADDRESS = 20_000, 2_000
 #: Bits above log2 of the number of records that make two records one person's, and likeness their names must have.
 MARGIN, MIN_LIKE, MIN_SHARE = 5.0, 0.72, 0.4
 
@@ -26,9 +27,9 @@ def bands(similarity: float, recall: float, rows: int) -> int:
     return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
 
 
-#: Rows and bands of a block: 0 of a birth date, 1 of an address, 2 of a part of a hot block.
-ROWS = (2, 1, 3)
-BANDS = (bands(0.42, 0.95, 2), bands(0.25, 0.95, 1), bands(0.7, 0.95, 3))
+#: Rows and bands of a block: 0 of a birth date, 1 of an address, 2 of a part of a hot block, one band of it, where all records collide.
+ROWS = (2, 1, 0)
+BANDS = (bands(0.42, 0.95, 2), bands(0.25, 0.95, 1), 1)
 
 
 def _keys(block: np.ndarray, signature: np.ndarray, rows: int, n: int) -> Iterator[np.ndarray]:
@@ -85,6 +86,11 @@ def _links(t: pa.Table, known: Evidence, threshold: float) -> pa.RecordBatch | N
     same_mail = (batch.email[i] == batch.email[j]) & (batch.email[i] != 0)
     ok = same_mail | (share(batch.bits(), i, j) >= MIN_SHARE)
     i, j, same_mail = i[ok], j[ok], same_mail[ok]
+    # names can't give more than all their parts, so most pairs need no comparison of them
+    table, most = batch.known.parts, batch.known.most
+    full = np.array([sum([max(2.5, table.get(w, most)) for p in batch.split(n)[:1] for w in p]) for n in range(len(batch.names))])
+    ok = batch.dates(i, j) + batch.contact("email", i, j, -1.5) + batch.contact("post", i, j, -1.0) + np.minimum(full[i], full[j]) >= threshold - 1e-6
+    i, j, same_mail = i[ok], j[ok], same_mail[ok]
     total, like = weigh(batch, i, j)
     ok = (total >= threshold) & (same_mail | (like >= MIN_LIKE))
     if not ok.any():
@@ -124,7 +130,9 @@ def link(records: DataFrame, margin: float = MARGIN) -> DataFrame:
     evidence.
 
     Blocks are compared where they lie, so only records are shuffled, not bands or pairs. A birth
-    date or address that more than HOT or HOT_ADDRESS records share is divided by bands of the names first.
+    date or address that more than HOT or HOT_ADDRESS records share is divided by the same bands first,
+    a part for each value of each band, so the same pairs are compared as in the whole block (of a
+    birth date, as far as day and month are not exchanged).
     """
     spark = records.sparkSession
     known, records = weighted(records)
@@ -146,11 +154,12 @@ def link(records: DataFrame, margin: float = MARGIN) -> DataFrame:
             if b.num_rows:
                 t = pa.Table.from_batches([b])
                 columns = {c: _array(t, c) for c in hot}
-                signature = Batch(t["name"].to_pylist(), *columns.values(), none).signature(ROWS[2] * BANDS[2])
+                signature = Batch(t["name"].to_pylist(), *columns.values(), none).signature(max(ROWS[0] * BANDS[0], ROWS[1] * BANDS[1]))
                 for c, values in hot.items():
-                    at = np.flatnonzero(np.isin(columns[c], values))
-                    for key in _keys(columns[c][at], signature[at], ROWS[2], BANDS[2]) if len(at) else ():
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), pa.array(np.zeros(len(at), "i4")), *b.take(pa.array(at)).columns], names=["block", "kind", *fields])
+                    at, k = np.flatnonzero(np.isin(columns[c], values)), int(c != "born")
+                    for n, key in enumerate(_keys(columns[c][at], signature[at], ROWS[k], BANDS[k])) if len(at) else ():
+                        key = (key ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)  # a part for each band
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), pa.array(np.full(len(at), 2, "i4")), *b.take(pa.array(at)).columns], names=["block", "kind", *fields])
 
     if any(hot.values()):
         heated = records.where(is_hot("born") | is_hot("email") | is_hot("post")).select(*fields)

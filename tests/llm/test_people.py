@@ -230,3 +230,18 @@ def test_rare_values_have_their_own_weight(spark, monkeypatch):
     assert links and pairs and bits(N.link(recs)) == links and bits(M.candidates(two)) == pairs
     many = P.Batch(["a||b"] * 2, *np.array([[20010203] * 2, [7] * 2, [8] * 2]), P.Evidence(10**7, email={7: np.log2(10**7 / 2)}))
     assert many.contact("email", np.array([0]), np.array([1]), -1.0)[0] > 22 and many.contact("post", np.array([0]), np.array([1]), -1.0)[0] > 23
+
+
+def test_dividing_hot_addresses_loses_no_pair(spark, monkeypatch):
+    rng = random.Random(17)
+    data = []
+    for p in range(120):
+        l = rng.choice(LAST) + chr(97 + p % 26) + chr(97 + p // 26) + "x"
+        data += [(f"{p}-0", "Robert", None, l, None, "hall@x.example", None), (f"{p}-1", "Bob", None, l, f"{1980 + p % 20}-01-{1 + p % 28:02d}", "hall@x.example", None)]
+    data += [r for _, r in people_data(rng, 300)]  # so that the mailbox isn't everyone's
+    recs = records(spark, data).withColumn("person", F.xxhash64("source", "key"))
+    links = lambda: {(r["a"], r["b"]) for r in N.link(recs, 0.0).collect()}
+    monkeypatch.setattr(N, "HOT_ADDRESS", 10_000)
+    whole = links()
+    monkeypatch.setattr(N, "HOT_ADDRESS", 50)
+    assert len(whole) > 100 and links() == whole
