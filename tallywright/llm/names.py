@@ -124,7 +124,8 @@ def link(records: DataFrame, margin: float = MARGIN) -> DataFrame:
 
     records as people() gives them, with person, a number for each source and key. A record is
     compared within blocks: those of its birth date (day and month in either order), of its e-mail
-    address and of its postcode; names alone never reach the threshold. Inside a block candidates
+    address and of its postcode. Records that share none of them are not compared, though rare names
+    alone can reach the threshold. Inside a block candidates
     are records whose names' padded 2-grams collide in a MinHash band; the number of bands follows
     from the collision curve. Candidates are verified by Monge-Elkan likeness and by the bits of all
     evidence.
