@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.persons import Batch, Evidence, share, weigh, weighted
+from tallywright.llm.persons import PAIR, PAIR_NAMES, Batch, Evidence, evidence, numbers, settle, tally, weigh
 from tallywright.session import cut, tasks
 
 #: Records a window spans, records compared at once, and records for a task.
@@ -17,67 +18,66 @@ WINDOW, RANGE_ROWS, ROWS_A_TASK = 16, 1 << 15, 250_000
 #: Bits above log2 of the number of records that make a pair a match, and that make it one beyond doubt.
 MARGIN, BEYOND_DOUBT = 4.0, 12.0
 MIN_SHARE, MIN_OTHER = 0.3, -3.0
+#: Bits of an address that differs, and number of sort keys.
+DIFFERS, KEYS = -1.0, 5
 #: Bits from which the records of two keys that want one partner speak for one person: more for than against.
-AGREE = 0.0
+AGREE = 1e-9
 #: Bits by which a bid at least rises.
 STEP = 0.25
 
-_FIELDS = ["source", "key", "name", "born", "email", "post", "rare"]
+_FIELDS = ["source", "key", "name", "born", "email", "post"]
 
 
-def sort_keys() -> list:
-    """The composite sort keys, each a text; null where its leading field is unknown."""
-    field = lambda n: F.get(F.split("name", r"\|"), F.lit(n))
-    first, last = F.regexp_extract(field(0), r"^\S*", 0), F.translate(field(2), " ", "")
-    born = F.col("born").cast("string")
-    hexed = lambda c: F.hex(F.col(c))
+def sort_keys(records: DataFrame) -> DataFrame:
+    """The records once for each composite sort key (at), which begins with the key's number; keys whose leading field is unknown are left out.
+
+    Each key leads by another field: birth date and surname, birth date and first name, all parts of
+    the name in order, e-mail address, postcode. Two records of one person agree in at least one of
+    them, but for what is typed wrong in the rest.
+    """
+    named = records.select(*_FIELDS, F.split("name", r"\|").alias("_n"))
+    named = named.select(*_FIELDS, F.substring_index(F.get("_n", F.lit(0)), " ", 1).alias("_first"), F.translate(F.get("_n", F.lit(2)), " ", "").alias("_last"))
     ordered = F.array_join(F.array_sort(F.filter(F.split(F.translate("name", "|", " "), " "), lambda p: F.length(p) > 1)), "")
-    key = lambda lead, *rest: F.when(lead.isNotNull() & (lead != ""), F.concat_ws("~", lead, *[F.coalesce(r, F.lit("")) for r in rest]))
-    return [
-        key(born, last, first),
-        key(born, first, last),
-        key(last, first, born),
-        key(ordered, born),
-        key(first, F.reverse(last), born),
-        key(hexed("email"), last, first),
-        key(hexed("post"), born, first),
-        key(F.reverse(last), F.substring(first, 1, 1), born),
-    ]
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    leads = [("born", ["_last", "_first"]), ("born", ["_first", "_last"]), (None, ["born"]), ("email", ["_last", "_first"]), ("post", ["born", "_first"])]
+    keys = []
+    for n, (lead, rest) in enumerate(leads):
+        first = F.nullif(ordered, F.lit("")) if lead is None else F.col(lead).cast("string")
+        keys.append(F.when(first.isNotNull(), F.concat(F.lit(str(n)), first, *[x for c in rest for x in (F.lit("~"), text(c))])))
+    return named.select(*_FIELDS, F.explode(F.array_compact(F.array(*keys))).alias("at"))
 
 
 def _window_pairs(t: pa.Table, known: Evidence, threshold: float, crossing: np.ndarray | None = None) -> pa.RecordBatch:
     """The matches among neighbours in a sorted table. crossing: where given, only pairs across its change are compared."""
-    array = lambda c: t[c].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
-    batch = Batch(t["name"].to_pylist(), array("born"), array("email"), array("post"), known.beside(t))
-    source, turn, bits = array("source"), array("turn"), batch.bits()
+    batch = Batch(t["name"].combine_chunks(), numbers(t, "born"), numbers(t, "email"), numbers(t, "post"), known)
+    source, turn = numbers(t, "source"), np.array(pc.utf8_slice_codeunits(t["at"], 0, 1).cast(pa.int32()))
+    most = batch.most_bits()[batch.code]
     found_i, found_j = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
     for d in range(1, min(WINDOW, len(source))):
-        i = np.arange(len(source) - d)
-        j = i + d
-        ok = (source[i] != source[j]) & (turn[i] == turn[j])
+        i = np.flatnonzero((source[d:] != source[:-d]) & (turn[d:] == turn[:-d]))
         if crossing is not None:
-            ok &= crossing[i] != crossing[j]
+            i = i[crossing[i] != crossing[i + d]]
+        j = i + d
+        # names can't give more than all their parts
+        other = batch.dates(i, j) + batch.contact("email", i, j, DIFFERS) + batch.contact("post", i, j, DIFFERS)
+        ok = (other >= MIN_OTHER) & (other + np.minimum(most[i], most[j]) >= threshold - 1e-6)
         i, j = i[ok], j[ok]
         mail = (batch.email[i] == batch.email[j]) & (batch.email[i] != 0)
-        ok = mail | (share(bits, i, j) >= MIN_SHARE)
-        i, j = i[ok], j[ok]
-        other = batch.dates(i, j) + batch.contact("email", i, j, -1.0) + batch.contact("post", i, j, -1.0)
-        ok = other >= MIN_OTHER
+        ok = mail | (batch.share(i, j) >= MIN_SHARE)
         found_i.append(i[ok])
         found_j.append(j[ok])
-    i, j = np.concatenate(found_i), np.concatenate(found_j)
-    total, _ = weigh(batch, i, j, -1.0, -1.0)
-    ok = total >= threshold
-    i, j, total = i[ok], j[ok], total[ok]
+    w = weigh(batch, np.concatenate(found_i), np.concatenate(found_j), DIFFERS, DIFFERS)
+    ok = np.flatnonzero(w.total >= threshold)
+    i, j = w.i[ok], w.j[ok]
     a, b = np.where(source[i] == 0, i, j), np.where(source[i] == 0, j, i)
     key = t["key"].combine_chunks()
-    return pa.RecordBatch.from_arrays([key.take(pa.array(a)), key.take(pa.array(b)), pa.array(total)], names=["a", "b", "bits"])
+    return pa.RecordBatch.from_arrays([key.take(pa.array(a)), key.take(pa.array(b)), *w.columns(ok)], names=["a", "b", *PAIR_NAMES])
 
 
-def candidates(records: DataFrame, margin: float = MARGIN, known: Evidence | None = None) -> DataFrame:
+def candidates(records: DataFrame, margin: float = MARGIN, known: Evidence | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Rows (a, b, bits): keys of sources 0 and 1 whose records, in some window, are one person's by their evidence.
 
-    records as people() gives them, of sources 0 and 1, or, with known, as weighted() does. They are range-sorted by each of several
+    records as people() gives them, of sources 0 and 1. They are range-sorted by each of several
     composite keys; a window slides over every order, and the records of the two sources in it are
     compared field by field: names by likeness of their parts, birth dates by parts, addresses. The
     weights are bits of evidence, by how rare a value is. The windows over the boundaries of
@@ -85,82 +85,71 @@ def candidates(records: DataFrame, margin: float = MARGIN, known: Evidence | Non
     are sorted by the key's other fields, and the window moves on.
     """
     spark = records.sparkSession
-    if known is None:
-        known, records = weighted(records)
+    counts = tally(records) if counts is None else counts
+    known = evidence(records, counts) if known is None else known
     per_source = records.groupBy("source").agg(F.count_distinct("key").alias("n")).agg(F.max("n")).first()[0] or 1
     threshold = float(np.log2(max(2, per_source)) + margin)
     shared = spark.sparkContext.broadcast((known.n, known.parts, known.born, known.email, known.post))
-    keys = F.array(*[F.struct(F.lit(n).alias("turn"), k.alias("at")) for n, k in enumerate(sort_keys())])
-    placed = records.select(*_FIELDS, F.explode(F.filter(keys, lambda k: k["at"].isNotNull())).alias("_k")).select("_k.turn", "_k.at", *_FIELDS)
-    sorted_rows = placed.repartitionByRange(tasks(spark, known.n * len(sort_keys()), ROWS_A_TASK), "turn", "at", "key").sortWithinPartitions("turn", "at", "key").withColumn("pid", F.spark_partition_id())
-    result = "a string, b string, bits double, edge int, half int, turn int, at string, source int, key string, name string, born int, email bigint, post bigint, rare array<bigint>"
-    edge_fields = ["turn", "at", *_FIELDS]
-
-    def empty(n: int, kind: pa.DataType) -> pa.Array:
-        return pa.nulls(n, kind)
+    sorted_rows = sort_keys(records).repartitionByRange(tasks(spark, known.n * KEYS, ROWS_A_TASK), "at", "key").sortWithinPartitions("at", "key").withColumn("pid", F.spark_partition_id())
+    edge_fields = ["at", *_FIELDS]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+    result = "a string, b string, " + PAIR.replace("email", "same_email").replace("post", "same_post") + ", edge int, half int, at string, source int, key string, name string, born int, email bigint, post bigint"
+    names = ["a", "b", "bits", "same_email", "same_post", "words", "edge", "half", *edge_fields]
 
     def matches(found: pa.RecordBatch) -> pa.RecordBatch:
-        n = found.num_rows
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([*found.columns, *[empty(n, k) for k in kinds]], names=["a", "b", "bits", "edge", "half", *edge_fields])
+        return pa.RecordBatch.from_arrays([*found.columns, *[pa.nulls(found.num_rows, k) for k in (pa.int32(), pa.int32(), *kinds)]], names=names)
 
     def edges(t: pa.Table, edge: int, half: int) -> pa.RecordBatch:
         n = t.num_rows
-        own = [*[t[c].combine_chunks() for c in edge_fields[:-1]], t["rare"].combine_chunks().cast(pa.list_(pa.int64()))]  # as in matches()
-        return pa.RecordBatch.from_arrays([empty(n, pa.string()), empty(n, pa.string()), empty(n, pa.float64()), pa.array(np.full(n, edge, "i4")), pa.array(np.full(n, half, "i4")), *own], names=["a", "b", "bits", "edge", "half", *edge_fields])
+        none = [pa.nulls(n, k) for k in (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*none, pa.array(np.full(n, edge, "i4")), pa.array(np.full(n, half, "i4")), *[t[c].combine_chunks() for c in edge_fields]], names=names)
 
     def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Evidence(*shared.value)
         carried: pa.Table | None = None
         held: list[pa.RecordBatch] = []
         rows, pid = 0, None
+        first = True
 
-        def run() -> pa.Table:
+        def compared() -> Iterator[pa.RecordBatch]:
+            nonlocal carried, held, rows, first
             t = pa.Table.from_batches(held).combine_chunks()
-            return t
-
-        first = True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            pid = batch.column(batch.schema.get_field_index("pid"))[0].as_py()
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= RANGE_ROWS:
-                t = run()
-                if first:
-                    yield edges(t.slice(0, WINDOW - 1), pid, 1)
-                    first = False
-                # pairs among the rows carried over were compared before; the distinct step drops them
-                yield matches(_window_pairs(t if carried is None else pa.concat_tables([carried, t]).combine_chunks(), own, threshold))
-                carried = t.slice(max(0, t.num_rows - WINDOW + 1))
-                held, rows = [], 0
-        if rows:
-            t = run()
             if first:
                 yield edges(t.slice(0, WINDOW - 1), pid, 1)
+                first = False
+            # pairs among the rows carried over were compared before; settling drops them
             t = t if carried is None else pa.concat_tables([carried, t]).combine_chunks()
             yield matches(_window_pairs(t, own, threshold))
-            carried = t.slice(max(0, t.num_rows - WINDOW + 1))
+            carried, held, rows = t.slice(max(0, t.num_rows - WINDOW + 1)), [], 0
+
+        for batch in batches:
+            if batch.num_rows:
+                pid = batch.column(batch.schema.get_field_index("pid"))[0].as_py()
+                held.append(batch)
+                rows += batch.num_rows
+                if rows >= RANGE_ROWS:
+                    yield from compared()
+        if rows:
+            yield from compared()
         if carried is not None:
             yield edges(carried, pid + 1, 0)
 
     found = cut(sorted_rows.mapInArrow(slide, result))
 
     def across(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("half", "ascending"), ("turn", "ascending"), ("at", "ascending"), ("key", "ascending")])
+        t = t.sort_by([("half", "ascending"), ("at", "ascending"), ("key", "ascending")])
         return pa.Table.from_batches([_window_pairs(t, Evidence(*shared.value), threshold, t["half"].to_numpy())])
 
-    seams = found.where("edge is not null").groupBy("edge").applyInArrow(across, "a string, b string, bits double")
-    pairs = found.where("edge is null").select("a", "b", "bits").unionByName(seams)
-    return pairs.groupBy("a", "b").agg(F.max("bits").alias("bits"))
+    seams = found.where("edge is not null").groupBy("edge").applyInArrow(across, "a string, b string, " + PAIR)
+    pairs = found.where("edge is null").select("a", "b", "bits", F.col("same_email").alias("email"), F.col("same_post").alias("post"), "words").unionByName(seams)
+    return settle(pairs, counts, known, threshold)
 
 
 def _best(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a").agg(F.max_by(F.struct("b", "bits"), F.struct("bits", "b")).alias("x")).select("a", "x.b", "x.bits")
 
 
-def entries(records: DataFrame, pairs: DataFrame, known: Evidence) -> DataFrame:
+def entries(records: DataFrame, pairs: DataFrame, known: Evidence, counts: DataFrame) -> DataFrame:
     """Rows (a, holder): keys of source 0 whose best b is holder's best too, and whose own records speak for one person.
 
     holder is the a with most bits for that b, so every other a is compared once. Each pair of their
@@ -179,12 +168,13 @@ def entries(records: DataFrame, pairs: DataFrame, known: Evidence) -> DataFrame:
         for b in batches:
             n, t = b.num_rows, pa.Table.from_batches([b])
             two = pa.table({c: pa.concat_arrays([t[f"{s}_{c}"].combine_chunks() for s in "xy"]) for c in own})
-            batch = Batch(two["name"].to_pylist(), *(two[c].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) for c in ("born", "email", "post")), evid.beside(two))
-            total, _ = weigh(batch, np.arange(n), np.arange(n) + n)
-            ok = pa.array(total > AGREE)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("holder").filter(ok)], names=["a", "holder"])
+            batch = Batch(two["name"].combine_chunks(), numbers(two, "born"), numbers(two, "email"), numbers(two, "post"), evid)
+            w = weigh(batch, np.arange(n), np.arange(n) + n)
+            ok = np.flatnonzero(w.total >= AGREE)
+            yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(ok)), b.column("holder").take(pa.array(ok)), *w.columns(ok)], names=["a", "b", *PAIR_NAMES])
 
-    return both.mapInArrow(compare, "a string, holder string").distinct()
+    agree = settle(both.mapInArrow(compare, "a string, b string, " + PAIR), counts, known, AGREE)
+    return agree.select("a", F.col("b").alias("holder"))
 
 
 def assign(pairs: DataFrame, threshold: float, one: DataFrame | None = None) -> DataFrame:
@@ -239,7 +229,8 @@ def match(records: DataFrame, margin: float = MARGIN) -> DataFrame:
     """
     records = cut(records)
     n = max(2, records.select("source", "key").distinct().groupBy("source").count().agg(F.max("count")).first()[0] or 1)
-    known, records = weighted(records)
-    pairs = cut(candidates(records, margin, known))
-    out = assign(pairs, float(np.log2(n)) + BEYOND_DOUBT, entries(records, pairs, known))
+    counts = tally(records)
+    known = evidence(records, counts)
+    pairs = cut(candidates(records, margin, known, counts))
+    out = assign(pairs, float(np.log2(n)) + BEYOND_DOUBT, entries(records, pairs, known, counts))
     return out.withColumn("confidence", 1 / (1 + F.pow(F.lit(2.0), F.lit(float(np.log2(n))) - F.col("bits"))))

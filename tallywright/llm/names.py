@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.persons import Batch, Evidence, share, weigh, weighted
-from tallywright.session import cut, tasks
+from tallywright.llm.persons import KINDS, PAIR, PAIR_NAMES, Batch, Evidence, evidence, numbers, settle, tally, weigh
+from tallywright.session import cut, small, tasks
 
 #: Records of a range of blocks that are compared at once, and records for a task.
 RANGE_ROWS, ROWS_A_TASK = 1 << 16, 60_000
@@ -27,9 +27,11 @@ def bands(similarity: float, recall: float, rows: int) -> int:
     return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
 
 
-#: Rows and bands of a block: 0 of a birth date, 1 of an address, 2 of a part of a hot block, one band of it, where all records collide.
-ROWS = (2, 1, 0)
-BANDS = (bands(0.42, 0.95, 2), bands(0.25, 0.95, 1), 1)
+#: What a block is of: a birth date, an e-mail address, a postcode; of a hot one of these the records that collide in one band.
+BORN, EMAIL, POST, PART = range(4)
+#: Rows and bands of each.
+ROWS = (2, 1, 1, 0)
+BANDS = (bands(0.42, 0.95, 2), bands(0.25, 0.95, 1), bands(0.25, 0.95, 1), 1)
 
 
 def _keys(block: np.ndarray, signature: np.ndarray, rows: int, n: int) -> Iterator[np.ndarray]:
@@ -58,45 +60,41 @@ def _collisions(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(i, j), np.maximum(i, j)
 
 
-def _array(t: pa.Table, name: str) -> np.ndarray:
-    return t[name].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
-
-
 def _links(t: pa.Table, known: Evidence, threshold: float) -> pa.RecordBatch | None:
-    """The links among the records of whole blocks, with their bits."""
-    block, person = _array(t, "block"), _array(t, "person")
-    starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    """The links among the records of whole blocks, with their bits as settle() takes them."""
+    block, source, person = (numbers(t, c) for c in ("block", "source", "person"))
+    starts = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (source[1:] != source[:-1])))
     several = np.minimum.reduceat(person, starts) != np.maximum.reduceat(person, starts)
     t = t.filter(pa.array(np.repeat(several, np.diff(np.append(starts, len(block))))))
     if not t.num_rows:
         return None
-    batch = Batch(t["name"].to_pylist(), _array(t, "born"), _array(t, "email"), _array(t, "post"), known.beside(t))
-    block, kind, source, person = (_array(t, c) for c in ("block", "kind", "source", "person"))
+    block, kind, source, person, email, post = (numbers(t, c) for c in ("block", "kind", "source", "person", "email", "post"))
+    # a block's own value is not repeated in its records
+    batch = Batch(t["name"].combine_chunks(), numbers(t, "born"), np.where(kind == EMAIL, block, email), np.where(kind == POST, block, post), known)
     signature = batch.signature(max(r * b for r, b in zip(ROWS, BANDS, strict=True)))
+    block = block ^ source  # records of one source only are compared
     found = []
     for k in np.unique(kind):
         own = np.flatnonzero(kind == k)
         for key in _keys(block[own], signature[own], ROWS[k], BANDS[k]):
             i, j = _collisions(key)
-            found.append(own[i] * len(block) + own[j])
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, "i8")
+            i, j = own[i], own[j]
+            ok = (source[i] == source[j]) & (person[i] != person[j])
+            found.append(i[ok] * len(block) + j[ok])
+    pairs = np.unique(np.concatenate(found))
     i, j = pairs // len(block), pairs % len(block)
-    ok = (source[i] == source[j]) & (person[i] != person[j])
-    i, j = i[ok], j[ok]
     same_mail = (batch.email[i] == batch.email[j]) & (batch.email[i] != 0)
-    ok = same_mail | (share(batch.bits(), i, j) >= MIN_SHARE)
-    i, j, same_mail = i[ok], j[ok], same_mail[ok]
+    ok = same_mail | (batch.share(i, j) >= MIN_SHARE)
+    i, j = i[ok], j[ok]
     # names can't give more than all their parts, so most pairs need no comparison of them
-    table, most = batch.known.parts, batch.known.most
-    full = np.array([sum([max(2.5, table.get(w, most)) for p in batch.split(n)[:1] for w in p]) for n in range(len(batch.names))])
-    ok = batch.dates(i, j) + batch.contact("email", i, j, -1.5) + batch.contact("post", i, j, -1.0) + np.minimum(full[i], full[j]) >= threshold - 1e-6
-    i, j, same_mail = i[ok], j[ok], same_mail[ok]
-    total, like = weigh(batch, i, j)
-    ok = (total >= threshold) & (same_mail | (like >= MIN_LIKE))
-    if not ok.any():
-        return None
+    most = batch.most_bits()[batch.code]
+    ok = batch.dates(i, j) + batch.contact("email", i, j, -1.5) + batch.contact("post", i, j, -1.0) + np.minimum(most[i], most[j]) >= threshold - 1e-6
+    i, j = i[ok], j[ok]
+    w = weigh(batch, i, j)
+    same_mail = (batch.email[i] == batch.email[j]) & (batch.email[i] != 0)
+    ok = np.flatnonzero((w.total >= threshold) & (same_mail | (w.like >= MIN_LIKE)))
     a, b = person[i[ok]], person[j[ok]]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(total[ok])], names=["a", "b", "bits"])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *w.columns(ok)], names=["a", "b", *PAIR_NAMES])
 
 
 def whole_blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -136,44 +134,52 @@ def link(records: DataFrame, margin: float = MARGIN) -> DataFrame:
     birth date, as far as day and month are not exchanged).
     """
     spark = records.sparkSession
-    known, records = weighted(records)
+    counts = tally(records)
+    known = evidence(records, counts)
     threshold = float(np.log2(max(2, known.n)) + margin)
-    most = {"born": HOT, "email": HOT_ADDRESS, "post": HOT_ADDRESS}
-    hot = {c: [v for v, bits in getattr(known, c).items() if known.n * 2.0**-bits > n] for c, n in most.items()}
     shared = spark.sparkContext.broadcast((known.n, known.parts, known.born, known.email, known.post))
-
+    fields = ["source", "person", "name", "born", "email", "post"]
+    schema = "block bigint, kind int, source int, person bigint, name string, born int, email bigint, post bigint"
+
+    # which values are hot: as many rows as there are such values
+    hot = [counts.where((F.col("kind") == n) & (F.col("c") > (HOT_ADDRESS if n else HOT))).select(F.col("value").alias(c)).withColumn(f"hot_{c}", F.lit(True)) for n, c in enumerate(KINDS)]
+    flags = {c: F.lit(False) for c in KINDS}
+    for n, c in enumerate(KINDS):
+        if not hot[n].isEmpty():
+            records = records.join(small(hot[n].withColumn(c, F.col(c).cast(dict(records.dtypes)[c]))), c, "left")
+            flags[c] = F.col(f"hot_{c}").isNotNull()
     y, m, d = F.floor(F.col("born") / 10000), F.floor(F.col("born") / 100) % 100, F.col("born") % 100
-    fields = ["source", "person", "name", "born", "email", "post", "rare"]
-    is_hot = lambda c: F.coalesce(F.col(c).isin(hot[c]), F.lit(False)) if hot[c] else F.lit(False)
-    block = lambda c, n, kind, *of: F.when(F.col(c).isNotNull() & ~is_hot(c), F.struct(F.xxhash64(F.lit(n), *of).alias("block"), F.lit(kind).alias("kind")))
-    blocks = F.array(block("born", 0, 0, y, F.least(m, d), F.greatest(m, d)), block("email", 1, 1, F.col("email")), block("post", 2, 1, F.col("post")))
-    placed = records.select(*fields, F.explode(F.filter(blocks, lambda x: x.isNotNull())).alias("_b")).select("_b.block", "_b.kind", *fields)
+    block = lambda c, kind, of: F.when(F.col(c).isNotNull() & ~flags[c], F.struct(of.cast("bigint").alias("block"), F.lit(kind).alias("kind")))
+    blocks = F.array(block("born", BORN, y * 10000 + F.least(m, d) * 100 + F.greatest(m, d)), block("email", EMAIL, F.col("email")), block("post", POST, F.col("post")))
+    placed = records.select(*fields, F.explode(F.filter(blocks, lambda x: x.isNotNull())).alias("_b"))
+    own = {"email": F.when(F.col("_b.kind") != EMAIL, F.col("email")).alias("email"), "post": F.when(F.col("_b.kind") != POST, F.col("post")).alias("post")}
+    placed = placed.select("_b.block", "_b.kind", *[own.get(c, F.col(c)) for c in fields])
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = Evidence(1)
         for b in batches:
             if b.num_rows:
                 t = pa.Table.from_batches([b])
-                columns = {c: _array(t, c) for c in hot}
-                signature = Batch(t["name"].to_pylist(), *columns.values(), none).signature(max(ROWS[0] * BANDS[0], ROWS[1] * BANDS[1]))
-                for c, values in hot.items():
-                    at, k = np.flatnonzero(np.isin(columns[c], values)), int(c != "born")
+                columns = {c: numbers(t, c) for c in KINDS}
+                signature = Batch(t["name"].combine_chunks(), *columns.values(), none).signature(max(r * n for r, n in zip(ROWS, BANDS, strict=True)))
+                for k, c in enumerate(KINDS):
+                    at = np.flatnonzero(numbers(t, f"hot_{c}"))
                     for n, key in enumerate(_keys(columns[c][at], signature[at], ROWS[k], BANDS[k])) if len(at) else ():
                         key = (key ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)  # a part for each band
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), pa.array(np.full(len(at), 2, "i4")), *b.take(pa.array(at)).columns], names=["block", "kind", *fields])
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), pa.array(np.full(len(at), PART, "i4")), *b.select(fields).take(pa.array(at)).columns], names=["block", "kind", *fields])
 
-    if any(hot.values()):
-        heated = records.where(is_hot("born") | is_hot("email") | is_hot("post")).select(*fields)
-        placed = placed.unionByName(heated.mapInArrow(divide, "block bigint, kind int, source int, person bigint, name string, born int, email bigint, post bigint, rare array<bigint>"))
+    if len(records.columns) > len(fields):
+        heated = records.where(flags["born"] | flags["email"] | flags["post"]).select(*fields, *[f.cast("int").alias(f"hot_{c}") for c, f in flags.items()])
+        placed = placed.unionByName(heated.mapInArrow(divide, schema))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Evidence(*shared.value)
+        evid = Evidence(*shared.value)
         for t in whole_blocks(batches, RANGE_ROWS):
-            if (out := _links(t, own, threshold)) is not None:
+            if (out := _links(t, evid, threshold)) is not None:
                 yield out
 
-    linked = placed.repartition(tasks(spark, known.n, ROWS_A_TASK), "block").sortWithinPartitions("block").mapInArrow(compare, "a bigint, b bigint, bits double")
-    return linked.groupBy("a", "b").agg(F.max("bits").alias("bits"))
+    linked = placed.repartition(tasks(spark, known.n, ROWS_A_TASK), "block").sortWithinPartitions("block", "source").mapInArrow(compare, "a bigint, b bigint, " + PAIR)
+    return settle(linked, counts, known, threshold)
 
 
 def star_clusters(links: DataFrame) -> DataFrame:

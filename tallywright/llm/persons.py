@@ -16,6 +16,7 @@ from datetime import date
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +45,8 @@ theodore ted teddy theo; thomas tom tommy; timothy tim timmy; victoria tori vick
 RARE = 1 / 20_000
 #: Bits of a value that occurs once, at least.
 MOST_BITS = -np.log2(RARE)
-#: In a record's counts of rare values: count * SLOTS + place, where the places are birth date, e-mail, postcode and the parts of the name.
-SLOTS = 1 << 20
+#: Cells of part likeness that are held at once.
+COMPARED = 2_000_000
 GRAM_BITS = 256
 #: Years that make a generation, and dates that stand for an unknown one.
 GENERATION, NO_DATES = 15, (19000101, 11111111, 99991231)
@@ -169,8 +170,9 @@ def monge_elkan(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return sum(max(part_alike(x, y) for y in b) for x in a) / len(a)
 
 
-#: From this likeness on parts answer to each other; from the second on without doubt.
-LIKE, CLOSE = 0.58, 0.78
+#: From this likeness on parts answer to each other; from the second on without doubt. Parts that are only alike have at most so many
+#: bits to give, fewer than any rare part has. Bits of two birth dates that differ in one part of three.
+LIKE, CLOSE, MOST_ALIKE, TWO_PARTS = 0.58, 0.78, 12.0, 3.0
 
 
 _DATES = [re.compile(p) for p in (r"(\d{4})[-/.]?(\d{1,2})[-/.]?(\d{1,2})", r"(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4}|\d\d)", r"(\d{1,2})[- ]?([A-Z]{3})[A-Z]*[- ]?(\d{4}|\d\d)")]
@@ -212,11 +214,16 @@ def people(df: DataFrame, source: int, key: Column, first: str, middle: str | No
     hashed = lambda c: F.when(packed(c) != "", F.xxhash64(packed(c)))
     raw = df.select(key.cast("string").alias("key"), text(first).alias("f"), text(middle).alias("m"), text(last).alias("l"), F.col(birth).cast("string").alias("born"), hashed(email).alias("email"), hashed(postcode).alias("post")).where(F.col("key").isNotNull())
 
+    def told(column: pa.Array, read: Callable, kind: pa.DataType) -> pa.Array:
+        """read over a column, once for each different text."""
+        texts = column.fill_null("").dictionary_encode()
+        return pa.array([read(x) for x in texts.dictionary.to_pylist()], kind).take(texts.indices)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = ["|".join(" ".join(clean(x) if x else ()) for x in row) for row in zip(*(b.column(n).to_pylist() for n in (1, 2, 3)), strict=True)]
-            born = [birth_date(x) or None if x else None for x in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(born, pa.int32()), b.column(5), b.column(6)], names=["key", "name", "born", "email", "post"])
+            names = [told(b.column(n), lambda x: " ".join(clean(x)) if x else "", pa.string()) for n in (1, 2, 3)]
+            born = told(b.column(4), lambda x: birth_date(x) or None if x else None, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_join_element_wise(*names, "|"), born, b.column(5), b.column(6)], names=["key", "name", "born", "email", "post"])
 
     cleaned = raw.mapInArrow(run, "key string, name string, born int, email bigint, post bigint")
     return cleaned.distinct().select(F.lit(source).alias("source"), "key", "name", "born", "email", "post")
@@ -224,7 +231,7 @@ def people(df: DataFrame, source: int, key: Column, first: str, middle: str | No
 
 @dataclass
 class Evidence:
-    """Bits by value; a value without any occurs once. n is the number of records."""
+    """Bits by value; a value without any occurs once. n is the number of records, exact whether all values that occur twice are here."""
 
     n: int
     parts: dict[str, float] = field(default_factory=dict)
@@ -237,123 +244,158 @@ class Evidence:
         """Bits of a value that occurs once."""
         return max(MOST_BITS, float(np.log2(max(2, self.n))))
 
-    def beside(self, t: pa.Table) -> Evidence:
-        """These and the bits of the rarer values of some records, from the counts they carry (weighted)."""
-        rare = t["rare"].combine_chunks()
-        size = rare.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        flat = rare.flatten().to_numpy(zero_copy_only=False)
-        if not len(flat):
-            return self
-        row, place, bits = np.repeat(np.arange(len(size)), size), flat % SLOTS, np.log2(self.n / (flat // SLOTS))
-        out = []
-        for n, (c, known) in enumerate((("born", self.born), ("email", self.email), ("post", self.post))):
-            at = np.flatnonzero(place == n)
-            out.append(known | dict(zip(t[c].combine_chunks().take(pa.array(row[at])).to_pylist(), bits[at].tolist(), strict=True)))
-        words = [x.replace("|", " ").split() for x in t["name"].to_pylist()]
-        at = np.flatnonzero(place > 2)
-        parts = self.parts | {words[r][k - 3]: b for r, k, b in zip(row[at].tolist(), place[at].tolist(), bits[at].tolist(), strict=True)}
-        return Evidence(self.n, parts, *out)
-
-
-def evidence(records: DataFrame) -> Evidence:
-    """How often frequent values occur, from all records; weighted adds the others. Only values with more than RARE of the records are gathered: at most 1 / RARE of each kind (for parts of names some times that)."""
-    n = records.count()
-    least = max(2.0, n * RARE)
-    out = Evidence(n)
-    parts = records.select(F.explode(F.array_distinct(F.split(F.translate("name", "|", " "), " "))).alias("value")).where("value != ''")
-    for kind, values in (("parts", parts), *((c, records.select(F.col(c).alias("value")).where("value is not null")) for c in ("born", "email", "post"))):
-        common = values.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
-        getattr(out, kind).update({r["value"]: float(-np.log2(r["c"] / n)) for r in common.collect()})
+    @property
+    def least(self) -> float:
+        """Records from which a value counts as frequent."""
+        return max(2.0, self.n * RARE)
+
+
+#: Kinds of values in a tally: a number for each column, and one for parts of names.
+KINDS, PART = ("born", "email", "post"), 3
+
+
+def tally(records: DataFrame) -> DataFrame:
+    """Rows (kind, value, word, c): how many records have a value, for all values that two or more have, from all records.
+
+    Counted on the map side first, so a value that many records share makes no hot group.
+    """
+    none, no_word = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    numbers = [F.struct(F.lit(n).alias("kind"), F.col(c).cast("bigint").alias("value"), no_word.alias("word")) for n, c in enumerate(KINDS)]
+    words = F.transform(F.array_distinct(F.filter(F.split(F.translate("name", "|", " "), " "), lambda w: w != "")), lambda w: F.struct(F.lit(PART).alias("kind"), none.alias("value"), w.alias("word")))
+    each = F.filter(F.concat(F.array(*numbers), words), lambda x: x["value"].isNotNull() | x["word"].isNotNull())
+    return cut(records.select(F.explode(each).alias("_v")).groupBy("_v.kind", "_v.value", "_v.word").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+
+
+def evidence(records: DataFrame, counts: DataFrame | None = None) -> Evidence:
+    """The bits of frequent values, and of all birth dates, from a tally of all records.
+
+    Only values with RARE of the records or more are gathered, at most 1 / RARE of each kind (for
+    parts of names some times that), and birth dates, of which there are no more than days in the
+    calendar. settle() has the exact counts of the others.
+    """
+    out = Evidence(records.count())
+    counts = tally(records) if counts is None else counts
+    for r in counts.where((F.col("kind") == 0) | (F.col("c") >= out.least)).collect():
+        getattr(out, (*KINDS, "parts")[r["kind"]])[r["word"] if r["kind"] == PART else r["value"]] = float(-np.log2(r["c"] / out.n))
     return out
 
 
-def weighted(records: DataFrame) -> tuple[Evidence, DataFrame]:
-    """The evidence of frequent values, and the records with their own rarer values' counts (column rare), so that every value has its exact weight.
+#: What a comparison gives of a pair: its bits if its rare values occurred once, and those values, as far as both records have them.
+PAIR = "bits double, email bigint, post bigint, words array<string>"
+
 
-    A value that is not frequent has fewer than RARE of the records, so gathering them by value makes
-    no hot group. Values that occur once are left out.
+def settle(pairs: DataFrame, counts: DataFrame, known: Evidence, threshold: float) -> DataFrame:
+    """Rows (a, b, bits), the most of each pair, with the exact counts of all values, as far as they reach the threshold.
+
+    pairs has (a, b) and PAIR. Values that are not frequent count in it as if they occurred once,
+    which gives no less than their bits; the pairs that reach the threshold so are few, and only
+    their values are looked up in the tally.
     """
-    known = evidence(records)
-    if known.n * RARE <= 2:  # evidence has all values that occur twice
-        return known, records.withColumn("rare", F.lit(None).cast("array<bigint>"))
-    valued = lambda kind, c: F.xxhash64(F.lit(kind), c.cast("string"))
-    kinds = ("born", "email", "post")
-    frequent = [(k, str(v)) for k in ("parts", *kinds) for v in getattr(known, k)]
-    common = records.sparkSession.createDataFrame(frequent, "kind string, of string").select(F.xxhash64("kind", "of").alias("value"))
-    own = F.array(*[F.struct(F.lit(n).cast("bigint").alias("place"), F.when(F.col(k).isNotNull(), valued(k, F.col(k))).alias("value")) for n, k in enumerate(kinds)])
-    words = F.filter(F.split(F.translate("name", "|", " "), " "), lambda w: w != "")
-    named = F.transform(words, lambda w, n: F.struct((n + 3).cast("bigint").alias("place"), valued("parts", w).alias("value")))
-    records = records.withColumn("_r", F.xxhash64("source", "key", "name", "born", "email", "post"))
-    values = records.select("_r", F.explode(F.concat(own, named)).alias("_v")).select("_r", "_v.place", "_v.value").where("value is not null")
-    values = values.join(F.broadcast(common), "value", "left_anti")
-    groups = values.groupBy("value").agg(F.collect_list(F.struct("_r", "place")).alias("at"))
-    groups = groups.withColumn("c", F.size(F.array_distinct(F.col("at._r"))).cast("bigint")).where("c > 1")
-    rare = groups.select(F.explode("at").alias("_at"), "c").select("_at._r", (F.col("c") * SLOTS + F.col("_at.place")).alias("x")).groupBy("_r").agg(F.collect_list("x").alias("rare"))
-    return known, cut(records.join(rare, "_r", "left").drop("_r"))
+    value = lambda kind, v, w: F.xxhash64(kind, v, w)
+    none, no_word = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    own = F.concat(
+        F.filter(F.array(*[F.when(F.col(c).isNotNull(), value(F.lit(n), F.col(c), no_word)) for n, c in enumerate(KINDS) if n]), lambda x: x.isNotNull()),
+        F.transform("words", lambda w: value(F.lit(PART), none, w)),
+    )
+    pairs = pairs.where(F.col("bits") >= threshold)
+    if known.least > 2:
+        counts = counts.where((F.col("kind") > 0) & (F.col("c") < known.least)).select(value(F.col("kind"), F.col("value"), F.col("word")).alias("v"), (F.lit(known.most) - F.log2(F.lit(float(known.n)) / F.col("c"))).alias("less"))
+        # of pairs with the same values the one with most bits has most bits in the end
+        pairs = pairs.groupBy("a", "b", F.sort_array(own).alias("rare")).agg(F.max("bits").alias("bits"))
+        each = pairs.select("a", "b", "rare", "bits", F.explode_outer("rare").alias("v")).join(counts, "v", "left")
+        each = each.repartition("a", "b").groupBy("a", "b", "rare").agg(F.first("bits").alias("bits"), F.sum("less").alias("less"))
+        pairs = each.select("a", "b", (F.col("bits") - F.coalesce("less", F.lit(0.0))).alias("bits")).where(F.col("bits") >= threshold)
+    return pairs.groupBy("a", "b").agg(F.max("bits").alias("bits"))
+
+
+def numbers(t: pa.Table, name: str) -> np.ndarray:
+    """A column as an array, nulls as 0."""
+    return t[name].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
 
 
 class Batch:
-    """Some records as arrays, and the evidence between pairs of them."""
+    """Some records as arrays, and the evidence between pairs of them. What belongs to a name is kept once for each different name."""
 
-    def __init__(self, names: list[str], born: np.ndarray, email: np.ndarray, post: np.ndarray, known: Evidence):
+    def __init__(self, names: list[str] | pa.Array, born: np.ndarray, email: np.ndarray, post: np.ndarray, known: Evidence):
         """born is 0 where unknown, as are email and post."""
         self.known, self.born, self.email, self.post = known, born, email, post
-        self.names = names
-        self._split: dict[int, tuple] = {}
-        self._grams: tuple[np.ndarray, np.ndarray] | None = None
-
-    def split(self, i: int) -> tuple[tuple[str, ...], int, int]:
-        """A name's parts, the place of the first name among them (where there is none the surname's last part), and where the surname begins."""
-        if (known := self._split.get(i)) is None:
-            first, middle, last = (x.split() for x in self.names[i].split("|"))
-            known = self._split[i] = ((*first, *middle, *last), 0 if first or middle else max(0, len(last) - 1), len(first) + len(middle))
-        return known
+        told = (names if isinstance(names, pa.Array) else pa.array(names, pa.string())).dictionary_encode()
+        self.code, self.names = told.indices.to_numpy(zero_copy_only=False).astype("i8"), told.dictionary
+        plain = lambda x: pc.ascii_trim_whitespace(pc.replace_substring_regex(x, "[| ]+", " "))
+        count = lambda x: np.where(pc.equal(x, "").to_numpy(zero_copy_only=False), 0, pc.count_substring(x, " ").to_numpy(zero_copy_only=False) + 1).astype("i8")
+        self.plain = plain(self.names)
+        # a name's parts: how many, where the surname begins, and the place of the first name (where there is none the surname's last part)
+        self.size, self.surname = count(self.plain), count(plain(pc.replace_substring_regex(self.names, r"\|[^|]*$", "")))
+        self.first = np.where(self.surname > 0, 0, np.maximum(0, self.size - 1))
+        self.start = np.cumsum(self.size) - self.size
+        parts = pc.list_flatten(pc.split_pattern(self.plain.filter(pa.array(self.size > 0)), " ")).dictionary_encode()
+        self.part, self.words = parts.indices.to_numpy(zero_copy_only=False).astype("i8"), parts.dictionary.to_pylist()
+        table, most = known.parts, known.most
+        self.word_bits = np.array([table.get(w, most) for w in self.words], float)
+        self.word_rare = np.array([w not in table for w in self.words], bool)
+        self._letters: tuple[np.ndarray, ...] | None = None
+        self._sets: tuple[np.ndarray, np.ndarray] | None = None
+        days, at = np.unique(born, return_inverse=True)
+        self.born_bits = np.array([known.born.get(v, most) for v in days.tolist()], float)[at]
+
+    def most_bits(self) -> np.ndarray:
+        """What each different name's parts can give at most."""
+        return np.bincount(np.repeat(np.arange(len(self.size)), self.size), np.maximum(2.5, self.word_bits)[self.part], len(self.size)) if len(self.part) else np.zeros(len(self.size))
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """The padded 2-grams of all parts of all names, as codes in one flat array, and how many each name has."""
-        if self._grams is None:
-            padded = [" " + " ".join(x.replace("|", " ").split()) + " " if len(x) > 2 else "" for x in self.names]
-            size = np.fromiter(map(len, padded), "i8", len(padded))
-            flat = np.frombuffer("".join(padded).encode("ascii"), "u1").astype("u4")
-            code = np.zeros(len(flat), "u4")
-            if len(flat):
-                code[:-1] = flat[:-1] * 256 + flat[1:]
-            inside = np.ones(len(flat), bool)
-            inside[np.cumsum(size)[size > 0] - 1] = False
-            self._grams = code[inside], np.maximum(size - 1, 0)
-        return self._grams
+        """The padded 2-grams of all parts of the different names, as codes in one flat array, and how many each name has."""
+        if not len(self.plain):
+            return np.zeros(0, "u4"), np.zeros(0, "i8")
+        padded = pc.binary_join_element_wise("", self.plain, "", " ")
+        ends = np.frombuffer(padded.buffers()[1], "i4")[padded.offset : padded.offset + len(padded) + 1].astype("i8")
+        flat = np.frombuffer(padded.buffers()[2] or b"", "u1")[ends[0] : ends[-1]].astype("u4")
+        ends -= ends[0]
+        code, inside = np.zeros(len(flat), "u4"), np.repeat(self.size > 0, np.diff(ends))
+        if len(flat):
+            code[:-1] = flat[:-1] * 256 + flat[1:]
+        inside[ends[1:][self.size > 0] - 1] = False
+        return code[inside], np.where(self.size > 0, np.diff(ends) - 1, 0)
 
     def signature(self, hashes: int) -> np.ndarray:
-        """MinHash values of the names' grams, one row per name; names without grams get their own values."""
+        """MinHash values of the names' grams, one row per record; names without grams get their own values."""
         code, size = self.grams()
         rng = np.random.default_rng(20)
         a, b = rng.integers(1, 1 << 62, hashes, "u8") | np.uint64(1), rng.integers(0, 1 << 62, hashes, "u8")
         out = np.zeros((len(size), hashes), "u4")
         full = size > 0
         starts = (np.cumsum(size) - size)[full]
-        for h in range(hashes):
-            x = ((code.astype("u8") * a[h] + b[h]) >> np.uint64(32)).astype("u4")
-            out[full, h] = np.minimum.reduceat(x, starts) if len(starts) else 0
-            out[~full, h] = np.arange((~full).sum())
+        different, at = np.unique(code, return_inverse=True)
+        for h in range(hashes if len(starts) else 0):
+            x = ((different.astype("u8") * a[h] + b[h]) >> np.uint64(32)).astype("u4")
+            out[full, h] = np.minimum.reduceat(x[at], starts)
+        out = out[self.code]
+        bare = ~full[self.code]
+        out[bare] = np.arange(bare.sum())[:, None]
         return out
 
-    def bits(self) -> np.ndarray:
-        """Each name's grams as a bit set, for a quick look at how much two names share."""
-        code, size = self.grams()
-        out = np.zeros((len(size), GRAM_BITS), bool)
-        out[np.repeat(np.arange(len(size)), size), (code * np.uint32(2654435761)) >> np.uint32(24)] = True
-        return np.packbits(out, axis=1).view("u8")
+    def share(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Dice's coefficient of the names' grams as bit sets, for a quick look at how much two names share."""
+        if self._sets is None:
+            code, size = self.grams()
+            out = np.zeros((len(size), GRAM_BITS), bool)
+            out[np.repeat(np.arange(len(size)), size), (code * np.uint32(2654435761)) >> np.uint32(24)] = True
+            bits = np.packbits(out, axis=1).view("u8")
+            self._sets = np.ascontiguousarray(bits.T), out.sum(1)
+        bits, size = self._sets
+        a, b = self.code[i], self.code[j]
+        both = np.zeros(len(a), "u2")
+        for column in bits:
+            both += np.bitwise_count(column[a] & column[b])
+        return 2 * both / np.maximum(1, size[a] + size[b])
 
     def dates(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Bits of the birth dates: equal, day and month exchanged, one part of three differs, or different."""
         a, b = self.born[i], self.born[j]
         part = lambda x: (x // 10000, x // 100 % 100, x % 100)
         (ya, ma, da), (yb, mb, db) = part(a), part(b)
-        table, most = self.known.born, self.known.most
-        uniq, back = np.unique(a, return_inverse=True)
-        rarity = np.array([table.get(v, most) for v in uniq.tolist()])[back] if len(uniq) else np.zeros(0)
+        rarity = self.born_bits[i]
         same = (ya == yb).astype(int) + (ma == mb) + (da == db)
-        out = np.where(a == b, rarity, np.where((ya == yb) & (ma == db) & (da == mb), rarity - 4, np.where(same == 2, 3.0, -6.0)))
+        out = np.where(a == b, rarity, np.where((ya == yb) & (ma == db) & (da == mb), rarity - 4, np.where(same == 2, TWO_PARTS, -6.0)))
         return np.where((a == 0) | (b == 0), 0.0, out)
 
     def contact(self, which: str, i: np.ndarray, j: np.ndarray, differs: float) -> np.ndarray:
@@ -363,75 +405,138 @@ class Batch:
         out = np.where((a == 0) | (b == 0), 0.0, differs)
         eq = np.flatnonzero((a == b) & (a != 0))
         most = self.known.most
-        out[eq] = [table.get(v, most) for v in a[eq].tolist()]
+        out[eq] = [table.get(v, most) for v in a[eq].tolist()] if table else most
         return out
 
-    def name_bits(self, i: int, j: int) -> tuple[float, float, bool]:
-        """Bits of two names, their Monge-Elkan likeness, and whether the first names contradict each other.
+    def _part_likeness(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Likeness of parts by number, compared once each; most that are unlike are told by the letters they share."""
+        if self._letters is None:
+            words = self.words
+            size = np.fromiter(map(len, words), "i8", len(words))
+            flat = np.frombuffer("".join(words).encode("ascii"), "u1").astype("i8") - 97
+            letters = np.bincount(np.repeat(np.arange(len(words)), size) * 26 + flat, minlength=len(words) * 26).reshape(-1, 26).astype("i4")
+            ends = np.cumsum(size)
+            self._letters = letters, size, flat[ends - size], flat[ends - 1], np.array([w in _FULL for w in words], bool)
+        letters, size, head, tail, short = self._letters
+        out = (x == y).astype(float)
+        open_ = np.flatnonzero(out == 0)
+        pairs, back = np.unique(np.minimum(x[open_], y[open_]) * len(self.words) + np.maximum(x[open_], y[open_]), return_inverse=True)
+        a, b = pairs // len(self.words), pairs % len(self.words)
+        may = (size[a] == 1) | (size[b] == 1) | short[a] | short[b] | (head[a] == head[b]) | (tail[a] == tail[b])
+        at = np.flatnonzero(~may)
+        shared = np.minimum(letters[a[at]], letters[b[at]]).sum(1)
+        may[at] = shared >= LEAST_ALIKE * np.maximum(size[a[at]], size[b[at]])
+        like, get, words = np.zeros(len(pairs)), part_alike, self.words
+        at = np.flatnonzero(may)
+        like[at] = [get(words[p], words[q]) for p, q in zip(a[at].tolist(), b[at].tolist(), strict=True)]
+        out[open_] = like[back]
+        return out
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of names, by number: bits, Monge-Elkan likeness, whether the first names contradict each other, and the rare parts both have (which pair, which part).
 
         Parts are paired by likeness, each once; a pair gives the rarity of its part, less if it is
         only alike.
         """
-        (pa_, fa, la), (pb, fb, lb) = self.split(i), self.split(j)
-        if not pa_ or not pb:
-            return 0.0, 0.0, False
-        table, most, get = self.known.parts, self.known.most, part_alike
-        alike_ = [(get(x, y), m, n) for m, x in enumerate(pa_) for n, y in enumerate(pb)]
-        rows, columns = [0.0] * len(pa_), [0.0] * len(pb)
-        for s, m, n in alike_:
-            if s > rows[m]:
-                rows[m] = s
-            if s > columns[n]:
-                columns[n] = s
-        short = rows if len(rows) <= len(columns) else columns
-        like = sum(short) / len(short)
-        used_a, used_b, bits = {}, {}, 0.0
-        for s, m, n in sorted([x for x in alike_ if x[0] >= LIKE], key=lambda x: -x[0]):
-            if m in used_a or n in used_b:
+        bits, like, against = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a), bool)
+        rare_pair, rare_part = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+        shape = self.size[a] * (self.size.max(initial=0) + 1) + self.size[b]
+        order = np.argsort(shape, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(shape[order])) + 1) if len(order) else ():
+            p, q = int(self.size[a[own[0]]]), int(self.size[b[own[0]]])
+            if not p or not q:
                 continue
-            used_a[m], used_b[n] = n, m
-            x, y = pa_[m], pb[n]
-            if len(x) == 1 or len(y) == 1:
-                bits += 2.5
-                continue
-            rarity = table.get(x, most)
-            if s == 1.0:
-                bits += rarity
-            else:
-                bits += min(rarity, table.get(y, most), 12.0) * (0.65 if s >= CLOSE else 0.4)
-        left_a, left_b = len(pa_) - len(used_a), len(pb) - len(used_b)
-        bits -= 4.5 * min(left_a, left_b)  # parts on both sides that answer to nothing
+            for at in np.array_split(own, len(own) * p * q // COMPARED + 1):
+                bits[at], like[at], against[at], n, w = self._compare(a[at], b[at], p, q)
+                rare_pair.append(at[n])
+                rare_part.append(w)
+        return bits, like, against, np.concatenate(rare_pair), np.concatenate(rare_part)
+
+    def _compare(self, a: np.ndarray, b: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """compare() for names of p and q parts."""
+        k = len(a)
+        x, y = self.part[self.start[a][:, None] + np.arange(p)], self.part[self.start[b][:, None] + np.arange(q)]
+        s = self._part_likeness(np.repeat(x, q, axis=1).ravel(), np.tile(y, p).ravel()).reshape(k, p, q)
+        like = (s.max(2) if p <= q else s.max(1)).mean(1)
+        met_a, met_b = np.full((k, p), -1), np.full((k, q), -1)
+        bits, rare_pair, rare_part = np.zeros(k), [], []
+        initial = np.array([len(w) == 1 for w in self.words], bool)
+        for _ in range(min(p, q)):
+            best = s.reshape(k, p * q).argmax(1)
+            at = np.flatnonzero(s.reshape(k, p * q)[np.arange(k), best] >= LIKE)
+            if not len(at):
+                break
+            m, n = best[at] // q, best[at] % q
+            alike_ = s[at, m, n]
+            met_a[at, m], met_b[at, n] = n, m
+            s[at, m, :] = -1
+            s[at, :, n] = -1
+            u, v = x[at, m], y[at, n]
+            near = np.minimum(np.minimum(self.word_bits[u], self.word_bits[v]), MOST_ALIKE) * np.where(alike_ >= CLOSE, 0.65, 0.4)
+            letter, same = initial[u] | initial[v], u == v
+            bits[at] += np.where(letter, 2.5, np.where(same, self.word_bits[u], near))
+            rare = same & ~letter & self.word_rare[u]
+            rare_pair.append(at[rare])
+            rare_part.append(u[rare])
+        left_a, left_b = (met_a < 0).sum(1), (met_b < 0).sum(1)
+        bits -= 4.5 * np.minimum(left_a, left_b)  # parts on both sides that answer to nothing
         # a first name is lost that answers to nothing, or, with something left on its side, to a surname (fields exchanged)
-        lost_a = fa not in used_a or (left_a > 0 and used_a[fa] >= lb and fb not in used_b)
-        lost_b = fb not in used_b or (left_b > 0 and used_b[fb] >= la and fa not in used_a)
-        return bits, like, lost_a and lost_b
-
+        rows = np.arange(k)
+        to_a, to_b = met_a[rows, self.first[a]], met_b[rows, self.first[b]]
+        lost_a = (to_a < 0) | ((left_a > 0) & (to_a >= self.surname[b]) & (to_b < 0))
+        lost_b = (to_b < 0) | ((left_b > 0) & (to_b >= self.surname[a]) & (to_a < 0))
+        return bits, like, lost_a & lost_b, np.concatenate(rare_pair or [rows[:0]]), np.concatenate(rare_part or [rows[:0]])
 
-def share(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Dice's coefficient of two names' bit sets."""
-    a, b = bits[i], bits[j]
-    both = np.bitwise_count(a & b).sum(1, dtype="i4")
-    return 2 * both / np.maximum(1, np.bitwise_count(a).sum(1, dtype="i4") + np.bitwise_count(b).sum(1, dtype="i4"))
+    def name_bits(self, i: int, j: int) -> tuple[float, float, bool]:
+        """Bits of two records' names, their likeness, and whether the first names contradict each other."""
+        bits, like, against, _, _ = self.compare(self.code[[i]], self.code[[j]])
+        return float(bits[0]), float(like[0]), bool(against[0])
 
 
-def weigh(batch: Batch, i: np.ndarray, j: np.ndarray, differs_email: float = -1.5, differs_post: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
-    """The bits of all evidence for each pair, -inf where the records contradict each other, and the names' likeness.
+@dataclass
+class Weights:
+    """Pairs that were weighed: bits (-inf where the records contradict each other), likeness of names, and their rare values."""
+
+    batch: Batch
+    i: np.ndarray
+    j: np.ndarray
+    total: np.ndarray
+    like: np.ndarray
+    names: np.ndarray
+    rare_pair: np.ndarray
+    rare_part: np.ndarray
+
+    def columns(self, keep: np.ndarray) -> list[pa.Array]:
+        """The columns PAIR of the pairs at these places."""
+        batch, i, j = self.batch, self.i[keep], self.j[keep]
+        both = []
+        for column, table in ((batch.email, batch.known.email), (batch.post, batch.known.post)):
+            no = (column[i] != column[j]) | (column[i] == 0)
+            if table:
+                no |= np.isin(column[i], np.fromiter(table, "i8", len(table)))
+            both.append(pa.array(column[i], pa.int64(), mask=no))
+        pair, own = self.names[keep], np.argsort(self.rare_pair, kind="stable")
+        start, stop = np.searchsorted(self.rare_pair[own], pair), np.searchsorted(self.rare_pair[own], pair, "right")
+        size = stop - start
+        flat = self.rare_part[own][np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        words = pa.array(batch.words, pa.string()).take(pa.array(flat, pa.int64()))
+        offsets = pa.array(np.append(0, np.cumsum(size)), pa.int32())
+        return [pa.array(self.total[keep]), *both, pa.ListArray.from_arrays(offsets, words)]
+
+
+def weigh(batch: Batch, i: np.ndarray, j: np.ndarray, differs_email: float = -1.5, differs_post: float = -1.0) -> Weights:
+    """The bits of all evidence for each pair, and the names' likeness.
 
     Two different first names contradict, as of twins, who share birth dates, homes and mailboxes; so
     do birth years a generation apart, as of a parent of the same name.
     """
-    dates = batch.dates(i, j)
-    email = batch.contact("email", i, j, differs_email)
-    other = dates + email + batch.contact("post", i, j, differs_post)
-    total, like = np.full(len(i), -np.inf), np.zeros(len(i))
+    other = batch.dates(i, j) + batch.contact("email", i, j, differs_email) + batch.contact("post", i, j, differs_post)
     a, b = batch.born[i], batch.born[j]
     apart = (a != 0) & (b != 0) & (np.abs(a // 10000 - b // 10000) >= GENERATION)
-    cache: dict[tuple[str, str], tuple[float, float, bool]] = {}
-    for n in np.flatnonzero(~apart).tolist():
-        pair = (batch.names[i[n]], batch.names[j[n]])
-        if pair not in cache:
-            cache[pair] = batch.name_bits(int(i[n]), int(j[n]))
-        bits, like[n], contradict = cache[pair]
-        if not contradict:
-            total[n] = other[n] + bits
-    return total, like
+    pairs, names = np.unique(batch.code[i] * len(batch.names) + batch.code[j], return_inverse=True)
+    bits, like, against, rare_pair, rare_part = batch.compare(pairs // max(1, len(batch.names)), pairs % max(1, len(batch.names)))
+    return Weights(batch, i, j, np.where(apart | against[names], -np.inf, other + bits[names]), like[names], names, rare_pair, rare_part)
+
+
+#: Fields of a pair in an Arrow batch, after its keys.
+PAIR_NAMES = ["bits", "email", "post", "words"]
