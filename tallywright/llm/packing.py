@@ -3,57 +3,56 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.session import cut
+from tallywright.session import cut, tasks
 
 CAPACITY = 2048
-#: Share of the capacity by which the first containers exceed what the items need; more are opened when items fit nowhere.
-ROOM = 0.0
+#: Items and gaps of a task, which holds them as arrays.
+ROWS_A_TASK = 200_000
+#: Rows of a round's state: items without a container, gaps of containers, items placed in the round.
+ITEM, GAP, PLACED = range(3)
+
+
+def brackets(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of items and of the gaps that take them, each gap the nearest item before it that none has taken, as closing brackets take opening ones.
+
+    At one depth opening and closing brackets follow each other in turn, so those of one depth, in
+    order, are matched with their neighbours.
+    """
+    height = np.cumsum(np.where(is_gap, -1, 1))
+    depth = np.where(is_gap, height + 1, height)
+    order = np.argsort(depth, kind="stable")
+    one, two = order[:-1], order[1:]
+    met = (depth[one] == depth[two]) & ~is_gap[one] & is_gap[two]
+    return one[met], two[met]
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One partition of items and gaps in ascending size, an item before a gap of its size.
 
-    Each gap takes the largest item below it that none has taken, as a closing bracket takes the
-    nearest open one. Rows come out with the container an item went to, or with their rank among
-    those left; what is left are gaps (no item below them here) and then items.
+    Each gap takes the largest item below it that none has taken. Rows come out with the container an
+    item went to (match; -2 for a gap that took one, with what is left of it), or with their rank
+    among those left; what is left are gaps (no item below them here) and then items.
     """
-    for_items: list[int] = []
-    gaps: list[int] = []
-    ids: list[np.ndarray] = []
-    taken: dict[int, int] = {}
-    total = 0
-    tables = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        tables.append(batch)
-        is_gap = batch.column(batch.schema.get_field_index("gap")).to_numpy().astype(bool)
-        for n, g in enumerate(is_gap.tolist(), total):
-            if not g:
-                for_items.append(n)
-            elif for_items:
-                taken[for_items.pop()] = n
-            else:
-                gaps.append(n)
-        total += batch.num_rows
-    if not total:
+    tables = [b for b in batches if b.num_rows]
+    if not tables:
         return
     t = pa.Table.from_batches(tables).combine_chunks()
-    key, size = t["key"].to_numpy(), t["size"].to_numpy()
-    match, rank, left = np.full(total, -1), np.full(total, -1), np.zeros(total, "i8")
-    if taken:
-        items, at = np.fromiter(taken.keys(), "i8", len(taken)), np.fromiter(taken.values(), "i8", len(taken))
-        match[items] = key[at]
-        left[at] = size[at] - size[items]
-        match[at] = -2  # a gap that took an item
-    rank[gaps], rank[for_items] = np.arange(len(gaps)), np.arange(len(for_items))
-    yield pa.RecordBatch.from_arrays([t["gap"].combine_chunks(), t["key"].combine_chunks(), t["size"].combine_chunks(), pa.array(match), pa.array(rank), pa.array(left)], names=["gap", "key", "size", "match", "rank", "left"])
+    key, size, is_gap = t["key"].to_numpy(), t["size"].to_numpy(), t["kind"].to_numpy() == GAP
+    items, gaps = brackets(is_gap)
+    match, rank, left = np.full(len(key), -1), np.full(len(key), -1), np.zeros(len(key), "i8")
+    match[items], match[gaps] = key[gaps], -2
+    left[gaps] = size[gaps] - size[items]
+    for side in (is_gap, ~is_gap):
+        rest = np.flatnonzero(side & (match == -1))
+        rank[rest] = np.arange(len(rest))
+    yield pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in ("kind", "key", "size")), pa.array(match), pa.array(rank), pa.array(left)], names=["kind", "key", "size", "match", "rank", "left"])
 
 
 def _segments(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -85,12 +84,13 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
     An item above the capacity is split: pieces of full capacity, each a container of its own, and
     the rest, placed like an item. No other item is split.
 
-    Containers are opened for the sum of all sizes. In each round items and gaps are range-sorted by
-    size together; sweeps match every gap with the largest item that fits and that no smaller gap
-    took: within the partitions first, then, over what these leave, between them, for which the
-    driver gets two counts per partition. Gaps shrink by what they took, and the round repeats. When
-    no gap takes an item, containers for the items that are left are opened. Each round's state is
-    written to the checkpoint folder.
+    Containers are opened for the sum of all sizes. In each round a gap counts as several of equal
+    size, as many as the largest item left fits into it, so that no round is lost on small items.
+    Items and gaps are range-sorted by size together; sweeps match every gap with the largest item
+    that fits and that no smaller gap took: within the partitions first, then, over what these leave,
+    between them, for which the driver gets two counts per partition. Gaps shrink by what they took,
+    and the round repeats. When no gap takes an item, containers for the items that are left are
+    opened. Each round's state is written to the checkpoint folder.
 
     Defined cases: a null or negative size counts as 0; items of size 0 go to container 0 and take no
     room; an id may be null or repeat, each row is an item; an empty table gives no rows; further
@@ -107,47 +107,47 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
     whole = whole.select("id", "piece", "size", F.concat(F.lit("w"), F.col("key"), F.lit("."), F.col("piece")).alias("container"))
     nothing = rest.where(F.col("size") == 0).select("id", "piece", "size", F.lit("g0").alias("container"))
 
-    state = rest.where(F.col("size") > 0).select(F.lit(0).alias("gap"), "key", "size")
-    placed = []
-    opened = 0
+    spark = items.sparkSession
+    state = rest.where(F.col("size") > 0).select(F.lit(ITEM).alias("kind"), "key", "size")
+    placed: list[DataFrame] = []
+    opened = moved = 0
     while True:
-        left = state.groupBy("gap").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()
-        left = {r["gap"]: r for r in left}
-        if 0 not in left:
+        is_item = F.col("kind") == ITEM
+        now = state.agg(F.count_if(is_item).alias("n"), F.count_if(~is_item).alias("gaps"), *[f(F.when(is_item, F.col("size"))).alias(c) for c, f in (("total", F.sum), ("low", F.min), ("high", F.max))]).first()
+        if not now["n"]:
             break
-        if not opened or not moved:  # noqa: F821
-            new = max(1, int(np.ceil(left[0]["size"] * (1 + ROOM) / capacity)))
-            gaps = state.sparkSession.range(opened, opened + new).select(F.lit(1).alias("gap"), F.col("id").alias("key"), F.lit(capacity).cast("long").alias("size"))
-            state, opened = state.unionByName(gaps), opened + new
-        swept = cut(state.repartitionByRange("size", "gap", "key").sortWithinPartitions("size", "gap", "key").mapInArrow(_sweep, "gap int, key bigint, size bigint, match bigint, rank bigint, left bigint").withColumn("pid", F.spark_partition_id()))
-        parts = swept.groupBy("pid").agg(F.min("size").alias("low"), F.min("gap").alias("g"), F.count_if((F.col("gap") == 1) & (F.col("rank") >= 0)).alias("gaps"), F.count_if((F.col("gap") == 0) & (F.col("rank") >= 0)).alias("items"), F.count_if(F.col("match") >= 0).alias("n")).orderBy("pid").collect()
-        segments = _segments([(r["pid"], r["gaps"], r["items"]) for r in parts])
-        moved = sum(r["n"] for r in parts) + sum(s[4] for s in segments)
-        inside = swept.where(F.col("match") >= 0).select("key", F.col("match").alias("container"))
-        kept = swept.where((F.col("match") == -2) & (F.col("left") > 0)).select("gap", "key", F.col("left").alias("size"))
+        if not moved:
+            new = max(1, -(-now["total"] // capacity))
+            state = state.unionByName(spark.range(opened, opened + new).select(F.lit(GAP).alias("kind"), F.col("id").alias("key"), F.lit(capacity).cast("long").alias("size")))
+            opened += new
+        # gaps below the smallest item can take nothing any more; the others count as often as the largest fits, the first with what is over
+        parts = F.greatest(F.lit(1).cast("long"), F.floor(F.col("size") / now["high"]))
+        gaps = state.where((F.col("kind") == GAP) & (F.col("size") >= now["low"])).select("kind", "key", "size", parts.alias("_n")).select("kind", "key", "size", "_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_at"))
+        gaps = gaps.select("kind", "key", (F.floor(F.col("size") / F.col("_n")) + F.when(F.col("_at") == 1, F.col("size") % F.col("_n")).otherwise(0)).cast("long").alias("size"))
+        both = state.where(is_item).unionByName(gaps).repartitionByRange(tasks(spark, 2 * now["n"], ROWS_A_TASK), "size", "kind", "key").sortWithinPartitions("size", "kind", "key")
+        swept = cut(both.mapInArrow(_sweep, "kind int, key bigint, size bigint, match bigint, rank bigint, left bigint").withColumn("pid", F.spark_partition_id()))
+        counts = swept.groupBy("pid").agg(F.count_if((F.col("kind") == GAP) & (F.col("rank") >= 0)).alias("gaps"), F.count_if(is_item & (F.col("rank") >= 0)).alias("items"), F.count_if(F.col("match") >= 0).alias("n")).orderBy("pid").collect()
+        segments = _segments([(r["pid"], r["gaps"], r["items"]) for r in counts])
+        moved = sum(r["n"] for r in counts) + sum(s[4] for s in segments)
+        # at most two segments a partition
+        table = F.broadcast(spark.createDataFrame([(n, *s) for n, s in enumerate(segments)], "seg int, ipid int, ifirst bigint, gpid int, gfirst bigint, n bigint"))
         over = swept.where("rank >= 0")
-        if segments:
-            table = F.broadcast(state.sparkSession.createDataFrame([(n, *s) for n, s in enumerate(segments)], "seg int, ipid int, ifirst bigint, gpid int, gfirst bigint, n bigint"))
-            item = over.where("gap = 0").join(table, (F.col("pid") == F.col("ipid")) & F.col("rank").between(F.col("ifirst") - F.col("n") + 1, F.col("ifirst")), "left").select("key", "size", "seg", (F.col("ifirst") - F.col("rank")).alias("turn"))
-            gap = over.where("gap = 1").join(table, (F.col("pid") == F.col("gpid")) & F.col("rank").between(F.col("gfirst"), F.col("gfirst") + F.col("n") - 1), "left").select(F.col("key").alias("gkey"), F.col("size").alias("gsize"), "seg", (F.col("rank") - F.col("gfirst")).alias("turn"))
-            met = item.join(gap, ["seg", "turn"], "full_outer")
-            met = cut(met)
-            inside = inside.unionByName(met.where(F.col("key").isNotNull() & F.col("gkey").isNotNull()).select("key", F.col("gkey").alias("container")))
-            items_left = met.where(F.col("gkey").isNull()).select(F.lit(0).alias("gap"), "key", "size")
-            gaps_left = met.where(F.col("gkey").isNotNull()).select(F.lit(1).alias("gap"), F.col("gkey").alias("key"), (F.col("gsize") - F.coalesce("size", F.lit(0))).alias("size")).where("size > 0")
-            state = kept.unionByName(items_left).unionByName(gaps_left)
-        else:
-            state = kept.unionByName(over.select("gap", "key", "size"))
-        placed.append(inside)
-        # gaps below the smallest item left can take nothing any more
-        state = cut(state)
-        low = state.where("gap = 0").agg(F.min("size")).first()[0]
-        if low is not None:
-            state = state.where((F.col("gap") == 0) | (F.col("size") >= low))
+        item = over.where(is_item).join(table, (F.col("pid") == F.col("ipid")) & F.col("rank").between(F.col("ifirst") - F.col("n") + 1, F.col("ifirst")), "left")
+        gap = over.where(~is_item).join(table, (F.col("pid") == F.col("gpid")) & F.col("rank").between(F.col("gfirst"), F.col("gfirst") + F.col("n") - 1), "left")
+        # rows of a segment have partners on both sides, the others none: these don't come to the join
+        taken = item.where("seg is not null").select("seg", (F.col("ifirst") - F.col("rank")).alias("turn"), "key", "size")
+        taking = gap.where("seg is not null").select("seg", (F.col("rank") - F.col("gfirst")).alias("turn"), F.col("key").alias("gkey"), F.col("size").alias("gsize"))
+        met = taken.join(taking, ["seg", "turn"])
+        shrunk = swept.where("match = -2").select("key", F.col("left").alias("size")).unionByName(met.select(F.col("gkey").alias("key"), (F.col("gsize") - F.col("size")).alias("size"))).unionByName(gap.where("seg is null").select("key", "size"))
+        shrunk = shrunk.groupBy("key").agg(F.sum("size").alias("size")).where("size > 0")
+        row = lambda kind, df, key, size, container: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), size.cast("long").alias("size"), container.cast("long").alias("container"))
+        none = F.lit(None)
+        after = row(ITEM, item.where("seg is null"), "key", F.col("size"), none).unionByName(row(GAP, shrunk, "key", F.col("size"), none))
+        after = cut(after.unionByName(row(PLACED, swept.where("match >= 0"), "key", none, F.col("match"))).unionByName(row(PLACED, met, "key", none, F.col("gkey"))))
+        placed.append(after.where(F.col("kind") == PLACED).select("key", "container"))
+        state = after.where(F.col("kind") != PLACED).select("kind", "key", "size")
     out = whole.unionByName(nothing)
     if placed:
-        where = placed[0]
-        for p in placed[1:]:
-            where = where.unionByName(p)
+        where = reduce(DataFrame.unionByName, placed)
         out = out.unionByName(rest.where("size > 0").join(where.withColumnRenamed("container", "c"), "key").select("id", "piece", "size", F.concat(F.lit("g"), F.col("c")).alias("container")))
     return out.select(F.col("id").alias(id_col), "piece", (F.col("piece").cast("long") * capacity).alias("start"), "size", F.col("container").alias("container_id"))

@@ -1,9 +1,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from tallywright.llm.packing import _segments, pack
+from tallywright.llm import packing
+from tallywright.llm.packing import _segments, brackets, pack
+from tallywright.session import cut
 
 
 def check(spark, sizes, capacity):
@@ -64,3 +67,32 @@ def test_repeated_and_null_ids(spark):
 def test_brackets_between_partitions():
     # items left in partition 0 (3) and 1 (2); gaps left in 1 (1) and 2 (6): the nearest items below go first
     assert _segments([(0, 0, 3), (1, 1, 2), (2, 6, 0)]) == [(0, 2, 1, 0, 1), (1, 1, 2, 0, 2), (0, 1, 2, 2, 2)]
+
+
+def test_vectorized_brackets():
+    rng = random.Random(5)
+    for _ in range(50):
+        row = [rng.random() < 0.5 for _ in range(rng.randrange(30))]
+        waiting, want = [], set()
+        for n, gap in enumerate(row):
+            if not gap:
+                waiting.append(n)
+            elif waiting:
+                want.add((waiting.pop(), n))
+        items, gaps = brackets(np.array(row, bool))
+        assert set(zip(items.tolist(), gaps.tolist(), strict=True)) == want
+
+
+def test_between_partitions(spark, monkeypatch):
+    """With many small partitions, none merged: as good as best fit, and the work is spread."""
+    seen = []
+    monkeypatch.setattr(packing, "ROWS_A_TASK", 60)
+    monkeypatch.setattr(packing, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    rng = random.Random(6)
+    sizes = [min(2000, int(rng.lognormvariate(4.5, 1.2))) for _ in range(600)]
+    used = check(spark, sizes, 512)
+    assert used <= best_fit(sizes, 512) * 1.02 + 1
+    swept = [x for x in seen if "pid" in x.columns]
+    rows = Counter(r["pid"] for r in swept[0].collect())
+    assert len(rows) >= 8 and max(rows.values()) < 3 * sum(rows.values()) / len(rows)
+    assert len(swept) < 25
