@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -55,6 +55,28 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in ("kind", "key", "size")), pa.array(match), pa.array(rank), pa.array(left)], names=["kind", "key", "size", "match", "rank", "left"])
 
 
+def _router(segments: list[tuple[int, int, int, int, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What becomes of a swept partition's rows: placed items, items and gaps that are left, and, where a segment matches them with rows of another partition, the two sides of a pair."""
+    of: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}  # by kind and partition: first rank, step, number, segment
+    for n, (items, i, gaps, g, size) in enumerate(segments):
+        of.setdefault((ITEM, items), []).append((i, -1, size, n))
+        of.setdefault((GAP, gaps), []).append((g, 1, size, n))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind, key, size, match, rank, left, pid = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            out, seg, turn = np.where(match >= 0, PLACED, kind), np.full(len(kind), -1), np.full(len(kind), -1)
+            for k in (ITEM, GAP):
+                for first, step, n, number in of.get((k, int(pid[0])), ()) if len(pid) else ():
+                    at = (rank - first) * step
+                    met = (kind == k) & (rank >= 0) & (at >= 0) & (at < n)
+                    seg[met], turn[met] = number, at[met]
+            container = np.where(match >= 0, match, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (out.astype("i4"), key, np.where(match == -2, left, size), container, seg, turn)], names=["kind", "key", "size", "container", "seg", "turn"])
+
+    return route
+
+
 def _segments(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """Brackets left by the partitions, matched over them: (items' partition, first rank, gaps' partition, first rank, number).
 
@@ -124,26 +146,22 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
         parts = F.greatest(F.lit(1).cast("long"), F.floor(F.col("size") / now["high"]))
         gaps = state.where((F.col("kind") == GAP) & (F.col("size") >= now["low"])).select("kind", "key", "size", parts.alias("_n")).select("kind", "key", "size", "_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_at"))
         gaps = gaps.select("kind", "key", (F.floor(F.col("size") / F.col("_n")) + F.when(F.col("_at") == 1, F.col("size") % F.col("_n")).otherwise(0)).cast("long").alias("size"))
-        both = state.where(is_item).unionByName(gaps).repartitionByRange(tasks(spark, 2 * now["n"], ROWS_A_TASK), "size", "kind", "key").sortWithinPartitions("size", "kind", "key")
+        n = tasks(spark, 2 * now["n"], ROWS_A_TASK)
+        both = state.where(is_item).unionByName(gaps).repartitionByRange(n, "size", "kind", "key").sortWithinPartitions("size", "kind", "key")
         swept = cut(both.mapInArrow(_sweep, "kind int, key bigint, size bigint, match bigint, rank bigint, left bigint").withColumn("pid", F.spark_partition_id()))
-        counts = swept.groupBy("pid").agg(F.count_if((F.col("kind") == GAP) & (F.col("rank") >= 0)).alias("gaps"), F.count_if(is_item & (F.col("rank") >= 0)).alias("items"), F.count_if(F.col("match") >= 0).alias("n")).orderBy("pid").collect()
-        segments = _segments([(r["pid"], r["gaps"], r["items"]) for r in counts])
+        counts = swept.groupBy("pid").agg(F.count_if(~is_item & (F.col("rank") >= 0)).alias("gaps"), F.count_if(is_item & (F.col("rank") >= 0)).alias("items"), F.count_if(F.col("match") >= 0).alias("n")).collect()
+        segments = _segments(sorted((r["pid"], r["gaps"], r["items"]) for r in counts))
         moved = sum(r["n"] for r in counts) + sum(s[4] for s in segments)
-        # at most two segments a partition
-        table = F.broadcast(spark.createDataFrame([(n, *s) for n, s in enumerate(segments)], "seg int, ipid int, ifirst bigint, gpid int, gfirst bigint, n bigint"))
-        over = swept.where("rank >= 0")
-        item = over.where(is_item).join(table, (F.col("pid") == F.col("ipid")) & F.col("rank").between(F.col("ifirst") - F.col("n") + 1, F.col("ifirst")), "left")
-        gap = over.where(~is_item).join(table, (F.col("pid") == F.col("gpid")) & F.col("rank").between(F.col("gfirst"), F.col("gfirst") + F.col("n") - 1), "left")
-        # rows of a segment have partners on both sides, the others none: these don't come to the join
-        taken = item.where("seg is not null").select("seg", (F.col("ifirst") - F.col("rank")).alias("turn"), "key", "size")
-        taking = gap.where("seg is not null").select("seg", (F.col("rank") - F.col("gfirst")).alias("turn"), F.col("key").alias("gkey"), F.col("size").alias("gsize"))
-        met = taken.join(taking, ["seg", "turn"])
-        shrunk = swept.where("match = -2").select("key", F.col("left").alias("size")).unionByName(met.select(F.col("gkey").alias("key"), (F.col("gsize") - F.col("size")).alias("size"))).unionByName(gap.where("seg is null").select("key", "size"))
-        shrunk = shrunk.groupBy("key").agg(F.sum("size").alias("size")).where("size > 0")
-        row = lambda kind, df, key, size, container: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), size.cast("long").alias("size"), container.cast("long").alias("container"))
-        none = F.lit(None)
-        after = row(ITEM, item.where("seg is null"), "key", F.col("size"), none).unionByName(row(GAP, shrunk, "key", F.col("size"), none))
-        after = cut(after.unionByName(row(PLACED, swept.where("match >= 0"), "key", none, F.col("match"))).unionByName(row(PLACED, met, "key", none, F.col("gkey"))))
+        routed = swept.mapInArrow(_router(segments), "kind int, key bigint, size bigint, container bigint, seg bigint, turn bigint")
+        own = routed.where("seg < 0").select("kind", "key", "size", "container")
+        # only rows that have a partner in another partition are shuffled to it
+        item, gap = F.when(is_item, F.struct("key", "size")), F.when(~is_item, F.struct("key", "size"))
+        met = routed.where("seg >= 0").groupBy("seg", "turn").agg(F.max(item).alias("i"), F.max(gap).alias("g"))
+        two = F.array(F.struct(F.lit(PLACED).alias("kind"), F.col("i.key").alias("key"), F.col("i.size").alias("size"), F.col("g.key").alias("container")), F.struct(F.lit(GAP).alias("kind"), F.col("g.key").alias("key"), (F.col("g.size") - F.col("i.size")).alias("size"), F.lit(-1).cast("long").alias("container")))
+        met = met.select(F.explode(two).alias("x")).select("x.*")
+        # the parts of a gap are one again
+        every = own.unionByName(met).groupBy("kind", "key").agg(F.sum("size").alias("size"), F.max("container").alias("container")).where("size > 0")
+        after = cut(every.coalesce(n))
         placed.append(after.where(F.col("kind") == PLACED).select("key", "container"))
         state = after.where(F.col("kind") != PLACED).select("kind", "key", "size")
     out = whole.unionByName(nothing)
