@@ -24,7 +24,7 @@ def squeeze(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """Null, empty, or only white space."""
-    return c.isNull() | (F.regexp_replace(c, SPACE, "") == "")
+    return c.isNull() | ~c.rlike(r"(?U)\S")
 
 
 def calendar_date(c: Column) -> Column:
@@ -37,13 +37,12 @@ def calendar_date(c: Column) -> Column:
     iso = F.regexp_extract(s, r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2})(T?[0-9:.]*Z?)?$", 1)
     day_first = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$"
     named = r"^(\d{1,2})[- ]?([A-Z]{3})[A-Z]*[- ]?(\d{4})$"
-    month = F.lit(None).cast("string")
-    for n, name in enumerate(MONTHS, 1):
-        month = F.when(F.regexp_extract(s, named, 2) == name, F.lit(f"{n:02d}")).otherwise(month)
+    at = F.instr(F.lit("".join(MONTHS)), F.regexp_extract(s, named, 2)) - 1
+    month = F.when(at % 3 == 0, F.lpad((at / 3 + 1).cast("int").cast("string"), 2, "0"))
     text = (
         F.when(iso != "", F.translate(iso, "/", "-"))
         .when(s.rlike(day_first), F.concat_ws("-", F.regexp_extract(s, day_first, 3), F.regexp_extract(s, day_first, 2), F.regexp_extract(s, day_first, 1)))
-        .when(s.rlike(named) & month.isNotNull(), F.concat_ws("-", F.regexp_extract(s, named, 3), month, F.regexp_extract(s, named, 1)))
+        .when(s.rlike(named), F.concat(F.regexp_extract(s, named, 3), F.lit("-"), month, F.lit("-"), F.regexp_extract(s, named, 1)))
         .when(s.rlike(r"^\d{8}$"), F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
     )
     return text.try_cast("date")

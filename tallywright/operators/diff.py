@@ -59,21 +59,22 @@ def diff_copies(
     near = range_sorted(once, keys, ["_side"]).withColumns({"_next": F.lead("_side").over(window), "_other": F.lead("_fields").over(window), "_before": F.lag("_side").over(window)})
     first, second = sorted(sides)
     alone = F.when(F.col("_side") == first, F.col("_next").isNull()).otherwise(F.col("_before").isNull())
-    none = F.array().cast("array<string>")
-    names = F.array_union(F.coalesce(F.map_keys("_fields"), none), F.coalesce(F.map_keys("_other"), none))
+    none = F.create_map().cast("map<string,string>")
+    # most values are the same text on both sides: they go while they are entries of the maps, before they become rows
+    entry = "array<struct<key:string,value:struct<x:string,y:string>>>"
+    both = F.map_entries(F.map_zip_with(F.coalesce("_fields", none), F.coalesce("_other", none), lambda k, x, y: F.struct(x.alias("x"), y.alias("y"))))
+    unequal = F.filter(both, lambda e: ~e["value"]["x"].eqNullSafe(e["value"]["y"]))
+    record = F.array(F.struct(F.lit(RECORD).alias("key"), F.struct(F.lit(None).cast("string").alias("x"), F.lit(None).cast("string").alias("y")).alias("value")))
     # a lone record gives one entry, a pair one for each field, the pair's second row none
-    entries = F.when(alone, F.array(F.lit(RECORD))).when(F.col("_side") == first, names).otherwise(none)
-    x, y = F.try_element_at("_fields", F.col("field_name")), F.try_element_at("_other", F.col("field_name"))
-    if first != a:
-        x, y = y, x
+    entries = F.when(alone, record.cast(entry)).when(F.col("_side") == first, unequal.cast(entry))
     kind = F.lit("text")
     for k in ("date", "number", "boolean"):
         if own_names := [n for n, of in (kinds or {}).items() if of == k]:
             kind = F.when(F.col("field_name").isin(own_names), F.lit(k)).otherwise(kind)
     lone = F.col("_lone")
-    pairs = near.withColumn("_lone", alone).select(*keys, "_side", "_lone", "_fields", "_other", F.explode(entries).alias("field_name"))
-    # most values are the same text on both sides: they go before anything is parsed
-    pairs = pairs.select(*keys, "_side", "_lone", "field_name", x.alias("_x"), y.alias("_y")).where(lone | ~F.col("_x").eqNullSafe(F.col("_y")))
+    x, y = ("x", "y") if first == a else ("y", "x")
+    pairs = near.select(*keys, "_side", alone.alias("_lone"), F.explode(entries).alias("_e"))
+    pairs = pairs.select(*keys, "_side", "_lone", F.col("_e.key").alias("field_name"), F.col(f"_e.value.{x}").alias("_x"), F.col(f"_e.value.{y}").alias("_y"))
     pairs = pairs.withColumns({"_kind": kind, "_bx": V.is_blank(F.col("_x")), "_by": V.is_blank(F.col("_y"))}).where(lone | ~(F.col("_bx") & F.col("_by")))
     one_blank = F.col("_bx") | F.col("_by")
     pairs = pairs.withColumns({"_mx": F.when(~one_blank, _meant(F.col("_x"), F.col("_kind"))), "_my": F.when(~one_blank, _meant(F.col("_y"), F.col("_kind")))})
