@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.persons import KINDS, PAIR, PAIR_NAMES, Batch, Evidence, evidence, numbers, settle, tally, weigh
+from tallywright.llm.persons import KINDS, PAIR, PAIR_NAMES, TWO_PARTS, Batch, Evidence, evidence, numbers, settle, tally, weigh
 from tallywright.session import cut, small, tasks
 
 #: Records of a range of blocks that are compared at once, and records for a task.
@@ -27,11 +27,12 @@ def bands(similarity: float, recall: float, rows: int) -> int:
     return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
 
 
-#: What a block is of: a birth date, an e-mail address, a postcode; of a hot one of these the records that collide in one band.
-BORN, EMAIL, POST, PART = range(4)
-#: Rows and bands of each.
-ROWS = (2, 1, 1, 0)
-BANDS = (bands(0.42, 0.95, 2), bands(0.25, 0.95, 1), bands(0.25, 0.95, 1), 1)
+#: What a block is of: a birth date, an e-mail address, a postcode; of a hot one of these the records that collide in one band; a band alone.
+BORN, EMAIL, POST, PART, NAME = range(5)
+#: Rows and bands of each; the bands of NAME are blocks themselves.
+ROWS = (2, 1, 1, 0, 0)
+BANDS = (bands(0.42, 0.95, 2), bands(0.25, 0.95, 1), bands(0.25, 0.95, 1), 1, 1)
+NAME_ROWS, NAME_BANDS = 4, bands(0.9, 0.95, 4)
 
 
 def _keys(block: np.ndarray, signature: np.ndarray, rows: int, n: int) -> Iterator[np.ndarray]:
@@ -120,17 +121,21 @@ def whole_blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Ta
 def link(records: DataFrame, margin: float = MARGIN) -> DataFrame:
     """Links (a, b, bits) between persons of one source whose records are the same person's.
 
-    records as people() gives them, with person, a number for each source and key. A record is
-    compared within blocks: those of its birth date (day and month in either order), of its e-mail
-    address and of its postcode. Records that share none of them are not compared, though rare names
-    alone can reach the threshold. Inside a block candidates
-    are records whose names' padded 2-grams collide in a MinHash band; the number of bands follows
-    from the collision curve. Candidates are verified by Monge-Elkan likeness and by the bits of all
-    evidence.
-
-    Blocks are compared where they lie, so only records are shuffled, not bands or pairs. A birth
-    date or address that more than HOT or HOT_ADDRESS records share is divided by the same bands first,
-    a part for each value of each band, so the same pairs are compared as in the whole block (of a
+    records as people() gives them, with person, a number for each source and key. Candidates are
+    records whose names' padded 2-grams collide in a MinHash band; the number of bands follows from
+    the collision curve. They are verified by Monge-Elkan likeness and by the bits of all evidence.
+
+    How wide the bands are depends on what the names alone can say. A pair with no address in common
+    and at most two parts of the birth date needs names that reach the threshold nearly alone, which
+    all parts of a name equal to the other's hardly do unless they are rare: names with enough bits
+    have narrow bands over all records (NAME_ROWS, NAME_BANDS). In such a band there are few records,
+    as names that many have don't have the bits. All other pairs share a birth date (day and month in
+    either order), an e-mail address or a postcode: within these the bands are wide, and every
+    record is in them, whatever its name.
+
+    Blocks are compared where they lie, so only records are shuffled, not pairs. A birth date or
+    address that more than HOT or HOT_ADDRESS records share is divided by the same bands first, a
+    part for each value of each band, so the same pairs are compared as in the whole block (of a
     birth date, as far as day and month are not exchanged).
     """
     spark = records.sparkSession
@@ -172,6 +177,19 @@ def link(records: DataFrame, margin: float = MARGIN) -> DataFrame:
         heated = records.where(flags["born"] | flags["email"] | flags["post"]).select(*fields, *[f.cast("int").alias(f"hot_{c}") for c, f in flags.items()])
         placed = placed.unionByName(heated.mapInArrow(divide, schema))
 
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evid = Evidence(*shared.value)
+        for b in batches:
+            if b.num_rows:
+                zero = np.zeros(b.num_rows, "i8")
+                batch = Batch(b.column(b.schema.get_field_index("name")), zero, zero, zero, evid)
+                at = np.flatnonzero((batch.most_bits() >= threshold - TWO_PARTS)[batch.code])
+                signature, own = batch.signature(NAME_ROWS * NAME_BANDS)[at], b.take(pa.array(at))
+                for n, key in enumerate(_keys(zero[at] + NAME, signature, NAME_ROWS, NAME_BANDS)):
+                    yield pa.RecordBatch.from_arrays([pa.array((key ^ np.uint64(n)).view("i8")), pa.array(np.full(len(at), NAME, "i4")), *own.columns], names=["block", "kind", *fields])
+
+    placed = placed.unionByName(records.select(*fields).mapInArrow(band, schema))
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evid = Evidence(*shared.value)
         for t in whole_blocks(batches, RANGE_ROWS):

@@ -121,6 +121,14 @@ def test_links_miss_little_of_all_pairs(spark):
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_rare_names_are_linked_without_a_shared_block(spark):
+    data = [r for _, r in people_data(random.Random(18), 150)]
+    rare = [("r1", "Xanthippe", "Quillon", "Featherstonehaugh", "1999-04-05", None, None), ("r2", "Xanthippe", "Quillon", "Featherstonehaugh", "1999-04-06", "x@x.example", None), ("r3", "Xanthippe", "Quillon", "Featherstonehaugh", None, "y@x.example", "QQ1 1QQ")]
+    common = [(f"c{n}", "Wei", None, "Marwood", f"19{70 + n}-01-{n + 1:02d}", None, None) for n in range(20)]
+    got = {(r["key_1"], r["key_2"]) for r in N.variants(records(spark, data + rare + common)).collect()}
+    assert {("r1", "r2"), ("r1", "r3"), ("r2", "r3")} <= got and not [p for p in got if p[0][0] == "c" or p[1][0] == "c"]
+
+
 def test_hot_values_are_divided(spark, monkeypatch):
     monkeypatch.setattr(N, "HOT", 20)
     data = [(p, (r[0], r[1], r[2], r[3], "2001-02-03" if p % 3 == 0 else r[4], r[5], r[6])) for p, r in people_data(random.Random(6), 150)]
