@@ -234,7 +234,7 @@ def variants(records: DataFrame, margin: float = MARGIN) -> DataFrame:
     centers go by number. Persons are numbered by 64-bit hashes of source and key.
     """
     records = cut(records.withColumn("person", F.xxhash64("source", "key")))
-    stars = star_clusters(link(records, margin)).join(records.select(F.col("person").alias("key"), "source", F.col("key").alias("name")).distinct(), "key")
-    stars = cut(stars.select("source", "center", "name"))
+    stars = star_clusters(link(records, margin)).join(records.select(F.col("person").alias("key"), "source", F.col("key").alias("name")), "key")
+    stars = cut(stars.select("source", "center", "name").distinct())
     one = stars.withColumnRenamed("name", "key_1")
     return one.join(stars.withColumnRenamed("name", "key_2"), ["source", "center"]).where("key_1 < key_2").select("source", "key_1", "key_2")
