@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.persons import KINDS, PAIR, PAIR_NAMES, TWO_PARTS, Batch, Evidence, evidence, numbers, settle, tally, weigh
+from tallywright.llm.persons import KINDS, PAIR, PAIR_NAMES, TWO_PARTS, Batch, Evidence, evidence, number, numbers, settle, tally, weigh
 from tallywright.session import cut, small, tasks
 
 #: Records of a range of blocks that are compared at once, and records for a task.
@@ -226,15 +226,20 @@ def star_clusters(links: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, stars)
 
 
-def variants(records: DataFrame, margin: float = MARGIN) -> DataFrame:
+def variants(records: DataFrame, margin: float = MARGIN, keys: DataFrame | None = None) -> DataFrame:
     """Rows (source, key_1, key_2), key_1 < key_2: all pairs of keys in one cluster of one person's spellings.
 
+    records as people() gives them; where they are numbered, keys has the (source, key) that the
+    numbers stand for, so that only the keys of linked persons are looked up.
+
     Defined cases: keys without any name, or without birth date, e-mail address and postcode, are
-    linked to nothing; equal records of one key are one; an empty table gives no rows; ties between
-    centers go by number. Persons are numbered by 64-bit hashes of source and key.
+    linked to nothing, unless all parts of a rare name are another's; equal records of one key are
+    one; an empty table gives no rows; ties between centers go by number.
     """
-    records = cut(records.withColumn("person", F.xxhash64("source", "key")))
-    stars = star_clusters(link(records, margin)).join(records.select(F.col("person").alias("key"), "source", F.col("key").alias("name")), "key")
-    stars = cut(stars.select("source", "center", "name").distinct())
+    if keys is None:
+        records = records.withColumn("person", number(F.col("source"), F.col("key")))
+    records = cut(records)
+    keys = (records if keys is None else keys).select(number(F.col("source"), F.col("key")).alias("key"), "source", F.col("key").alias("name"))
+    stars = cut(star_clusters(link(records, margin)).join(keys, "key").select("source", "center", "name").distinct())
     one = stars.withColumnRenamed("name", "key_1")
     return one.join(stars.withColumnRenamed("name", "key_2"), ["source", "center"]).where("key_1 < key_2").select("source", "key_1", "key_2")

@@ -203,16 +203,19 @@ def birth_date(text: str) -> int:
     return 0
 
 
-def people(df: DataFrame, source: int, key: Column, first: str, middle: str | None, last: str, birth: str, email: str | None, postcode: str | None) -> DataFrame:
+def people(df: DataFrame, source: int, key: Column, first: str, middle: str | None, last: str, birth: str, email: str | None, postcode: str | None, numbered: bool = False) -> DataFrame:
     """The distinct records (source, key, name, born, email, post) of a table, one for each spelling and contact.
 
+    With numbered they have person, the number() of source and key, instead of the key, which may be long.
+
     name is first|middle|last with the parts of each apart by blanks. Records that are equal after
     cleaning are one. email and post are hashes, null where blank. Rows without a key are left out.
     """
     text = lambda c: F.col(c) if c else F.lit(None).cast("string")
     packed = lambda c: F.lower(F.regexp_replace(text(c), r"(?U)\s", ""))
     hashed = lambda c: F.when(packed(c) != "", F.xxhash64(packed(c)))
-    raw = df.select(key.cast("string").alias("key"), text(first).alias("f"), text(middle).alias("m"), text(last).alias("l"), F.col(birth).cast("string").alias("born"), hashed(email).alias("email"), hashed(postcode).alias("post")).where(F.col("key").isNotNull())
+    own, kind = (number(F.lit(source), key.cast("string")).alias("person"), "person bigint") if numbered else (key.cast("string").alias("key"), "key string")
+    raw = df.where(key.isNotNull()).select(own, text(first).alias("f"), text(middle).alias("m"), text(last).alias("l"), F.col(birth).cast("string").alias("born"), hashed(email).alias("email"), hashed(postcode).alias("post"))
 
     def told(column: pa.Array, read: Callable, kind: pa.DataType) -> pa.Array:
         """read over a column, once for each different text."""
@@ -223,10 +226,15 @@ def people(df: DataFrame, source: int, key: Column, first: str, middle: str | No
         for b in batches:
             names = [told(b.column(n), lambda x: " ".join(clean(x)) if x else "", pa.string()) for n in (1, 2, 3)]
             born = told(b.column(4), lambda x: birth_date(x) or None if x else None, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_join_element_wise(*names, "|"), born, b.column(5), b.column(6)], names=["key", "name", "born", "email", "post"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_join_element_wise(*names, "|"), born, b.column(5), b.column(6)], names=[kind.split()[0], "name", "born", "email", "post"])
+
+    cleaned = raw.mapInArrow(run, kind + ", name string, born int, email bigint, post bigint")
+    return cleaned.distinct().select(F.lit(source).alias("source"), kind.split()[0], "name", "born", "email", "post")
+
 
-    cleaned = raw.mapInArrow(run, "key string, name string, born int, email bigint, post bigint")
-    return cleaned.distinct().select(F.lit(source).alias("source"), "key", "name", "born", "email", "post")
+def number(source: Column, key: Column) -> Column:
+    """A 64-bit hash for each source and key."""
+    return F.xxhash64(source, key)
 
 
 @dataclass

@@ -32,11 +32,12 @@ def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     student, person = table(spark, sf_dir, "student"), table(spark, sf_dir, "spriden")
-    records = people(student, 0, F.col("id"), "firstname", "middlenames", "lastname", "dateofbirth", "email", None).unionByName(
-        people(person, 1, F.col("spriden_pidm"), "spriden_first_name", "spriden_mi", "spriden_last_name", "spriden_birth_date", "email", "postcode")
+    records = people(student, 0, F.col("id"), "firstname", "middlenames", "lastname", "dateofbirth", "email", None, numbered=True).unionByName(
+        people(person, 1, F.col("spriden_pidm"), "spriden_first_name", "spriden_mi", "spriden_last_name", "spriden_birth_date", "email", "postcode", numbered=True)
     )
+    keys = student.select(F.lit(0).alias("source"), F.col("id").alias("key")).unionByName(person.select(F.lit(1).alias("source"), F.col("spriden_pidm").cast("string").alias("key")))
     names = F.when(F.col("source") == 0, F.lit("student")).otherwise(F.lit("spriden"))
-    return variants(records).select(names.alias("source_table"), "key_1", "key_2")
+    return variants(records, keys=keys).select(names.alias("source_table"), "key_1", "key_2")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

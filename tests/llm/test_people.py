@@ -104,6 +104,14 @@ def test_variants_are_found_and_twins_kept_apart(spark):
     assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.98
 
 
+def test_numbered_records_give_the_same(spark):
+    data = [r for _, r in people_data(random.Random(19), 100)] + [(None, "Wei", None, "Marwood", "2001-01-02", None, None)]
+    numbered = P.people(frame(spark, data), 0, F.col("k"), "f", "m", "l", "d", "e", "p", numbered=True)
+    keys = frame(spark, data).select(F.lit(0).alias("source"), F.col("k").alias("key"))
+    got = sorted(map(tuple, N.variants(numbered, keys=keys).collect()))
+    assert got and got == sorted(map(tuple, N.variants(records(spark, data)).collect()))
+
+
 def test_links_miss_little_of_all_pairs(spark):
     data = people_data(random.Random(5), 120)
     recs = records(spark, [r for _, r in data]).withColumn("person", F.xxhash64("source", "key"))
