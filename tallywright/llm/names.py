@@ -32,7 +32,7 @@ BORN, EMAIL, POST, PART, NAME = range(5)
 #: Rows and bands of each; the bands of NAME are blocks themselves.
 ROWS = (2, 1, 1, 0, 0)
 BANDS = (bands(0.42, 0.95, 2), bands(0.25, 0.95, 1), bands(0.25, 0.95, 1), 1, 1)
-NAME_ROWS, NAME_BANDS = 6, bands(0.9, 0.95, 6)
+NAME_ROWS, NAME_BANDS = 6, bands(0.95, 0.95, 6)
 
 
 def _keys(block: np.ndarray, signature: np.ndarray, rows: int, n: int) -> Iterator[np.ndarray]:
@@ -196,7 +196,7 @@ def link(records: DataFrame, margin: float = MARGIN) -> DataFrame:
             if (out := _links(t, evid, threshold)) is not None:
                 yield out
 
-    linked = placed.repartition(tasks(spark, known.n, ROWS_A_TASK), "block").sortWithinPartitions("block", "source").mapInArrow(compare, "a bigint, b bigint, " + PAIR)
+    linked = placed.repartition(tasks(spark, known.n, ROWS_A_TASK), "block").sortWithinPartitions("block", "source", "person").mapInArrow(compare, "a bigint, b bigint, " + PAIR)
     return settle(linked, counts, known, threshold)
 
 

@@ -311,7 +311,7 @@ def settle(pairs: DataFrame, counts: DataFrame, known: Evidence, threshold: floa
         # of pairs with the same values the one with most bits has most bits in the end
         pairs = pairs.groupBy("a", "b", F.sort_array(own).alias("rare")).agg(F.max("bits").alias("bits"))
         each = pairs.select("a", "b", "rare", "bits", F.explode_outer("rare").alias("v")).join(counts, "v", "left")
-        each = each.repartition("a", "b").groupBy("a", "b", "rare").agg(F.first("bits").alias("bits"), F.sum("less").alias("less"))
+        each = each.repartition("a", "b").groupBy("a", "b", "rare").agg(F.first("bits").alias("bits"), F.sum(F.col("less").cast("decimal(18,9)")).cast("double").alias("less"))
         pairs = each.select("a", "b", (F.col("bits") - F.coalesce("less", F.lit(0.0))).alias("bits")).where(F.col("bits") >= threshold)
     return pairs.groupBy("a", "b").agg(F.max("bits").alias("bits"))
 
