@@ -1,17 +1,21 @@
-"""Pair scoring of person records by given policies, and greedy one-to-one reconciliation."""
+"""Pair scoring of person records by given policies, classification, greedy one-to-one reconciliation, and its report."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.session import cut
 
 #: The fuzzy policy's terms (exact, within one edit) in the order they are added, and thresholds.
-LAST, FIRST, BORN, EMAIL = (0.35, 0.25), (0.20, 0.12), 0.30, 0.15
+LAST, FIRST, BORN, EMAIL, ALTERNATE = (0.35, 0.25), (0.20, 0.12), 0.30, 0.15, 0.20
 FUZZY_THRESHOLD, REVIEW_BELOW, SURE_ABOVE = 0.7, 0.15, 0.1
+#: Reasons that make a match strong whatever its score.
+STRONG = ("husid", "ucasPid", "altid")
 #: Letters from which a text is long.
 LONG = 60
 
@@ -32,26 +36,113 @@ def near(a: Column, b: Column) -> Column:
     return (plain <= 1) | (same & (plain == 2) & (at > 0) & (a == swapped))
 
 
-def near_keys(c: Column) -> Column:
-    """Keys of which two texts that are near share at least one: the text, and what is left without one of its letters.
+def osa(a: str, b: str, limit: int) -> int:
+    """Edits between two texts, an exchange of neighbours that aren't edited again being one; limit + 1 where there are more."""
+    if abs(len(a) - len(b)) > limit:
+        return limit + 1
+    older, old = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            d = min(old[j] + 1, new[j - 1] + 1, old[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, older[j - 2] + 1)
+            new.append(d)
+        if min(new) > limit:
+            return limit + 1
+        older, old = old, new
+    return min(old[-1], limit + 1)
 
-    Of long texts the beginning and the end, as one edit touches only one of them. Texts of LONG letters have both kinds.
+
+def edits(a: Column, b: Column, limit: int) -> Column:
+    """osa() of two columns without regard to case, in Arrow batches; null where either is."""
+
+    @F.pandas_udf("int")
+    def count(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else osa(p, q, limit) for p, q in zip(x, y, strict=True)], dtype="Int32")
+
+    return count(F.lower(a), F.lower(b))
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """1 - edits / length of the longer, 1 for two empty texts; null where either is. All edits are counted, up to 10,000."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - edits(a, b, 10_000) / longest)
+
+
+def within(a: Column, b: Column, limit: int) -> Column:
+    """Whether two texts are at most so many edits apart. One edit needs no function from outside."""
+    return a == b if limit == 0 else near(a, b) if limit == 1 else edits(a, b, limit) <= limit
+
+
+def near_keys(c: Column, limit: int = 1) -> Column:
+    """Keys of which two texts that are at most limit edits apart share at least one: the text, and what is left without up to limit of its letters.
+
+    Of long texts 2 * limit + 1 pieces, of which an edit touches two at most, each from all places to
+    which limit edits can move it. Texts of LONG letters, give or take the limit, have both kinds.
     """
     n, i = F.length(c), F.lit(1)
-    without = F.transform(F.sequence(i, F.greatest(F.least(n, F.lit(LONG)), i)), lambda k: F.concat(F.substr(c, i, k - 1), F.substr(c, k + 1, n)))
-    short = F.when(n <= LONG, F.concat(F.array(c), without)).otherwise(F.array().cast("array<string>"))
-    ends = F.when(n >= LONG, F.array(F.concat(F.lit("^"), F.left(c, F.lit(LONG // 3))), F.concat(F.lit("$"), F.right(c, F.lit(LONG // 3))))).otherwise(F.array().cast("array<string>"))
-    return F.when(c.isNotNull(), F.array_distinct(F.transform(F.concat(short, ends), lambda k: F.xxhash64(k))))
+    without = lambda t: F.transform(F.sequence(i, F.greatest(F.length(t), i)), lambda k: F.concat(F.substr(t, i, k - 1), F.substr(t, k + 1, F.length(t))))
+    left = F.array(c)
+    for _ in range(limit):
+        left = F.array_distinct(F.concat(left, F.flatten(F.transform(left, without))))
+    short = F.when(n <= LONG + limit, left).otherwise(F.array().cast("array<string>"))
+    count = 2 * limit + 1
+    step = LONG // (2 * count)
+    ends = [F.concat(F.lit(f"{k}^"), F.substr(c, F.lit(1 + limit + k * step + move), F.lit(step))) for k in range(count) for move in range(-limit, limit + 1)]
+    pieces = F.when(n >= LONG, F.array(*ends)).otherwise(F.array().cast("array<string>"))
+    return F.when(c.isNotNull(), F.array_distinct(F.transform(F.concat(short, pieces), lambda k: F.xxhash64(k))))
+
+
+def alternate_keys(ids: Column) -> Column:
+    """Keys of alternate ids (system, type, value): the value without regard to case."""
+    return F.transform(F.coalesce(ids, F.array().cast(ALTERNATES)), lambda x: F.concat_ws("|", x["system"], x["type"], F.lower(x["value"])))
+
+
+ALTERNATES = "array<struct<system:string,type:string,value:string>>"
+
 
+def _values(d: DataFrame, key: str, side: str, ids: list[str], alternate: str | None) -> DataFrame:
+    """Rows (side_id, reason, value): each id a record has, its alternate ids under the reason altid."""
+    each = [F.struct(F.lit(i).alias("reason"), norm(F.col(i).cast("string")).alias("value")) for i in ids]
+    own = F.array(*each)
+    if alternate:
+        own = F.concat(own, F.transform(alternate_keys(F.col(alternate)), lambda v: F.struct(F.lit("altid").alias("reason"), v.alias("value"))))
+    return d.select(F.col(key).alias(f"{side}_id"), F.explode(own).alias("_x")).select(f"{side}_id", "_x.reason", "_x.value").where("value is not null").distinct()
 
-def match_exact(a: DataFrame, b: DataFrame, ids: list[str], a_key: str, b_key: str) -> DataFrame:
-    """Pairs that share any of the ids: one equi-join for each, united."""
-    parts = []
-    for i in ids:
-        left = a.select(F.col(a_key).alias("a_id"), norm(F.col(i).cast("string")).alias("_v")).where("_v is not null")
-        right = b.select(F.col(b_key).alias("b_id"), norm(F.col(i).cast("string")).alias("_v")).where("_v is not null")
-        parts.append(left.join(right, "_v").select("a_id", "b_id", F.lit(i).alias("reason")))
-    return reduce(DataFrame.unionByName, parts).groupBy("a_id", "b_id").agg(F.concat_ws(",", F.sort_array(F.collect_set("reason"))).alias("reasons"), F.lit(1.0).alias("score"))
+
+def match_exact(a: DataFrame, b: DataFrame, ids: list[str], a_key: str, b_key: str, alternate: str | None = None) -> DataFrame:
+    """Pairs that share any of the ids or an alternate id (an array of system, type, value): one equi-join over all ids, so arrays that overlap meet without all pairs being compared.
+
+    As many pairs come out as records share a value; where many do, exact_classes() says the same in
+    one row a record. Adaptive execution splits the partitions of hot values.
+    """
+    left, right = _values(a, a_key, "a", ids, alternate), _values(b, b_key, "b", ids, alternate)
+    met = left.join(right, ["reason", "value"])
+    return met.groupBy("a_id", "b_id").agg(F.concat_ws(",", F.sort_array(F.collect_set("reason"))).alias("reasons"), F.lit(1.0).alias("score"))
+
+
+def exact_classes(a: DataFrame, b: DataFrame, ids: list[str], a_key: str, b_key: str, alternate: str | None = None) -> DataFrame:
+    """Rows (side, id, reason, value, links): the classes of records that share an id, each with how many records of the other side it has there.
+
+    The pairs of match_exact, not expanded: every record is linked to all of the other side with its
+    reason and value. Records without a partner are left out. Values are counted on the map side, and
+    what is joined to the records is one row a value, so a value that a third of all rows share costs
+    no more than others.
+    """
+    both = [d.select(F.lit(s).alias("side"), F.col(f"{s}_id").alias("id"), "reason", "value") for s, d in (("a", _values(a, a_key, "a", ids, alternate)), ("b", _values(b, b_key, "b", ids, alternate)))]
+    rows = both[0].unionByName(both[1])
+    counts = rows.groupBy("reason", "value").agg(F.count_if(F.col("side") == "a").alias("in_a"), F.count_if(F.col("side") == "b").alias("in_b")).where("in_a > 0 and in_b > 0")
+    return rows.join(counts, ["reason", "value"]).select("side", "id", "reason", "value", F.when(F.col("side") == "a", F.col("in_b")).otherwise(F.col("in_a")).alias("links"))
+
+
+def classify(score: Column, reasons: Column, mode: str, threshold: float) -> Column:
+    """confident, review or rejected. At the threshold or above, exact and institutional matches, strong reasons and scores SURE_ABOVE it are confident, others for review, as are scores not more than REVIEW_BELOW under it.
+
+    reasons is an array of names of what agreed. Sums of the limits are those of doubles.
+    """
+    sure = F.lit(mode in ("exact", "institutional")) | F.arrays_overlap(reasons, F.array(*[F.lit(s) for s in STRONG])) | (score >= threshold + SURE_ABOVE)
+    return F.when((score >= threshold) & sure, F.lit("confident")).when(score >= threshold - REVIEW_BELOW, F.lit("review")).otherwise(F.lit("rejected"))
 
 
 def match_institutional(a: DataFrame, b: DataFrame, fields: list[str], a_key: str, b_key: str, block: list[str]) -> DataFrame:
@@ -63,32 +154,39 @@ def match_institutional(a: DataFrame, b: DataFrame, fields: list[str], a_key: st
     return left.join(right, on).select("a_id", "b_id", F.round(sum(equal[1:], equal[0]) / len(fields), 6).alias("score"))
 
 
-def match_fuzzy(a: DataFrame, b: DataFrame, a_key: str, b_key: str, last: str, first: str, born: str, email: str, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+def match_fuzzy(a: DataFrame, b: DataFrame, a_key: str, b_key: str, last: str, first: str, born: str, email: str, threshold: float = FUZZY_THRESHOLD, limit: int = 1, alternate: str | None = None) -> DataFrame:
     """Pairs with the fuzzy policy's score, classified confident, review or rejected; the rejected are dropped.
 
-    A pair that is kept has both names equal, or near last names and an equal birth date or e-mail
-    address, or birth date and address equal: the terms allow no other. So four equi-joins find all
-    of them, at the default threshold. Near last names share one of their near_keys, which divide
-    the rows of a birth date (a placeholder, say) or a mailbox that very many share; none are left out.
+    limit is the number of edits up to which names count as near; alternate names an array of
+    alternate ids (system, type, value), which add once. A pair that is kept shares an alternate id,
+    or has both names equal, or near last names and an equal birth date or e-mail address, or birth
+    date and address equal: the terms allow no other. So equi-joins find all of them, at the default
+    threshold. Near last names share one of their near_keys, which divide the rows of a birth date (a
+    placeholder, say) or a mailbox that very many share; none are left out.
     """
     if threshold < FUZZY_THRESHOLD:
         raise ValueError("below the default threshold the joins would miss pairs")
     fields = {"last": last, "first": first, "born": born, "email": email}
-    side = lambda d, key, s: d.select(F.col(key).alias(f"{s}_id"), *[norm(F.col(c).cast("string")).alias(f"{s}_{n}") for n, c in fields.items()])
+    keys = lambda d: alternate_keys(F.col(alternate)) if alternate else F.array().cast("array<string>")
+    side = lambda d, key, s: d.select(F.col(key).alias(f"{s}_id"), *[norm(F.col(c).cast("string")).alias(f"{s}_{n}") for n, c in fields.items()], keys(d).alias(f"{s}_alt"))
     left, right = side(a, a_key, "a"), side(b, b_key, "b")
-    exploded = lambda d, s: d.where(f"{s}_born is not null or {s}_email is not null").select("*", F.explode(near_keys(F.col(f"{s}_last"))).alias("_k"))
+    exploded = lambda d, s: d.where(f"{s}_born is not null or {s}_email is not null").select("*", F.explode(near_keys(F.col(f"{s}_last"), limit)).alias("_k"))
     keyed = (exploded(left, "a"), exploded(right, "b"))
     both = lambda x, y: (F.col(f"a_{x}") == F.col(f"b_{x}")) & (F.col(f"a_{y}") == F.col(f"b_{y}"))
     parts = [left.join(right, both("last", "first")), left.join(right, both("born", "email"))]
+    if alternate:
+        parts.append(left.withColumn("_k", F.explode("a_alt")).join(right.withColumn("_k", F.explode("b_alt")), "_k").drop("_k"))
     for c in ("born", "email"):
         l, r = keyed[0], keyed[1].withColumnRenamed("_k", "_kb")
         parts.append(l.join(r, (F.col(f"a_{c}") == F.col(f"b_{c}")) & (F.col("_k") == F.col("_kb"))).drop("_k", "_kb"))
     pairs = reduce(DataFrame.unionByName, parts).distinct()
     eq = lambda n: F.coalesce(F.col(f"a_{n}") == F.col(f"b_{n}"), F.lit(False))
-    term = lambda n, w: F.when(eq(n), F.lit(w[0])).when(F.coalesce(near(F.col(f"a_{n}"), F.col(f"b_{n}")), F.lit(False)), F.lit(w[1])).otherwise(F.lit(0.0))
-    score = F.least(F.lit(1.0), term("last", LAST) + term("first", FIRST) + F.when(eq("born"), F.lit(BORN)).otherwise(F.lit(0.0)) + F.when(eq("email"), F.lit(EMAIL)).otherwise(F.lit(0.0)))
-    kind = F.when(F.col("score") >= threshold + SURE_ABOVE, F.lit("confident")).when(F.col("score") >= threshold - REVIEW_BELOW, F.lit("review"))
-    return pairs.select("a_id", "b_id", score.alias("score")).withColumn("kind", kind).where("kind is not null")
+    term = lambda n, w: F.when(eq(n), F.lit(w[0])).when(F.coalesce(within(F.col(f"a_{n}"), F.col(f"b_{n}"), limit), F.lit(False)), F.lit(w[1])).otherwise(F.lit(0.0))
+    shared = F.coalesce(F.arrays_overlap("a_alt", "b_alt"), F.lit(False))
+    plus = lambda test, w: F.when(test, F.lit(w)).otherwise(F.lit(0.0))
+    score = F.least(F.lit(1.0), term("last", LAST) + term("first", FIRST) + plus(eq("born"), BORN) + plus(eq("email"), EMAIL) + plus(shared, ALTERNATE))
+    scored = pairs.select("a_id", "b_id", score.alias("score"), F.when(shared, F.array(F.lit("altid"))).otherwise(F.array().cast("array<string>")).alias("_r"))
+    return scored.select("a_id", "b_id", "score", classify(F.col("score"), F.col("_r"), "fuzzy", threshold).alias("kind")).where("kind <> 'rejected'")
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:
@@ -109,8 +207,25 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, taken) if taken else left
 
 
-def reconciliation_counts(a: DataFrame, b: DataFrame, matched: DataFrame, a_key: str, b_key: str) -> DataFrame:
-    """One row: matched, only in a, only in b."""
-    only_a = a.join(matched, a[a_key] == matched["a_id"], "left_anti").agg(F.count(F.lit(1)).alias("a_only"))
-    only_b = b.join(matched, b[b_key] == matched["b_id"], "left_anti").agg(F.count(F.lit(1)).alias("b_only"))
-    return matched.agg(F.count(F.lit(1)).alias("matched")).crossJoin(only_a).crossJoin(only_b)
+def conflicts(matched: DataFrame, a: DataFrame, b: DataFrame, a_key: str, b_key: str, fields: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Rows (a_id, b_id, field, value_a, value_b): fields in which both records of a matched pair have a value, and not the same after norm(). fields: a's and b's column by field."""
+    side = lambda d, key, s, at: d.select(F.col(key).alias(f"{s}_id"), *[F.col(c[at]).cast("string").alias(f"{s}_{f}") for f, c in fields.items()])
+    both = matched.select("a_id", "b_id").join(side(a, a_key, "a", 0), "a_id").join(side(b, b_key, "b", 1), "b_id")
+    differ = [F.when(norm(F.col(f"a_{f}")) != norm(F.col(f"b_{f}")), F.struct(F.lit(f).alias("field"), F.col(f"a_{f}").alias("value_a"), F.col(f"b_{f}").alias("value_b"))) for f in fields]
+    return both.select("a_id", "b_id", F.explode(F.array_compact(F.array(*differ))).alias("_c")).select("a_id", "b_id", "_c.*")
+
+
+def reconciliation_report(matched: DataFrame, a: DataFrame, b: DataFrame, a_key: str, b_key: str, fields: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """One row: matched, a_only, b_only, conflicting, total_a, total_b."""
+    matched = cut(matched.select("a_id", "b_id"))
+    with_conflicts = conflicts(matched, a, b, a_key, b_key, fields).select("a_id", "b_id").distinct()
+    counted = lambda kind, d: d.select(F.lit(kind).alias("kind"))
+    only = lambda d, key, m: d.join(matched, d[key] == matched[m], "left_anti")
+    kinds = {"matched": matched, "a_only": only(a, a_key, "a_id"), "b_only": only(b, b_key, "b_id"), "conflicting": with_conflicts, "total_a": a, "total_b": b}
+    return reduce(DataFrame.unionByName, [counted(k, d) for k, d in kinds.items()]).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+
+
+def merge_log(pairs: DataFrame, decision: Column, by: str, at: Column) -> DataFrame:
+    """Rows (entry_id, a_id, b_id, score, kind, decision, decided_by, decided_at): decisions on pairs, for an append-only log; the id is a hash of what was decided and when."""
+    entry = F.sha2(F.concat_ws("|", F.col("a_id").cast("string"), F.col("b_id").cast("string"), decision, F.lit(by), at.cast("string")), 256)
+    return pairs.select(entry.alias("entry_id"), "a_id", "b_id", "score", "kind", decision.alias("decision"), F.lit(by).alias("decided_by"), at.alias("decided_at"))

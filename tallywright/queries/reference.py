@@ -344,13 +344,29 @@ def prep_verdicts(spark, sf_dir):
     return v.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-_PEOPLE_A = "SELECT DISTINCT row_id AS id, lower(trim(spriden_id)) AS x, lower(trim(email)) AS e FROM spriden WHERE spriden_change_ind IS NULL"
 
-
-@query("SELECT a.row_id AS a_id, b.row_id AS b_id FROM spriden a JOIN stu b ON lower(trim(a.email)) = lower(trim(b.email)) AND trim(a.email) <> '' WHERE a.email NOT LIKE '%@uni.example'")
+@query(
+    """WITH r AS (SELECT 'a' AS side, row_id AS id, nullif(lower(trim(email)), '') AS value FROM spriden UNION ALL SELECT 'b', row_id, nullif(lower(trim(email)), '') FROM stu),
+n AS (SELECT *, count(*) FILTER (side = 'a') OVER (PARTITION BY value) AS n_a, count(*) FILTER (side = 'b') OVER (PARTITION BY value) AS n_b FROM r WHERE value IS NOT NULL)
+SELECT side, id, value, CASE side WHEN 'a' THEN n_b ELSE n_a END AS links FROM n WHERE n_a > 0 AND n_b > 0"""
+)
 def match_exact(spark, sf_dir):
-    a, b = table(spark, sf_dir, "spriden").where("email not like '%@uni.example'"), table(spark, sf_dir, "stu")
-    return reconcile.match_exact(a, b, ["email"], "row_id", "row_id").select("a_id", "b_id")
+    rows = reconcile.exact_classes(table(spark, sf_dir, "spriden"), table(spark, sf_dir, "stu"), ["email"], "row_id", "row_id")
+    return rows.select("side", "id", "value", "links")
+
+
+_ALTERNATE = "SELECT c_custkey AS id, unnest(['crm|n|' || c_custkey % 3000, 'web|w|' || lower(c_name), 'web|w|supplier#' || lpad(CAST(c_custkey % 700 AS VARCHAR), 9, '0')]) AS v FROM customer"
+
+
+@query(
+    f"""SELECT a.id AS a_id, b.id AS b_id FROM ({_ALTERNATE}) a JOIN (SELECT s_suppkey AS id, unnest(['crm|n|' || (s_suppkey * 7), 'web|w|' || lower(s_name)]) AS v FROM supplier) b ON a.v = b.v GROUP BY ALL"""
+)
+def match_alternate(spark, sf_dir):
+    each = lambda system, kind, value: F.struct(F.lit(system).alias("system"), F.lit(kind).alias("type"), value.cast("string").alias("value"))
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    a = table(spark, sf_dir, "customer").select(c.alias("id"), F.array(each("crm", "n", c % 3000), each("web", "w", F.col("c_name")), each("web", "w", F.concat(F.lit("SUPPLIER#"), F.lpad((c % 700).cast("string"), 9, "0")))).alias("alt"))
+    b = table(spark, sf_dir, "supplier").select(s.alias("id"), F.array(each("crm", "n", s * 7), each("web", "w", F.col("s_name"))).alias("alt"))
+    return reconcile.match_exact(a, b, [], "id", "id", "alt").select("a_id", "b_id")
 
 
 @query(
@@ -363,25 +379,78 @@ def match_institutional(spark, sf_dir):
     return reconcile.match_institutional(a, b, ["postcode", "l", "f"], "row_id", "row_id", ["postcode"])
 
 
-def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+_MONTHS = "CASE m WHEN 'JAN' THEN 1 WHEN 'FEB' THEN 2 WHEN 'MAR' THEN 3 WHEN 'APR' THEN 4 WHEN 'MAY' THEN 5 WHEN 'JUN' THEN 6 WHEN 'JUL' THEN 7 WHEN 'AUG' THEN 8 WHEN 'SEP' THEN 9 WHEN 'OCT' THEN 10 WHEN 'NOV' THEN 11 WHEN 'DEC' THEN 12 END"
+
+
+def _day(c: str) -> str:
+    """The date that a text means, in SQL."""
+    s = f"upper(regexp_replace({c}, '\\s', '', 'g'))"
+    named = "^(\\d{1,2})[- ]?([A-Z]{3})[A-Z]*[- ]?(\\d{4})$"
+    month = _MONTHS.replace("CASE m", f"CASE regexp_extract({s}, '{named}', 2)")
+    numeric = "^(\\d{1,2})[/.-](\\d{1,2})[/.-](\\d{4})$"
+    iso = f"regexp_extract({s}, '^(\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}})(T?[0-9:.]*Z?)?$', 1)"
+    return f"""CAST(try_cast(CASE WHEN {iso} <> '' THEN replace({iso}, '/', '-')
+ WHEN regexp_matches({s}, '{numeric}') THEN regexp_replace({s}, '{numeric}', '\\3-\\2-\\1')
+ WHEN regexp_matches({s}, '{named}') THEN regexp_extract({s}, '{named}', 3) || '-' || {month} || '-' || regexp_extract({s}, '{named}', 1)
+ WHEN regexp_matches({s}, '^\\d{{8}}$') THEN regexp_replace({s}, '^(\\d{{4}})(\\d{{2}})(\\d{{2}})$', '\\1-\\2-\\3') END AS DATE) AS VARCHAR)"""
+
+
+def _near(a: str, b: str) -> str:
+    """At most one edit: all letters but one, or two exchanged, are in the common beginning and end."""
+    head = f"len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: left({a}, i) = left({b}, i)))"
+    tail = f"len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: right({a}, i) = right({b}, i)))"
+    swapped = f"(length({a}) = length({b}) AND {head} + {tail} >= length({a}) - 2 AND substr({a}, {head} + 1, 1) = substr({b}, {head} + 2, 1) AND substr({a}, {head} + 2, 1) = substr({b}, {head} + 1, 1))"
+    return f"({a} = {b} OR (abs(length({a}) - length({b})) <= 1 AND {head} + {tail} >= greatest(length({a}), length({b})) - 1) OR {swapped})"
+
+
+_FUZZY = f"""WITH a AS (SELECT row_id AS id, nullif(lower(trim(spriden_last_name)), '') l, nullif(lower(trim(spriden_first_name)), '') f, {_day("spriden_birth_date")} d, nullif(lower(trim(email)), '') e FROM spriden),
+b AS (SELECT row_id AS id, nullif(lower(trim(stu_surn)), '') l, nullif(lower(trim(stu_fore)), '') f, {_day("stu_dob")} d, nullif(lower(trim(email)), '') e FROM stu),
+met AS (SELECT a.id x, b.id y FROM a JOIN b ON a.l = b.l AND a.f = b.f UNION SELECT a.id, b.id FROM a JOIN b ON a.d = b.d UNION SELECT a.id, b.id FROM a JOIN b ON a.e = b.e),
+s AS (SELECT x AS a_id, y AS b_id, least(1.0::DOUBLE, CASE WHEN a.l = b.l THEN 0.35::DOUBLE WHEN {_near("a.l", "b.l")} THEN 0.25::DOUBLE ELSE 0::DOUBLE END + CASE WHEN a.f = b.f THEN 0.2::DOUBLE WHEN {_near("a.f", "b.f")} THEN 0.12::DOUBLE ELSE 0::DOUBLE END
+ + CASE WHEN a.d = b.d THEN 0.3::DOUBLE ELSE 0::DOUBLE END + CASE WHEN a.e = b.e THEN 0.15::DOUBLE ELSE 0::DOUBLE END) AS score FROM met JOIN a ON a.id = x JOIN b ON b.id = y),
+fuzzy AS (SELECT a_id, b_id, score, CASE WHEN score >= 0.7::DOUBLE + 0.1::DOUBLE THEN 'confident' ELSE 'review' END AS kind FROM s WHERE score >= 0.7::DOUBLE - 0.15::DOUBLE)"""
+_GREEDY = """, rounds AS (SELECT a_id, b_id, score, false AS won FROM fuzzy UNION ALL
+SELECT a_id, b_id, score, won FROM (SELECT *, bool_or(won) OVER (PARTITION BY a_id) AS wa, bool_or(won) OVER (PARTITION BY b_id) AS wb FROM (
+ SELECT a_id, b_id, score, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) = 1 AND row_number() OVER (PARTITION BY b_id ORDER BY score DESC, a_id) = 1 AS won FROM rounds WHERE NOT won))
+WHERE won OR NOT (wa OR wb))"""
+
+
+def fuzzy_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from tallywright.functions.values import calendar_date
 
     born = lambda c: calendar_date(F.col(c)).cast("string")
-    a = table(spark, sf_dir, "spriden").select("row_id", F.col("spriden_last_name").alias("l"), F.col("spriden_first_name").alias("f"), born("spriden_birth_date").alias("d"), "email")
-    b = table(spark, sf_dir, "stu").select("row_id", F.col("stu_surn").alias("l"), F.col("stu_fore").alias("f"), born("stu_dob").alias("d"), "email")
-    return reconcile.match_fuzzy(a, b, "row_id", "row_id", "l", "f", "d", "email")
+    a = table(spark, sf_dir, "spriden").select("row_id", F.col("spriden_last_name").alias("l"), F.col("spriden_first_name").alias("f"), born("spriden_birth_date").alias("d"), "email", "postcode")
+    b = table(spark, sf_dir, "stu").select("row_id", F.col("stu_surn").alias("l"), F.col("stu_fore").alias("f"), born("stu_dob").alias("d"), "email", "postcode")
+    return a, b
 
 
-@query()
+def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.match_fuzzy(*fuzzy_sides(spark, sf_dir), "row_id", "row_id", "l", "f", "d", "email")
+
+
+@query(_FUZZY + " SELECT a_id, b_id, score, kind FROM fuzzy")
 def match_fuzzy(spark, sf_dir):
     return fuzzy_pairs(spark, sf_dir)
 
 
-@query()
+@query(_FUZZY.replace("WITH a AS", "WITH RECURSIVE a AS", 1) + _GREEDY + " SELECT a_id, b_id, score FROM rounds WHERE won")
 def reconcile_one_to_one(spark, sf_dir):
     return reconcile.one_to_one(fuzzy_pairs(spark, sf_dir))
 
 
+@query(
+    _FUZZY.replace("WITH a AS", "WITH RECURSIVE a AS", 1)
+    + _GREEDY
+    + """, m AS (SELECT a_id, b_id FROM rounds WHERE won), p AS (SELECT x.spriden_last_name l1, y.stu_surn l2, x.email e1, y.email e2, x.postcode p1, y.postcode p2 FROM m JOIN spriden x ON x.row_id = a_id JOIN stu y ON y.row_id = b_id)
+SELECT (SELECT count(*) FROM m) AS matched, (SELECT count(*) FROM spriden WHERE row_id NOT IN (SELECT a_id FROM m)) AS a_only, (SELECT count(*) FROM stu WHERE row_id NOT IN (SELECT b_id FROM m)) AS b_only,
+(SELECT count(*) FROM p WHERE coalesce(nullif(lower(trim(l1)), '') <> nullif(lower(trim(l2)), ''), false) OR coalesce(nullif(lower(trim(e1)), '') <> nullif(lower(trim(e2)), ''), false) OR coalesce(nullif(lower(trim(p1)), '') <> nullif(lower(trim(p2)), ''), false)) AS conflicting,
+(SELECT count(*) FROM spriden) AS total_a, (SELECT count(*) FROM stu) AS total_b"""
+)
+def reconcile_report(spark, sf_dir):
+    a, b = fuzzy_sides(spark, sf_dir)
+    return reconcile.reconciliation_report(reconcile.one_to_one(fuzzy_pairs(spark, sf_dir)), a, b, "row_id", "row_id", {"lastName": ("l", "l"), "email": ("email", "email"), "postcode": ("postcode", "postcode")})
+
+
 # --- migration
 
 
