@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallywright.session import cut
+
 SEVERITIES = ("CRITICAL", "ERROR", "WARN", "INFO")
 _NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 FINDING = "finding_id string, rule_id string, rule_name string, severity string, entity_type string, subject_id string, message string, evidence map<string,string>"
@@ -89,6 +91,21 @@ class StatRule:
     tags: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class ContextRule:
+    """Fails where a value isn't in a set built from all rows of a table (missing), or is in it. context gives that set: one column of a table's rows. Nulls pass."""
+
+    rule_id: str
+    name: str
+    severity: str
+    column: str
+    table: str
+    context: Callable[[DataFrame], DataFrame]
+    missing: bool = True
+    message: str = ""
+    tags: tuple[str, ...] = ()
+
+
 class Registry:
     """Rules by id; an id is given once."""
 
@@ -108,10 +125,11 @@ class Registry:
         return [r for i, r in self.rules.items() if i.startswith(prefix) and (tag is None or tag in r.tags) and (severity is None or r.severity == severity)]
 
 
-def template(text: str) -> Column:
-    """A message with {{column}} replaced by the column's text, nulls by nothing."""
+def template(text: str, columns: Iterable[str] | None = None) -> Column:
+    """A message with {{column}} replaced by the column's text, nulls by nothing; where columns are given, others by nothing too."""
     parts = re.split(r"\{\{\s*([\w.]+)\s*\}\}", text)
-    return F.concat(*[F.lit(p) if n % 2 == 0 else F.coalesce(safe(p).cast("string"), F.lit("")) for n, p in enumerate(parts)])
+    known = lambda p: columns is None or p in columns
+    return F.concat(*[F.lit(p) if n % 2 == 0 else F.coalesce(safe(p).cast("string"), F.lit("")) if known(p) else F.lit("") for n, p in enumerate(parts)])
 
 
 def finding_id(*parts: Column) -> Column:
@@ -144,8 +162,22 @@ def run_sql(spark: SparkSession, rule: SqlRule, tables: Mapping[str, DataFrame],
     rows = spark.sql(rule.sql, args=dict(rule.args), **used)
     rest = [c for c in rows.columns if c != "subject_id"]
     evidence = F.create_map(*[x for c in rest for x in (F.lit(c), F.col(c).cast("string"))]) if rest else F.create_map().cast("map<string,string>")
-    own = rows.select(F.col("subject_id").cast("string").alias("subject_id"), evidence.alias("evidence"), *[F.col(c).alias(f"_{c}") for c in rest])
-    return own.select(finding_id(F.lit(rule.rule_id), F.lit(entity), F.col("subject_id")).alias("finding_id"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.name).alias("rule_name"), F.lit(rule.severity).alias("severity"), F.lit(entity).alias("entity_type"), "subject_id", F.lit(rule.message or rule.name).alias("message"), "evidence")
+    own = rows.select(F.col("subject_id").cast("string").alias("subject_id"), evidence.alias("evidence"), template(rule.message or rule.name, rows.columns).alias("message"))
+    return _stamped(own, rule, entity)
+
+
+def _stamped(rows: DataFrame, rule, entity: str) -> DataFrame:
+    """Findings of one rule from its subjects, messages and evidence."""
+    return rows.select(finding_id(F.lit(rule.rule_id), F.lit(entity), F.col("subject_id")).alias("finding_id"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.name).alias("rule_name"), F.lit(rule.severity).alias("severity"), F.lit(entity).alias("entity_type"), "subject_id", "message", "evidence")
+
+
+def run_context(df: DataFrame, rule: ContextRule, tables: Mapping[str, DataFrame], entity: str, key: str) -> DataFrame:
+    """The findings of a context rule: the set is told apart on the map side and joined, never gathered."""
+    given = rule.context(tables[rule.table])
+    known = given.select(F.col(given.columns[0]).cast("string").alias("_known")).distinct()
+    rows = df.select(subject(df, key).alias("subject_id"), safe(rule.column).cast("string").alias("_v"), template(rule.message or rule.name, df.columns).alias("message")).where("_v is not null")
+    failed = rows.join(known, F.col("_v") == F.col("_known"), "left_anti" if rule.missing else "left_semi")
+    return _stamped(failed.select("subject_id", "message", F.create_map(F.lit(rule.column), F.col("_v")).alias("evidence")), rule, entity)
 
 
 def field_stats(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -184,33 +216,83 @@ class Audit:
     failed: dict[str, str]
 
 
+def _found(spark: SparkSession, tables: Mapping[str, tuple[DataFrame, str]], entity: str, rules: list) -> DataFrame:
+    """The findings of one rule, or of several row rules in one scan."""
+    df, key = tables[entity]
+    frames = {n: t for n, (t, _) in tables.items()}
+    if isinstance(rules[0], SqlRule):
+        return run_sql(spark, rules[0], frames, entity)
+    if isinstance(rules[0], StatRule):
+        return run_stat(df, rules[0], entity)
+    if isinstance(rules[0], ContextRule):
+        return run_context(df, rules[0], frames, entity, key)
+    return run_rules(df, rules, entity, key)
+
+
+def _is_row_rule(rule) -> bool:
+    return not isinstance(rule, SqlRule | StatRule | ContextRule)
+
+
 def audit(spark: SparkSession, tables: Mapping[str, tuple[DataFrame, str]], rules: Mapping[str, list], fail_fast: bool = False) -> Audit:
     """All rules of all tables: tables by entity with their key, rules by entity ("*" runs on all).
 
     Row rules of an entity share a scan. A rule that can't be analysed is counted in `failed` and
-    the others go on; with fail_fast the first one raises.
+    the others go on; with fail_fast the first one raises. Nothing runs yet: audit_now() also
+    catches what fails at run time.
     """
     out, failed = [], {}
-    for entity, (df, key) in tables.items():
+    for entity, (df, _) in tables.items():
         rows = []
         for r in [*rules.get(entity, []), *rules.get("*", [])]:
             try:
-                if isinstance(r, SqlRule):
-                    found = run_sql(spark, r, {n: t for n, (t, _) in tables.items()}, entity)
-                elif isinstance(r, StatRule):
-                    found = run_stat(df, r, entity)
-                else:
+                if _is_row_rule(r):
                     df.select(r.test())
                     rows.append(r)
-                    continue
-                found.schema
-                out.append(found)
+                else:
+                    found = _found(spark, tables, entity, [r])
+                    found.schema
+                    out.append(found)
             except Exception as e:  # noqa: BLE001
                 if fail_fast:
                     raise
                 failed[r.rule_id] = str(e)[:500]
         if rows:
-            out.append(run_rules(df, rows, entity, key))
+            out.append(_found(spark, tables, entity, rows))
+    return Audit(reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], FINDING), failed)
+
+
+def failure(spark: SparkSession, rule, entity: str, error: str) -> DataFrame:
+    """The finding that a rule itself failed; its subject is the rule."""
+    one = spark.createDataFrame([(f"rule:{rule.rule_id}", f"rule failed: {error}")], "subject_id string, message string")
+    return _stamped(one.withColumn("evidence", F.create_map().cast("map<string,string>")), rule, entity)
+
+
+def audit_now(spark: SparkSession, tables: Mapping[str, tuple[DataFrame, str]], rules: Mapping[str, list], stop_on_critical: bool = False) -> Audit:
+    """As audit(), but the rules run, and their findings are written to the checkpoint folder.
+
+    A rule that fails, when it is analysed or at run time, gives a finding that says so, is counted in
+    `failed`, and the others go on. Row rules share a scan; only where that fails are they run one by
+    one, to tell which it was. With stop_on_critical rules run in their order, and none after the first
+    with a CRITICAL finding.
+    """
+    out, failed = [], {}
+    for entity in tables:
+        own = [*rules.get(entity, []), *rules.get("*", [])]
+        rows = [r for r in own if _is_row_rule(r)]
+        waiting = [[r] for r in own] if stop_on_critical else [*([rows] if rows else []), *([r] for r in own if not _is_row_rule(r))]
+        while waiting:
+            group = waiting.pop(0)
+            try:
+                found = cut(_found(spark, tables, entity, group))
+            except Exception as e:  # noqa: BLE001
+                if len(group) > 1:
+                    waiting = [[r] for r in group] + waiting
+                    continue
+                failed[group[0].rule_id] = str(e)[:500]
+                found = failure(spark, group[0], entity, str(e).split("\n")[0][:200])
+            out.append(found)
+            if stop_on_critical and not found.where(F.col("severity") == SEVERITIES[0]).isEmpty():
+                return Audit(reduce(DataFrame.unionByName, out), failed)
     return Audit(reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], FINDING), failed)
 
 
