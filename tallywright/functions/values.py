@@ -78,6 +78,17 @@ def same_composed(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([fold(x) == fold(y) if x is not None and y is not None else False for x, y in zip(a, b, strict=True)], dtype="bool")
 
 
+def age_years(born: Column, at: Column) -> Column:
+    """Days from a birth date to a day, in years of 365.25; null where either is."""
+    return F.datediff(at, born) / 365.25
+
+
+def cut_at_word(c: Column, longest: int) -> Column:
+    """Text up to a length, cut at the last blank before it, with an ellipsis; shorter texts whole."""
+    head = F.left(c, F.lit(longest - 1))
+    return F.when(F.length(c) <= longest, c).otherwise(F.concat(F.rtrim(F.regexp_replace(head, r"\s+\S*$", "")), F.lit("…")))
+
+
 def uuid_key(c: Column) -> Column:
     """A UUID without regard to letter case, blanks and braces."""
     return F.lower(F.regexp_replace(c, r"(?U)[\s{}]", ""))

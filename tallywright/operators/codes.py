@@ -15,18 +15,20 @@ def translate(rows: DataFrame, code: str, maps: DataFrame, at: Column | None = N
     not its end; open where null. rows must not have those columns. Nothing is lost: a row without
     an entry keeps a null target, or the default.
     """
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    entries = maps.select(F.col("sourcecode").alias("_code"), F.col("targetcode").alias("_target"), F.col("activefrom").alias("_from"), F.col("activeto").alias("_to"), F.col("tenantid").alias("_tenant"), F.col("entry_id").alias("_entry"))
-    match = F.col(code) == F.col("_code")
-    if at is not None:
-        match = match & (F.col("_from").isNull() | (F.col("_from") <= at)) & (F.col("_to").isNull() | (at < F.col("_to")))
-    match = match & (F.col("_tenant").isNull() | (F.col("_tenant").eqNullSafe(tenant) if tenant is not None else F.lit(False)))
-    met = keyed.join(small(entries), match, "left")
-    # general entries come after the tenant's
-    order = F.struct(F.col("_tenant").isNull().alias("g"), F.col("_entry").alias("e"))
-    best = met.groupBy("_row", *[F.col(c) for c in rows.columns]).agg(F.min_by(F.struct("_target", "_entry"), F.when(F.col("_entry").isNotNull(), order)).alias("_b"))
-    target = F.col("_b._target")
-    return best.select(*rows.columns, (F.coalesce(target, F.lit(default)) if default is not None else target).alias("target"), F.col("_b._entry").alias("translated_by"))
+    # all entries of a code in their order, the tenant's before the general ones: rows are looked up without being moved
+    entry = F.struct(F.col("tenantid").isNull().alias("g"), F.col("entry_id").alias("e"), F.col("tenantid").alias("tenant"), F.col("activefrom").alias("f"), F.col("activeto").alias("t"), F.col("targetcode").alias("target"))
+    entries = maps.where("sourcecode is not null").groupBy(F.col("sourcecode").alias("_code")).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+
+    def holds(e: Column) -> Column:
+        match = e["tenant"].isNull() | (e["tenant"].eqNullSafe(tenant) if tenant is not None else F.lit(False))
+        if at is not None:
+            match = match & (e["f"].isNull() | (e["f"] <= at)) & (e["t"].isNull() | (at < e["t"]))
+        return match
+
+    best = F.get(F.filter("_entries", holds), F.lit(0))
+    met = rows.join(small(entries), F.col(code) == F.col("_code"), "left").withColumn("_best", best)
+    target = F.col("_best.target")
+    return met.select(*rows.columns, (F.coalesce(target, F.lit(default)) if default is not None else target).alias("target"), F.col("_best.e").alias("translated_by"))
 
 
 def coverage(observed: DataFrame, code: str, maps: DataFrame) -> DataFrame:
@@ -87,6 +89,44 @@ def id_index(records: DataFrame, canonical: str, system: str, source_id: str, or
     return records.groupBy(canonical).agg(*named, others.alias("other_ids"))
 
 
+def canonical_of(ids: DataFrame, id_col: str, index: DataFrame, canonical: str, system: str) -> DataFrame:
+    """ids with the canonical id that the index has for an id of a system; null where it has none. Of several the last in order counts."""
+    known = index.where(F.col(f"{system}_id").isNotNull()).groupBy(F.col(f"{system}_id").alias("_id")).agg(F.max(canonical).alias("canonical_id"))
+    return ids.join(known, F.col(id_col).cast("string") == F.col("_id"), "left").drop("_id")
+
+
+def counterpart(ids: DataFrame, id_col: str, index: DataFrame, canonical: str, system: str, other: str) -> DataFrame:
+    """ids with the same person's id in another system, by the index; null where it has none."""
+    known = index.where(F.col(f"{system}_id").isNotNull()).groupBy(F.col(f"{system}_id").alias("_id")).agg(F.max_by(f"{other}_id", canonical).alias("counterpart"))
+    return ids.join(known, F.col(id_col).cast("string") == F.col("_id"), "left").drop("_id")
+
+
+def unindexed(records: DataFrame, index: DataFrame, system: str, source_id: str, systems: tuple[str, ...]) -> DataFrame:
+    """Records of the named systems whose id the index doesn't have, as a later record took its place."""
+    known = [index.select(F.lit(s).alias("_s"), F.col(f"{s}_id").alias("_i")).where("_i is not null") for s in systems]
+    both = known[0]
+    for k in known[1:]:
+        both = both.unionByName(k)
+    return records.where(F.col(system).isin(*systems)).join(both.distinct(), (F.col(system) == F.col("_s")) & (F.col(source_id).cast("string") == F.col("_i")), "left_anti")
+
+
+def key_mismatches(keys: Column, expected: Column) -> Column:
+    """The names of expected keys that a map doesn't hold with the expected value, in order."""
+    have = F.coalesce(keys, F.create_map().cast("map<string,string>"))
+    return F.array_sort(F.map_keys(F.map_filter(expected, lambda k, v: ~F.coalesce(F.try_element_at(have, k).eqNullSafe(v), F.lit(False)))))
+
+
+def find_alt_id(ids: Column, system: str, kind: str) -> Column:
+    """The first current value among alternate ids (system, type, value, current), else the first; null where there is none."""
+    own = F.filter(ids, lambda x: (x["system"] == system) & (x["type"] == kind))
+    return F.coalesce(F.get(F.filter(own, lambda x: F.coalesce(x["current"], F.lit(False))), F.lit(0))["value"], F.get(own, F.lit(0))["value"])
+
+
+def has_alt_id(ids: Column, system: str, kind: str, value: Column) -> Column:
+    """Whether alternate ids hold a value, without regard to case."""
+    return F.coalesce(F.exists(ids, lambda x: (x["system"] == system) & (x["type"] == kind) & (F.lower(x["value"]) == F.lower(value))), F.lit(False))
+
+
 def current_status(kind: str, signals: dict[str, Column], at: Column) -> Column:
     """Whether a row is current by its pattern: activity (dated not after at), term (effective not after at), period (start <= at < end), indicator (blank), status (among the active), snapshot (always)."""
     on_or_before = lambda c: F.coalesce(c <= at, F.lit(False))

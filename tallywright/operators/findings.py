@@ -54,6 +54,19 @@ def waiver_status(status: Column, kind: Column, until: Column, at: Column) -> Co
     return F.when(kind == "ack", F.lit("in_review")).when((kind == "waive") & (until > at), F.lit("waived")).when(kind.isin("waive", "revoke"), F.lit("open")).otherwise(status)
 
 
+def waiver_stats(latest: DataFrame, at: Column) -> DataFrame:
+    """One row over the last decisions: total, active_waivers, active_acks, expired_waivers, revoked."""
+    waived = F.col("kind") == "waive"
+    live = F.coalesce(F.col("waived_until") > at, F.lit(False))
+    return latest.agg(F.count(F.lit(1)).alias("total"), F.count_if(waived & live).alias("active_waivers"), F.count_if(F.col("kind") == "ack").alias("active_acks"), F.count_if(waived & ~live).alias("expired_waivers"), F.count_if(F.col("kind") == "revoke").alias("revoked"))
+
+
+def queue_states(items: DataFrame, events: DataFrame, key: str, order: str) -> DataFrame:
+    """items with state (open, resolved or skipped) and refused: an item is settled once, by its first event; the number of later ones is refused."""
+    first = events.groupBy(key).agg(F.min_by("kind", order).alias("_kind"), (F.count(F.lit(1)) - 1).alias("_later"))
+    return items.join(first, key, "left").select(*items.columns, F.coalesce("_kind", F.lit("open")).alias("state"), F.coalesce("_later", F.lit(0)).cast("long").alias("refused"))
+
+
 def valid_decisions(decisions: DataFrame, finding: str, order: str) -> DataFrame:
     """Decisions with the reason they are refused for, null where they stand: waive needs a reason and an end after it is made; revoke needs an earlier decision that isn't a revocation."""
     before = F.lag("kind").over(Window.partitionBy(finding).orderBy(order))

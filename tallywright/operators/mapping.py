@@ -31,24 +31,83 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+def _meeting(left: DataFrame, right: DataFrame, texts: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (_l, _r) of different names that share a word, or of which one may contain the other.
+
+    A name of three letters or more that another contains shares a three-letter part with it; the few
+    shorter ones are found among all parts of their length. texts: further columns of right whose words count.
+    """
+    squash = lambda c: squashed(F.col(c))
+    pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(squash(c)) - (n - 1))), lambda i: F.substr(squash(c), i, F.lit(n)))
+    parts = lambda c, *more: F.array_distinct(F.concat(pieces(c, 3), tokens(F.col(c)), *[tokens(F.col(m)) for m in more]))
+    short = lambda d, c: d.where((F.length(squash(c)) > 0) & (F.length(squash(c)) < 3)).withColumn("_p", squash(c))
+    small_parts = lambda c: F.array_distinct(F.concat(pieces(c, 1), pieces(c, 2)))
+    met = [left.withColumn("_p", F.explode(parts("_l"))).join(right.withColumn("_p", F.explode(parts("_r", *texts))), "_p")]
+    met.append(short(left, "_l").join(right.withColumn("_p", F.explode(small_parts("_r"))), "_p"))
+    met.append(left.withColumn("_p", F.explode(small_parts("_l"))).join(short(right, "_r"), "_p"))
+    pairs = met[0].drop("_p").unionByName(met[1].drop("_p")).unionByName(met[2].drop("_p"))
+    return pairs.distinct()
+
+
 def suggest(columns: DataFrame, column: str, targets: DataFrame, target: str, top: int = 4, min_score: float = MIN_SCORE) -> DataFrame:
     """Rows (column, target, score, rank): the best targets by equal, contained or overlapping names.
 
-    Names that overlap share a word or a three-letter part, so pairs come from an equi-join on these;
-    names are told apart first, so the join is over distinct names.
+    Names are told apart first, so the joins are over different names. A name without letters or
+    digits has no suggestion.
     """
-    parts = lambda c: F.array_union(tokens(c), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(squashed(c)) - 2)), lambda i: F.substr(squashed(c), i, F.lit(3))))
     left = columns.select(F.col(column).alias("_l")).where("_l is not null").distinct()
     right = targets.select(F.col(target).alias("_r")).where("_r is not null").distinct()
-    met = left.withColumn("_p", F.explode(parts(F.col("_l")))).join(right.withColumn("_p", F.explode(parts(F.col("_r")))), "_p").select("_l", "_r").distinct()
+    met = _meeting(left, right)
     a, b = squashed(F.col("_l")), squashed(F.col("_r"))
     overlap = jaccard(tokens(F.col("_l")), tokens(F.col("_r")))
-    score = F.when(a == b, F.lit(EQUAL)).when(a.contains(b) | b.contains(a), F.lit(CONTAINED)).when(overlap >= MIN_JACCARD, overlap).otherwise(F.lit(0.0))
+    score = F.when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(EQUAL)).when(a.contains(b) | b.contains(a), F.lit(CONTAINED)).when(overlap >= MIN_JACCARD, overlap).otherwise(F.lit(0.0))
     scored = met.select(F.col("_l").alias(column), F.col("_r").alias(target), F.round(score, 6).alias("score")).where(F.col("score") >= min_score)
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(column).orderBy(F.desc("score"), F.asc(target))).cast("long"))
     return ranked.where(F.col("rank") <= top)
 
 
+def flat_index(sections: DataFrame, systems: tuple[str, ...] = ("banner", "sits")) -> DataFrame:
+    """Rows (canonical, entity, system, source) of a corpus of sections (entity, fields: array of canonical and a source for each system); fields without a source in a system are left out."""
+    fields = sections.select("entity", F.explode("fields").alias("_f"))
+    each = F.array(*[F.struct(F.lit(s).alias("system"), F.col(f"_f.{s}").alias("source")) for s in systems])
+    return fields.select(F.col("_f.canonical").alias("canonical"), "entity", F.explode(each).alias("_s")).select("canonical", "entity", "_s.system", "_s.source").where("coalesce(source, '') <> ''")
+
+
+def suggest_mapping(columns: DataFrame, column: str, index: DataFrame, system: str, scope: list[str] | None = None, learned: DataFrame | None = None, top: int = 4, min_score: float = MIN_SCORE) -> DataFrame:
+    """Rows (column, canonical, entity, score, rank) from an index of (canonical, entity, system, source): the best and its alternatives; nothing for a column whose best score is below min_score.
+
+    A column that is one of a source's words scores EQUAL, one that contains a source or is contained
+    CONTAINED, else the larger share of words common with the source or the canonical name, from
+    MIN_JACCARD. What was accepted before (learned: column, canonical, entity, confidence) is a candidate
+    with its confidence. Of one canonical field the best score counts; ties go to what was learned, then by entity and canonical name.
+    """
+    own = index.where(F.col("system") == system)
+    if scope is not None:
+        own = own.where(F.col("entity").isin(*scope))
+    left = columns.select(F.col(column).alias("_l")).where("_l is not null").distinct()
+    right = own.select(F.col("source").alias("_r"), "canonical", "entity").where("_r is not null").distinct()
+    met = _meeting(left, right, ("canonical",))
+    a, b = squashed(F.col("_l")), squashed(F.col("_r"))
+    best = F.greatest(jaccard(tokens(F.col("_l")), tokens(F.col("_r"))), jaccard(tokens(F.col("_l")), tokens(F.col("canonical"))))
+    score = F.when((a == "") | (b == ""), F.lit(0.0)).when(F.array_contains(tokens(F.col("_r")), a), F.lit(EQUAL)).when(a.contains(b) | b.contains(a), F.lit(CONTAINED)).when(best >= MIN_JACCARD, best).otherwise(F.lit(0.0))
+    scored = met.select("_l", "canonical", "entity", F.round(score, 6).alias("score"), F.lit(1).alias("_from"))
+    if learned is not None:
+        prior = learned if scope is None else learned.where(F.col("entity").isin(*scope))
+        scored = scored.unionByName(left.join(prior.select(F.col(column).alias("_l"), "canonical", "entity", F.col("confidence").cast("double").alias("score"), F.lit(0).alias("_from")), "_l"))
+    once = scored.where("score > 0").groupBy("_l", "entity", "canonical").agg(F.max(F.struct("score", (-F.col("_from")).alias("_from"))).alias("_s")).select("_l", "entity", "canonical", "_s.score", "_s._from")
+    order = Window.partitionBy("_l").orderBy(F.desc("score"), F.desc("_from"), "entity", "canonical")
+    ranked = once.withColumns({"rank": F.row_number().over(order).cast("long"), "_top": F.max("score").over(Window.partitionBy("_l"))})
+    return ranked.where((F.col("rank") <= top) & (F.col("_top") >= min_score)).select(F.col("_l").alias(column), "canonical", "entity", "score", "rank")
+
+
+def suggestion_lines(suggestions: DataFrame, columns: DataFrame, column: str) -> DataFrame:
+    """Rows (column, line) for a report: each column with its best suggestion and the alternatives, or that there is none."""
+    text = F.concat(F.col("entity"), F.lit("."), F.col("canonical"), F.lit(" ("), F.format_number("score", 2), F.lit(")"))
+    found = suggestions.groupBy(column).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", text.alias("t")))), lambda x: x["t"]), ", ").alias("_t"))
+    names = columns.select(F.col(column)).where(F.col(column).isNotNull()).distinct()
+    return names.join(found, column, "left").select(column, F.concat(F.lit("| "), F.col(column), F.lit(" | "), F.coalesce("_t", F.lit("no match")), F.lit(" |")).alias("line"))
+
+
 def learned_confidence(accepts: Column) -> Column:
     """Confidence in a mapping that was accepted so often."""
     return F.least(F.lit(0.98), F.round(0.85 + (1 - F.exp(-0.4 * accepts)) * 0.13, 2))

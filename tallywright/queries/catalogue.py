@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallywright.queries import operations  # noqa: F401  adds its queries to those of reference
 from tallywright.queries import problems, problems_sql, reference, rule_shapes
 
 _MODULES = [(problems.QUERIES, problems_sql.SQL), (rule_shapes.QUERIES, rule_shapes.SQL), (reference.QUERIES, reference.SQL)]

@@ -303,9 +303,13 @@ def sourcekeys_merge(spark, sf_dir):
 SELECT canonical, CAST(max(sid) FILTER (system = 'banner') AS VARCHAR) AS banner_id, CAST(max(sid) FILTER (system = 'sits') AS VARCHAR) AS sits_id, coalesce(string_agg(DISTINCT 'ucas:' || sid, ',' ORDER BY 'ucas:' || sid) FILTER (system = 'ucas'), '') AS other_ids FROM r GROUP BY canonical"""
 )
 def id_index(spark, sf_dir):
+    return codes.id_index(id_records(spark, sf_dir), "canonical", "system", "sid", "o", ("banner", "sits"))
+
+
+def id_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 1000).alias("canonical"), F.lit("banner").alias("system"), F.col("c_custkey").cast("string").alias("sid"), F.col("c_custkey").alias("o"))
     s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 1000).alias("canonical"), F.when(F.col("s_suppkey") % 3 == 0, "ucas").otherwise("sits").alias("system"), F.col("s_suppkey").cast("string").alias("sid"), F.col("s_suppkey").alias("o"))
-    return codes.id_index(c.unionByName(s), "canonical", "system", "sid", "o", ("banner", "sits"))
+    return c.unionByName(s)
 
 
 # --- verification, preparation, matching
@@ -459,7 +463,10 @@ def mig_crn_monotonic(spark, sf_dir):
     return migrate.number_rows(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), ["k"], 1000, 8)
 
 
-@query()
+@query(
+    """WITH t AS (SELECT p_partkey, list_reduce(list_concat([0::BIGINT], list_transform(string_split(concat_ws('|', p_name, p_brand, CAST(p_partkey AS VARCHAR)), ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM part)
+SELECT p_partkey, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS hash FROM t"""
+)
 def mig_crn_hash(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", migrate.text_hash(F.concat_ws("|", "p_name", "p_brand", F.col("p_partkey").cast("string"))).alias("hash"))
 
@@ -516,12 +523,6 @@ def incremental_since(spark, sf_dir):
     return files.since(table(spark, sf_dir, "events"), "ts", "2024-01-20").select("event_id")
 
 
-@query("SELECT c AS name FROM (VALUES ('STU_UDF1'), ('stu_udf2'), ('STU_NAME'), ('X_UDF77'), ('UDF9')) t(c) WHERE regexp_matches(c, '(?i)_UDF[0-9]+$') AND upper(c) NOT IN ('STU_UDF2')")
-def unregistered_udf(spark, sf_dir):
-    columns = spark.createDataFrame([("STU_UDF1",), ("stu_udf2",), ("STU_NAME",), ("X_UDF77",), ("UDF9",)], "name string")
-    return files.unregistered(columns, "name", spark.createDataFrame([("STU_UDF2",)], "r string"), "r")
-
-
 @query("SELECT map_id, array_to_string(list(sourcecode ORDER BY activefrom NULLS LAST, sourcecode), ',') AS codes FROM codeset_map_entry GROUP BY map_id")
 def grouped_codes(spark, sf_dir):
     return files.grouped_codes(table(spark, sf_dir, "codeset_map_entry"), "map_id", "sourcecode", "activefrom").select("map_id", F.concat_ws(",", "codes").alias("codes"))
@@ -552,9 +553,19 @@ def embed_cosine_topk(spark, sf_dir):
     return mapping.nearest(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 5).select("query_id", "id", "rank")
 
 
-@query()
+@query(
+    """WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), d AS (SELECT DISTINCT w FROM w WHERE w <> ''),
+g AS (SELECT w, unnest(list_concat([w], list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)), list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)))) AS g FROM d),
+h AS (SELECT w, list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split(g, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) % 256 AS dim FROM g),
+c AS (SELECT p_partkey, dim, count(*) AS n FROM w JOIN h USING (w) GROUP BY ALL)
+SELECT p_partkey, count(*) AS dimensions, CAST(sum(dim) AS BIGINT) AS dim_sum, CAST(min(dim) FILTER (n = most) AS BIGINT) AS first_largest, CAST(sum(round(n * 1.0 / least_n * 60)) AS BIGINT) AS weights FROM (SELECT *, max(n) OVER w2 AS most, min(n) OVER w2 AS least_n FROM c WINDOW w2 AS (PARTITION BY p_partkey)) GROUP BY p_partkey"""
+)
 def embed_names(spark, sf_dir):
-    return mapping.embed(table(spark, sf_dir, "part"), "p_partkey", "p_name")
+    e = mapping.embed(table(spark, sf_dir, "part"), "p_partkey", "p_name").select("p_partkey", F.posexplode("embedding").alias("dim", "v")).where("v > 0")
+    m = e.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("dimensions"), F.sum("dim").cast("bigint").alias("dim_sum"), F.max("v").alias("_m"), F.min("v").alias("_l"), F.collect_list(F.struct("dim", "v")).alias("_e"))
+    first = F.array_min(F.transform(F.filter("_e", lambda x: x["v"] == F.col("_m")), lambda x: x["dim"]))
+    weights = F.aggregate("_e", F.lit(0.0), lambda acc, x: acc + F.round(x["v"].cast("double") / F.col("_l").cast("double") * 60))
+    return m.select("p_partkey", "dimensions", "dim_sum", first.cast("bigint").alias("first_largest"), weights.cast("bigint").alias("weights"))
 
 
 @query("SELECT doc_id, md5(" + "regexp_replace(" * len(X.PII) + "text" + "".join(f", '{p}', '[{kind}]', 'g')" for kind, p in X.PII) + ") AS digest FROM documents")
@@ -562,10 +573,13 @@ def pii_redact(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.redact(F.col("text"))).alias("digest"))
 
 
-@query("SELECT n.n_nationkey, m.t AS target FROM nation n LEFT JOIN (VALUES ('NATION_1', 'A'), ('NATION_3', 'B'), ('NATION_7', 'C')) m(c, t) ON m.c = n.n_name")
+@query(
+    """SELECT row_id, coalesce(target, '?') AS target FROM (SELECT s.row_id, m.targetcode AS target, row_number() OVER (PARTITION BY s.row_id ORDER BY m.entry_id) n
+FROM (SELECT row_id, 'S' || lpad(CAST(row_id % 60 AS VARCHAR), 2, '0') c FROM stu) s LEFT JOIN codeset_map_entry m ON m.sourcecode = s.c AND m.tenantid IS NULL) WHERE n = 1"""
+)
 def code_translate(spark, sf_dir):
-    maps = spark.createDataFrame([(1, "NATION_1", "A"), (2, "NATION_3", "B"), (3, "NATION_7", "C"), (4, "NATION_7", "D")], "entry_id long, sourcecode string, targetcode string").selectExpr("*", "string(null) as activefrom", "string(null) as activeto", "string(null) as tenantid")
-    return codes.translate(table(spark, sf_dir, "nation"), "n_name", maps).select("n_nationkey", "target")
+    rows = table(spark, sf_dir, "stu").select("row_id", F.concat(F.lit("S"), F.lpad((F.col("row_id") % 60).cast("string"), 2, "0")).alias("c"))
+    return codes.translate(rows, "c", table(spark, sf_dir, "codeset_map_entry"), default="?").select("row_id", "target")
 
 
 @query(
@@ -579,13 +593,6 @@ def dictionary_join(spark, sf_dir):
     return files.dictionary(c.select(F.col("c_mktsegment").alias("entity"), F.col("c_custkey").alias("name")), known, extra, "entity")
 
 
-@query("SELECT * FROM (VALUES ('orders', 'o_orderkey', 'ok'), ('ORDERS', 'o_nothing', 'missing'), ('invoices', 'id', 'unknown')) t(table_name, field, verdict)")
-def preflight_fields(spark, sf_dir):
-    have = files.describe(table(spark, sf_dir, "orders")).select(F.lit("orders").alias("table_name"), F.col("name").alias("field"))
-    need = spark.createDataFrame([("orders", "o_orderkey"), ("ORDERS", "o_nothing"), ("invoices", "id")], "table_name string, field string")
-    return migrate.required_fields(need, have)
-
-
 @query("SELECT row_id, CASE WHEN sgbstdn_stst_code = 'AS' AND (sgbstdn_mode_code IS NULL OR trim(sgbstdn_mode_code) = '') THEN 'FT' ELSE sgbstdn_mode_code END AS mode_code, CASE WHEN sgbstdn_stst_code = 'AS' AND (sgbstdn_mode_code IS NULL OR trim(sgbstdn_mode_code) = '') THEN 'filled' END AS gap FROM sgbstdn")
 def mig_fill_gap(spark, sf_dir):
     s = table(spark, sf_dir, "sgbstdn").select("row_id", "sgbstdn_stst_code", F.col("sgbstdn_mode_code").alias("mode_code"))
@@ -630,7 +637,24 @@ def waiver_validation(spark, sf_dir):
     return findings.valid_decisions(d, "user_id", "event_id").groupBy("refused").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT row_id, spriden_change_ind IS NULL OR trim(spriden_change_ind) = '' AS by_indicator, coalesce(spriden_activity_date <= TIMESTAMP '2021-01-01', false) AS by_activity FROM spriden")
+@query(
+    """SELECT row_id, spriden_change_ind IS NULL OR trim(spriden_change_ind) = '' AS by_indicator, coalesce(spriden_activity_date <= TIMESTAMP '2021-01-01', false) AS by_activity, true AS by_snapshot FROM spriden"""
+)
 def currentness(spark, sf_dir):
     at = F.lit("2021-01-01").cast("timestamp_ntz")
-    return table(spark, sf_dir, "spriden").select("row_id", codes.current_status("indicator", {"indicator": F.col("spriden_change_ind")}, at).alias("by_indicator"), codes.current_status("activity", {"date": F.col("spriden_activity_date")}, at).alias("by_activity"))
+    status = lambda kind, **signals: codes.current_status(kind, signals, at).alias(f"by_{kind}")
+    return table(spark, sf_dir, "spriden").select("row_id", status("indicator", indicator=F.col("spriden_change_ind")), status("activity", date=F.col("spriden_activity_date")), status("snapshot"))
+
+
+@query(
+    """SELECT row_id, coalesce(sgbstdn_term_code_eff <= '202010', false) AS by_term, coalesce(sgbstdn_stst_code IN ('AS', 'R'), false) AS by_status FROM sgbstdn"""
+)
+def currentness_terms(spark, sf_dir):
+    s = table(spark, sf_dir, "sgbstdn")
+    return s.select("row_id", codes.current_status("term", {"date": F.col("sgbstdn_term_code_eff")}, F.lit("202010")).alias("by_term"), codes.current_status("status", {"status": F.col("sgbstdn_stst_code"), "active": ("AS", "R")}, F.lit(None)).alias("by_status"))
+
+
+@query("SELECT entry_id, coalesce(activefrom <= '2018-01-01', false) AND (activeto IS NULL OR '2018-01-01' < activeto) AS by_period FROM codeset_map_entry")
+def currentness_periods(spark, sf_dir):
+    signals = {"start": F.col("activefrom"), "end": F.col("activeto")}
+    return table(spark, sf_dir, "codeset_map_entry").select("entry_id", codes.current_status("period", signals, F.lit("2018-01-01")).alias("by_period"))

@@ -25,6 +25,7 @@ def local_session(app: str = "tallywright", cpus: int | str = "*", partitions: i
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TALLYWRIGHT_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -35,16 +36,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, which the session names in spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir, which all executors share, so that the loss of
-    an executor loses nothing. Only where the setting is missing, as in tests, one is made here.
+    Only a local session may leave it out, as tests do: there one is made. On a cluster a folder of one
+    machine would lose what the others wrote, so that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="tallywright-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there, so that the loss of an executor loses nothing.
+
+    Spark removes the files of a frame that is no longer used where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -53,6 +53,16 @@ def pipeline(names: list[str], source: str, sink: str) -> str:
     return json.dumps({"activities": steps}, indent=1)
 
 
+def lake_plan(rows: DataFrame, entity: str, root: str, mode: str = "append") -> DataFrame:
+    """Per entity the folder it is written to, the mode and its rows."""
+    return rows.groupBy(F.col(entity).alias("entity")).agg(F.count(F.lit(1)).alias("n")).select("entity", F.concat(F.lit(root + "/"), "entity").alias("folder"), F.lit(mode).alias("mode"), "n")
+
+
+def integration_tasks(names: list[str], source: str, target: str) -> str:
+    """One load task for each table, as JSON."""
+    return json.dumps([{"key": f"load_{n}", "source": f"{source}.{n}", "target": f"{target}.{n}"} for n in names], indent=1)
+
+
 def replication(names: list[str], source: str, target: str) -> str:
     """MAP lines of a replication parameter file."""
     return "\n".join(f"MAP {source}.{n}, TARGET {target}.{n};" for n in names)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,6 +30,20 @@ def database(spark: SparkSession, url: str, table: str, key: str, low: int, high
     return df.where(F.col(since[0]) >= F.lit(since[1])) if since else df
 
 
+def query_text(projection: str, where: str | None = None, most: int | None = None) -> str:
+    """A query for a database: a projection with a further condition, whether or not it has one already, and at most so many rows."""
+    text = f"SELECT * FROM ({projection}) q" + (f" WHERE ({where})" if where else "")
+    return text + (f" FETCH FIRST {int(most)} ROWS ONLY" if most is not None else "")
+
+
+def entity_scan(spark: SparkSession, url: str, projection: str, where: str | None = None, binds: dict[str, object] | None = None, most: int | None = None, fetch: int = 1000, **options: str) -> DataFrame:
+    """An entity's projection over JDBC. binds replace :name in the condition, as literals: texts quoted, numbers as they are."""
+    for name, value in (binds or {}).items():
+        literal = str(value) if isinstance(value, int | float) and not isinstance(value, bool) else "'" + str(value).replace("'", "''") + "'"
+        where = re.sub(rf":{name}\b", lambda _, x=literal: x, where or "")
+    return spark.read.format("jdbc").options(url=url, query=query_text(projection, where, most), fetchsize=fetch, **options).load()
+
+
 def since(df: DataFrame, column: str, at: str) -> DataFrame:
     """What changed from a time on."""
     return df.where(F.col(column) >= F.lit(at).cast("timestamp"))
@@ -55,6 +70,39 @@ def code_lists(spark: SparkSession, path: str) -> DataFrame:
     return lists.select("id", "name", F.explode("entries").alias("e")).select("id", "name", "e.*")
 
 
+def code_maps(spark: SparkSession, path: str) -> DataFrame:
+    """Code maps from JSON files of {id, version, sourceCodelist, targetCodelist, entries: [{sourceCode, targetCode, ..}]}, one row per entry in codes.translate()'s columns, numbered in the order they stand in."""
+    entry = "sourceCode string, targetCode string, activeFrom string, activeTo string, tenantId string, notes string"
+    maps = spark.read.schema(f"id string, version string, sourceCodelist string, targetCodelist string, tenantId string, entries array<struct<{entry.replace(' string', ':string')}>>").json(path, multiLine=True)
+    rows = maps.select("*", F.posexplode("entries").alias("_n", "_e"))
+    names = {"sourcecode": "sourceCode", "targetcode": "targetCode", "activefrom": "activeFrom", "activeto": "activeTo", "notes": "notes"}
+    return rows.select(F.col("id").alias("map_id"), F.col("version").alias("map_version"), F.col("sourceCodelist").alias("sourcecodelist"), F.col("targetCodelist").alias("targetcodelist"), F.coalesce("_e.tenantId", "tenantId").alias("tenantid"), (F.col("_n") + 1).cast("long").alias("entry_id"), *[F.col(f"_e.{c}").alias(n) for n, c in names.items()])
+
+
+def picklists(described: DataFrame) -> DataFrame:
+    """Code lists of a service's description: rows (object, fields: array of name and values: array of value, label, active) give (list_id, code, description, is_active, position); fields without values give none."""
+    fields = described.select("object", F.explode("fields").alias("_f"))
+    values = fields.select(F.concat_ws(".", "object", "_f.name").alias("list_id"), F.posexplode("_f.values").alias("position", "_v"))
+    return values.select("list_id", F.col("_v.value").alias("code"), F.coalesce("_v.label", "_v.value").alias("description"), F.coalesce("_v.active", F.lit(True)).alias("is_active"), F.col("position").cast("long").alias("position"))
+
+
+def corpus(spark: SparkSession, path: str) -> DataFrame:
+    """A crosswalk corpus from JSON files of {sections: [{entity, fields: [{canonical, banner, sits, notes}]}]} as rows (entity, fields), as mapping.flat_index() takes them."""
+    kind = "sections array<struct<entity:string,fields:array<struct<canonical:string,banner:string,sits:string,notes:string>>>>"
+    return spark.read.schema(kind).json(path, multiLine=True).select(F.explode("sections").alias("_s")).select("_s.entity", "_s.fields")
+
+
+def missing(required: DataFrame, present: DataFrame, name: str) -> DataFrame:
+    """Required names that aren't present, each once, without regard to case."""
+    have = present.select(F.lower(name).alias("_h"))
+    return required.select(name).distinct().join(have, F.lower(name) == F.col("_h"), "left_anti")
+
+
+def stored_audits(records: DataFrame, tenant: str, limit: int = 100) -> DataFrame:
+    """A tenant's last audits, newest first; a list for people, so it has a length."""
+    return records.where(F.col("tenant_id") == F.lit(tenant)).orderBy(F.desc("created_at"), F.desc("audit_id")).limit(limit)
+
+
 def dictionary(fields: DataFrame, entities: DataFrame, extra: DataFrame, key: str) -> DataFrame:
     """Fields of known entities and the extra ones, in order of entity and name."""
     own = fields.join(entities, key, "left_semi")

@@ -32,6 +32,34 @@ def fetch(url: str, headers: dict[str, str], tries: int = 5, base: float = 0.5,
     raise AssertionError
 
 
+class Breaker:
+    """Stops asking a resource for a while after too many refusals in a row; where open, the fallback answers. For callers on the driver."""
+
+    def __init__(self, refusals: int = 3, pause: float = 300.0, clock: Callable[[], float] = time.monotonic):
+        self.refusals, self.pause, self.clock = refusals, pause, clock
+        self.count: dict[str, int] = {}
+        self.until: dict[str, float] = {}
+
+    def is_open(self, resource: str) -> bool:
+        return self.clock() < self.until.get(resource, float("-inf"))
+
+    def call(self, resource: str, ask: Callable, fallback: Callable):
+        if self.is_open(resource):
+            return fallback()
+        try:
+            out = ask()
+        except urllib.error.HTTPError as e:
+            if e.code != 429:
+                raise
+            self.count[resource] = self.count.get(resource, 0) + 1
+            if self.count[resource] >= self.refusals:
+                self.until[resource] = self.clock() + self.pause
+                self.count[resource] = 0
+            return fallback()
+        self.count[resource] = 0
+        return out
+
+
 class PagedReader(DataSourceReader):
     """Options: url with {page} and {size}, pages, size, rows (where in the payload the rows are), parallel, token, next (a field with the next page's address: then one partition follows it)."""
 

@@ -44,3 +44,13 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     """Runs a stream over what is there and ends; a second call goes on where the first one ended."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
     query.awaitTermination()
+
+
+def kept(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """What a stream gives over what is there, written under a folder and read back: rows as they come (append), or the last state (complete). A second call goes on."""
+
+    def each(rows: DataFrame, _: int) -> None:
+        rows.write.mode("append" if mode == "append" else "overwrite").parquet(f"{folder}/rows")
+
+    run_available(stream, f"{folder}/checkpoint", each, mode)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
