@@ -61,3 +61,15 @@ def test_brute_force_with_a_hot_missing_key(spark, rows, monkeypatch, range_rows
 def test_keys(spark):
     df = spark.createDataFrame([("{9DA6-2C} ", "s-001 23"), (None, "S000"), ("a", "TBC 7")], "u string, n string")
     assert [tuple(r) for r in df.select(uuid_key(F.col("u")), numbered_key(F.col("n"))).collect()] == [("9da6-2c", "S123"), (None, "S0"), ("a", "TBC7")]
+
+
+def test_many_references_and_hot_ones_give_the_same(spark, monkeypatch):
+    rows = [(n, str(n % 7) if n % 2 else "hot", "2024-01-05") for n in range(400)] + [(1000 + n, "good", "2024-02-05") for n in range(200)]
+    child = spark.createDataFrame(rows, "row_id long, k string, loaded_at string")
+    parent = spark.createDataFrame([("3", "2024-01-01"), ("good", "2023-01-01")], "p string, loaded_at string")
+    make = lambda: [O.Reference("c", child, F.col("k"), parent, F.col("p"), F.lit(True))]
+    few = sorted(map(tuple, O.orphans(make()).collect()))
+    monkeypatch.setattr(O, "BROADCAST_ROWS", 2)
+    many = sorted(map(tuple, O.orphans(make()).collect()))
+    monkeypatch.setattr(O, "HOT", 50)
+    assert len(few) > 300 and few == many == sorted(map(tuple, O.orphans(make()).collect()))
