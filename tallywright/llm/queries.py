@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.matching import match
 from tallywright.llm.names import variants
-from tallywright.llm.packing import pack
+from tallywright.llm.packing import CAPACITY, pack
 from tallywright.llm.persons import people
 from tallywright.llm.reading import reading_bands
-from tallywright.llm.tokens import encode
-from tallywright.session import table
+from tallywright.llm.tokens import decode, encode
+from tallywright.session import cut, table
 
 
 def cross_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +48,28 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(encode(table(spark, sf_dir, "documents"), lengths_only=True), "doc_id", "n_tokens")
 
 
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ids of each document stand for, which must be its text."""
+    return decode(p8_ids(spark, sf_dir)).select("doc_id", F.md5("bytes").alias("digest"))
+
+
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row that counts the documents placed and what must not be: containers above the capacity, small documents in pieces, documents with a gap or an overlap between pieces or that aren't whole."""
+    sizes = encode(table(spark, sf_dir, "documents"), lengths_only=True)
+    placed = cut(pack(sizes, "doc_id", "n_tokens"))
+    over = placed.groupBy("container_id").agg(F.sum("size").alias("size")).where(F.col("size") > CAPACITY)
+    documents = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("size"), F.max(F.col("start") + F.col("size")).alias("last"), F.max("start").alias("start")).join(sizes, "doc_id", "full_outer")
+    split = F.count_if((F.col("pieces") > 1) & (F.col("size") <= CAPACITY))
+    broken = F.count_if(~F.coalesce((F.col("size") == F.col("n_tokens")) & (F.col("last") == F.col("n_tokens")) & (F.col("start") == (F.col("pieces") - 1) * CAPACITY), F.lit(False)))
+    return documents.agg(F.count(F.lit(1)).alias("documents"), split.alias("split"), broken.alias("broken")).crossJoin(over.agg(F.count(F.lit(1)).alias("overfull")))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_bands(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p3_found, p8_ids, p9_containers, p10_found)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p3_found, p8_ids, p8_round_trip, p9_containers, p9_invariants, p10_found)}
+SQL: dict[str, str] = {
+    "p8_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "p9_invariants": "SELECT count(*) AS documents, 0 AS split, 0 AS broken, 0 AS overfull FROM documents",
+}

@@ -162,3 +162,33 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     kind = dict(df.dtypes)[id_col]
     name = "n_tokens" if lengths_only else "ids"
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, out {'bigint' if lengths_only else 'array<int>'}").select(id_col, F.col("out").alias(name))
+
+
+def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
+    """Rows (id, bytes) with the UTF-8 bytes that token ids stand for: of encode()'s ids the text's own.
+
+    Defined cases: null and empty arrays give no bytes (an empty value); an id that the vocabulary
+    doesn't have, and a null one, is an error.
+    """
+    with open(vocabulary, "rb") as file:
+        tokens = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, file)}
+    size = np.array([len(tokens.get(i, b"")) for i in range(max(tokens) + 1)], "i8")
+    shared = df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(tokens.get(i, b"") for i in range(len(size))), "u1"), size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        content, sizes = shared.value
+        starts = np.cumsum(sizes) - sizes
+        for batch in batches:
+            lists = batch.column(1)
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("i8")
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            if len(ids) and (ids.dtype.kind == "f" or ids.min() < 0 or ids.max() >= len(sizes) or not sizes[ids].all()):
+                raise ValueError("an id that the vocabulary doesn't have")
+            ids = ids.astype("i8")
+            own = sizes[ids]
+            flat = content[np.repeat(starts[ids] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+            ends = np.append(0, np.cumsum(own))[np.append(0, np.cumsum(counts))].astype("i4")
+            out = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), out], names=[id_col, "bytes"])
+
+    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, bytes binary")

@@ -39,3 +39,14 @@ def test_repeated_rows_empty_tables_and_forgetting(spark, public, monkeypatch):
     e = K.Encoder(K.Vocabulary.read())
     for t in ("one two three four five", "six seven", "one six nine"):
         assert e.encode([t])[0].tolist() == public.encode_ordinary(t)
+
+
+def test_decoding_gives_the_text(spark):
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(TEXTS)], "doc_id long, text string")
+    got = {r["doc_id"]: bytes(r["bytes"]).decode() for r in K.decode(K.encode(df)).collect()}
+    assert got == {n: t or "" for n, t in enumerate(TEXTS)}
+    empty = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert [bytes(r["bytes"]) for r in K.decode(empty).collect()] == [b"", b""] and K.decode(empty.limit(0)).count() == 0
+    for bad in ([-1], [10**7], [None]):
+        with pytest.raises(Exception, match="vocabulary"):
+            K.decode(spark.createDataFrame([(1, bad)], "doc_id long, ids array<int>")).collect()
