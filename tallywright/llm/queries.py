@@ -71,5 +71,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p3_found, p8_ids, p8_round_trip, p9_containers, p9_invariants, p10_found)}
 SQL: dict[str, str] = {
     "p8_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
-    "p9_invariants": "SELECT count(*) AS documents, 0 AS split, 0 AS broken, 0 AS overfull FROM documents",
+    "p9_invariants": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS split, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS overfull FROM documents",
 }
