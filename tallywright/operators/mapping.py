@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.session import BROADCAST_ROWS, tasks
+
 DIMENSIONS = 256
 #: Scores of an equal and a contained name, the least Jaccard overlap, and the least score of a suggestion.
 EQUAL, CONTAINED, MIN_JACCARD, MIN_SCORE = 0.95, 0.8, 0.25, 0.35
-#: Rows of the query side compared with the index at once.
-BLOCK = 256
+#: Rows of the query side compared at once, with so many rows of the index.
+BLOCK, CHUNK = 256, 4096
 
 
 def tokens(c: Column) -> Column:
@@ -160,14 +162,19 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, index: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     """Rows (query_id, id, score, rank): for each query the k vectors of greatest cosine, ties by id.
 
-    Queries come in blocks of vectors; every block meets every partition of the index, gives its k
-    best there by one matrix product, and the partitions' bests are merged. What is shuffled is
-    queries x k x partitions, not pairs.
+    Queries come in blocks of vectors, the index in chunks; every block meets every chunk, gives its k
+    best there by one matrix product, and the chunks' bests are merged. Up to BROADCAST_ROWS queries,
+    counted, go to where the chunks are; more of them are repeated for each group of chunks and meet
+    these by the group's number. What is shuffled after is queries x k x chunks, not pairs.
+
+    Defined cases: a vector of zeros has a cosine of 0 with all; equal scores go by id; rows repeat as
+    often as they come; an empty table on either side gives no rows.
     """
     kind = dict(index.dtypes)[id_col]
     total = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("qv"))
-    blocks = total.groupBy((F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)) % F.lit(max(1, -(-total.count() // BLOCK)))).alias("block")).agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))
-    chunks = index.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-index.count() // 4096)))).alias("chunk")).agg(F.collect_list(F.struct("id", "v")).alias("vs"))
+    asked, held = total.count(), index.count()
+    blocks = total.groupBy((F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)) % F.lit(max(1, -(-asked // BLOCK)))).alias("block")).agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))
+    chunks = index.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-held // CHUNK)))).alias("chunk")).agg(F.collect_list(F.struct("id", "v")).alias("vs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,6 +189,11 @@ def nearest(queries: DataFrame, index: DataFrame, id_col: str, vector_col: str,
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2])], names=["query_id", "id", "score"])
 
-    met = blocks.crossJoin(chunks).select("qs", "vs").mapInArrow(run, f"query_id {dict(queries.dtypes)[id_col]}, id {kind}, score double")
+    if asked <= BROADCAST_ROWS:
+        both = chunks.crossJoin(F.broadcast(blocks.select("qs")))
+    else:
+        groups = tasks(queries.sparkSession, held, CHUNK * 16)
+        both = chunks.withColumn("group", F.pmod("chunk", F.lit(groups))).join(blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>"))), "group")
+    met = both.select("qs", "vs").mapInArrow(run, f"query_id {dict(queries.dtypes)[id_col]}, id {kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.asc("id"))
     return met.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

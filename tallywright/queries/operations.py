@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import values as V
@@ -29,7 +29,7 @@ _UNKNOWN = engine.ColumnRule("A-3", "names no column", "ERROR", lambda: F.col("o
 _STATUS = engine.CodelistRule("A-4", "status", "CRITICAL", "o_orderstatus", ("O", "F"))
 
 
-@query("SELECT 'A-1' AS rule_id, count(*) AS n, 0 AS broken FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT 'A-4', count(*), 0 FROM orders WHERE o_orderstatus NOT IN ('O', 'F') UNION ALL SELECT unnest(['A-2', 'A-3']), 1, 1")
+@query("SELECT 'A-1' AS rule_id, count(*) AS n, CAST(0 AS BIGINT) AS broken FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT 'A-4', count(*), 0 FROM orders WHERE o_orderstatus NOT IN ('O', 'F') UNION ALL SELECT unnest(['A-2', 'A-3']), 1, 1")
 def audit_isolated(spark, sf_dir):
     done = engine.audit_now(spark, _order_tables(spark, sf_dir), {"orders": [_LARGE, _BROKEN, _UNKNOWN, _STATUS]})
     return done.findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("message").startswith("rule failed").cast("long")).alias("broken"))
@@ -72,6 +72,17 @@ def queue_stats(spark, sf_dir):
     return states.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("refused").alias("refused"))
 
 
+@query(
+    """SELECT o_orderkey AS k, ntile(4) OVER w AS quarter, lag(o_orderkey) OVER w AS before, lead(o_orderkey, 1, -1) OVER w AS after, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS priority_rank,
+CAST(sum(CAST(round(o_totalprice) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS last_three FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"""
+)
+def rank_frames(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    last = F.sum(F.round("o_totalprice").cast("bigint")).over(w.rowsBetween(-2, Window.currentRow))
+    rank = F.dense_rank().over(Window.partitionBy("o_custkey").orderBy("o_orderpriority")).cast("bigint")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.ntile(4).over(w).cast("bigint").alias("quarter"), F.lag("o_orderkey").over(w).alias("before"), F.lead("o_orderkey", 1, -1).over(w).alias("after"), rank.alias("priority_rank"), last.alias("last_three"))
+
+
 # --- ids and keys
 
 _RECORDS = "SELECT c_custkey % 1000 AS canonical, 'banner' AS system, c_custkey AS sid, c_custkey AS o FROM customer UNION ALL SELECT s_suppkey % 1000, CASE WHEN s_suppkey % 3 = 0 THEN 'ucas' ELSE 'sits' END, s_suppkey, s_suppkey FROM supplier"

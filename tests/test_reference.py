@@ -127,6 +127,18 @@ def test_embedding_and_nearest(spark):
     assert [round(r[0], 9) for r in v.select(mapping.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0]
 
 
+def test_nearest_by_groups_is_the_same(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(n, [rng.gauss(0, 1) for _ in range(8)]) for n in range(300)] + [(999, [0.0] * 8)]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    near = lambda: sorted((r["query_id"], r["rank"], r["id"]) for r in mapping.nearest(v.where("id % 10 = 0"), v, "id", "v", 3).collect())
+    few = near()
+    monkeypatch.setattr(mapping, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(mapping, "CHUNK", 50)
+    assert len(few) == 90 and near() == few
+    assert mapping.nearest(v.limit(0), v, "id", "v", 3).count() == 0 and mapping.nearest(v, v.limit(0), "id", "v", 3).count() == 0
+
+
 def test_statements():
     assert load.merge_statement("T", "S", ["k"], ["k", "v"]) == "MERGE INTO T t USING S s ON t.k = s.k WHEN MATCHED THEN UPDATE SET t.v = s.v WHEN NOT MATCHED THEN INSERT (k, v) VALUES (s.k, s.v)"
     assert load.merge_statement("T", "S", [], ["v"]) == "INSERT INTO T (v) SELECT v FROM S"
