@@ -37,7 +37,7 @@ def sort_keys(records: DataFrame) -> DataFrame:
     """
     named = records.select(*_FIELDS, F.split("name", r"\|").alias("_n"))
     named = named.select(*_FIELDS, F.substring_index(F.get("_n", F.lit(0)), " ", 1).alias("_first"), F.translate(F.get("_n", F.lit(2)), " ", "").alias("_last"))
-    ordered = F.array_join(F.array_sort(F.filter(F.split(F.translate("name", "|", " "), " "), lambda p: F.length(p) > 1)), "")
+    ordered = F.array_join(F.sort_array(F.filter(F.split(F.translate("name", "|", " "), " "), lambda p: F.length(p) > 1)), "")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     leads = [("born", ["_last", "_first"]), ("born", ["_first", "_last"]), (None, ["born"]), ("email", ["_last", "_first"]), ("post", ["born", "_first"])]
     keys = []
