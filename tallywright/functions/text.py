@@ -35,3 +35,9 @@ def check_digit(c: Column) -> Column:
 def digest(*parts: Column) -> Column:
     """SHA-256 of values in their order; nulls differ from empty texts."""
     return F.sha2(F.to_json(F.struct(*[p.cast("string").alias(f"p{n}") for n, p in enumerate(parts)])), 256)
+
+
+def stable_json(m: Column) -> Column:
+    """A map of texts as JSON with its keys in order, so that equal maps give equal texts; an empty object for null."""
+    entries = F.array_sort(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))))
+    return F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"})

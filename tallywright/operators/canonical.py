@@ -68,3 +68,16 @@ def validate(df: DataFrame, key: str, fields: list[Field], columns: dict[str, st
         found = F.when(is_blank(c), missing).when(_malformed(c, f.kind), F.lit("malformed"))
         problems.append(F.when(found.isNotNull(), F.struct(F.lit(f.name).alias("field"), found.alias("problem"))))
     return df.select(F.col(key), F.explode(F.array_compact(F.array(*problems))).alias("_p")).select(key, "_p.*")
+
+
+def derive(df: DataFrame, derivations: dict[str, str]) -> DataFrame:
+    """df with columns from SQL expressions over its own columns, such as CASE texts of a mapping, in their order; a later one may use an earlier one."""
+    for name, text in derivations.items():
+        df = df.withColumn(name, F.expr(text))
+    return df
+
+
+def coerced(df: DataFrame) -> DataFrame:
+    """df with every column as text: nested values as JSON, nulls as they are."""
+    nested = lambda kind: kind.startswith(("array", "map", "struct"))
+    return df.select(*[(F.to_json(F.col(f"`{c}`")) if nested(kind) else F.col(f"`{c}`").cast("string")).alias(c) for c, kind in df.dtypes])

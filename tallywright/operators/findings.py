@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,3 +136,44 @@ def reproduce(findings: DataFrame, native: DataFrame, key: str, subject: str = "
     """Each finding with the native row it speaks of as JSON, or why there is none."""
     rows = native.select(F.col(key).cast("string").alias("_k"), F.to_json(F.struct(*native.columns)).alias("native_row"))
     return findings.join(rows, findings[subject] == rows["_k"], "left").withColumn("unavailable", F.when(F.col(subject).isNull(), F.lit("no subject")).when(F.col("_k").isNull(), F.lit("no native row"))).drop("_k")
+
+
+def bound_predicate(sql: str, binds: dict[str, object]) -> str:
+    """A predicate's text with its :names replaced by their values as literals, but not inside quotes or casts; a name without a value is an error."""
+
+    def literal(x: object) -> str:
+        return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int | float) else "'" + str(x).replace("'", "''") + "'"
+
+    def put(m: re.Match) -> str:
+        if m[1] is None:
+            return m[0]
+        if m[1] not in binds:
+            raise KeyError(f"no value for :{m[1]}")
+        return literal(binds[m[1]])
+
+    return re.sub(r"'(?:[^']|'')*'|::|:([A-Za-z_]\w*)", put, sql)
+
+
+def reproduction(findings: DataFrame, sides: dict[str, tuple[DataFrame, str]], subject: str = "subject_id") -> DataFrame:
+    """Each finding with the row of each side (native, canonical, target, ..) that it speaks of as JSON (side_row), or why there is none (side_unavailable).
+
+    sides: a table and its key by name. A key that a table has several times gives its first row by text.
+    """
+    out = findings
+    for name, (rows, key) in sides.items():
+        own = rows.select(F.col(key).cast("string").alias("_k"), F.to_json(F.struct(*rows.columns)).alias(f"{name}_row")).where("_k is not null").groupBy("_k").agg(F.min(f"{name}_row").alias(f"{name}_row"))
+        out = out.join(own, F.col(subject) == F.col("_k"), "left")
+        out = out.withColumn(f"{name}_unavailable", F.when(F.col(subject).isNull(), F.lit("no subject")).when(F.col("_k").isNull(), F.lit(f"no {name} row"))).drop("_k")
+    return out
+
+
+def narrative(findings: DataFrame, by: tuple[str, ...] = ("severity", "rule_id", "entity_type"), top: int = 5) -> str:
+    """A short text on findings from their counts: how many, and the commonest values of some columns. Says so where there are none."""
+    total = findings.count()
+    if not total:
+        return "No findings."
+    lines = [f"{total} findings."]
+    for column in by:
+        counts = narrative_counts(findings, column, top).collect()
+        lines.append(f"By {column}: " + ", ".join(f"{r['value']} {r['n']}" for r in counts) + ".")
+    return "\n".join(lines)

@@ -159,6 +159,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
+def unit(v: Column) -> Column:
+    """A vector of length 1; a vector of zeros as it is."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    return F.transform(v, lambda x: F.when(norm == 0, x.cast("double")).otherwise(x.cast("double") / norm))
+
+
+def mean_pooled(vectors: Column, mask: Column) -> Column:
+    """The mean of those of an array of equally long vectors whose mask is 1, of length 1; zeros where the mask has none."""
+    kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["v"])
+    zero = F.transform(F.get(vectors, F.lit(0)), lambda x: F.lit(0.0))
+    total = F.aggregate(kept, zero, lambda acc, v: F.zip_with(acc, v, lambda p, q: p + q.cast("double")))
+    return unit(F.transform(total, lambda x: x / F.greatest(F.size(kept), F.lit(1))))
+
+
 def nearest(queries: DataFrame, index: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     """Rows (query_id, id, score, rank): for each query the k vectors of greatest cosine, ties by id.
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallywright.functions import text as X
 from tallywright.functions import values as V
 from tallywright.operators import canonical, codes, findings, mapping, migrate, migration
 from tallywright.queries.reference import decisions, id_records, query
@@ -83,6 +84,37 @@ def rank_frames(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.ntile(4).over(w).cast("bigint").alias("quarter"), F.lag("o_orderkey").over(w).alias("before"), F.lead("o_orderkey", 1, -1).over(w).alias("after"), rank.alias("priority_rank"), last.alias("last_three"))
 
 
+@query("SELECT row_id, sha256('{' || array_to_string(list_transform(list_sort(map_entries(coalesce(evidence, MAP {}))), lambda e: to_json(e.key) || ':' || coalesce(to_json(e.value), 'null')), ',') || '}') AS digest FROM finding")
+def stable_digest(spark, sf_dir):
+    return table(spark, sf_dir, "finding").select("row_id", F.sha2(X.stable_json(F.col("evidence")), 256).alias("digest"))
+
+
+_SIDES = "WITH f AS (SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('O', 'F'))"
+
+
+@query(
+    f"""{_SIDES} SELECT CASE WHEN f.k % 7 = 0 THEN 'no native row' END AS native_unavailable, CASE WHEN NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = f.k AND l_quantity > 40) THEN 'no target row' END AS target_unavailable, count(*) AS n FROM f GROUP BY ALL"""
+)
+def finding_sides(spark, sf_dir):
+    found = engine.run_rules(table(spark, sf_dir, "orders"), [_LARGE, _STATUS], "Order", "o_orderkey")
+    sides = {"native": (table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0"), "o_orderkey"), "target": (table(spark, sf_dir, "lineitem").where("l_quantity > 40").select("l_orderkey", "l_linenumber"), "l_orderkey")}
+    return findings.reproduction(found, sides).groupBy("native_unavailable", "target_unavailable").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CASE = "CASE WHEN spriden_change_ind IS NULL THEN 'current' WHEN spriden_change_ind IN ('I', 'N') THEN 'former' ELSE 'other' END"
+
+
+@query(f"SELECT row_id, {_CASE} AS state, {_CASE} = 'current' AND email IS NOT NULL AS reachable FROM spriden")
+def canonical_derive(spark, sf_dir):
+    return canonical.derive(table(spark, sf_dir, "spriden"), {"state": _CASE, "reachable": "state = 'current' AND email IS NOT NULL"}).select("row_id", "state", "reachable")
+
+
+@query("SELECT CAST(row_id AS VARCHAR) AS row_id, severity, strftime(detected_at, '%Y-%m-%d %H:%M:%S') AS detected_at FROM finding")
+def canonical_coerced(spark, sf_dir):
+    rows = canonical.coerced(table(spark, sf_dir, "finding").select("row_id", "severity", "detected_at", "evidence"))
+    return rows.select("row_id", "severity", F.substring("detected_at", 1, 19).alias("detected_at"))
+
+
 # --- ids and keys
 
 _RECORDS = "SELECT c_custkey % 1000 AS canonical, 'banner' AS system, c_custkey AS sid, c_custkey AS o FROM customer UNION ALL SELECT s_suppkey % 1000, CASE WHEN s_suppkey % 3 = 0 THEN 'ucas' ELSE 'sits' END, s_suppkey, s_suppkey FROM supplier"

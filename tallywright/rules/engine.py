@@ -166,6 +166,13 @@ def run_sql(spark: SparkSession, rule: SqlRule, tables: Mapping[str, DataFrame],
     return _stamped(own, rule, entity)
 
 
+def dialect(sql: str) -> str:
+    """A rule written for another database in this one's words: SYSDATE, with hours or days taken from it, and days between dates."""
+    hours = re.sub(r"(?i)\bSYSDATE\s*-\s*\(\s*(\d+)\s*/\s*24\s*\)", r"(current_timestamp() - INTERVAL \1 HOURS)", sql)
+    days = re.sub(r"(?i)\bSYSDATE\s*-\s*(\d+)\b", r"(current_timestamp() - INTERVAL \1 DAYS)", hours)
+    return re.sub(r"(?i)\bSYSDATE\b", "current_timestamp()", days)
+
+
 def _stamped(rows: DataFrame, rule, entity: str) -> DataFrame:
     """Findings of one rule from its subjects, messages and evidence."""
     return rows.select(finding_id(F.lit(rule.rule_id), F.lit(entity), F.col("subject_id")).alias("finding_id"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.name).alias("rule_name"), F.lit(rule.severity).alias("severity"), F.lit(entity).alias("entity_type"), "subject_id", "message", "evidence")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywright import session
+from tallywright.functions import text as X
 from tallywright.functions import values as V
 from tallywright.operators import canonical, codes, findings, mapping, migration
 from tallywright.rules import engine
@@ -193,3 +194,23 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         session.shared_folder(Session())
+
+
+def test_reproduction_and_narrative(spark):
+    assert findings.bound_predicate("a = :x AND b = ':x' AND c::int > :n AND d = :gone", {"x": "O'Neil", "n": 2, "gone": None}) == "a = 'O''Neil' AND b = ':x' AND c::int > 2 AND d = NULL"
+    with pytest.raises(KeyError, match="y"):
+        findings.bound_predicate(":y", {})
+    found = spark.createDataFrame([("1", "WARN", "R", "E"), ("2", "WARN", "R", "E"), (None, "INFO", "Q", "E")], "subject_id string, severity string, rule_id string, entity_type string")
+    native = spark.createDataFrame([(1, "x"), (1, "a"), (None, "n")], "id long, v string")
+    got = {r["subject_id"]: (r["native_row"], r["native_unavailable"], r["target_unavailable"]) for r in findings.reproduction(found, {"native": (native, "id"), "target": (native.limit(0), "id")}).collect()}
+    assert got == {"1": ('{"id":1,"v":"a"}', None, "no target row"), "2": (None, "no native row", "no target row"), None: (None, "no subject", "no subject")}
+    assert findings.narrative(found) == "3 findings.\nBy severity: WARN 2, INFO 1.\nBy rule_id: R 2, Q 1.\nBy entity_type: E 3." and findings.narrative(found.limit(0)) == "No findings."
+
+
+def test_json_vectors_and_dialect(spark):
+    df = spark.createDataFrame([({"b": "1", "a": None}, [[3.0, 0.0], [9.0, 9.0], [0.0, 3.0]], [1, 0, 1]), (None, [[0.0, 0.0]], [1])], "m map<string,string>, v array<array<double>>, k array<int>")
+    got = df.select(X.stable_json(F.col("m")).alias("j"), mapping.mean_pooled(F.col("v"), F.col("k")).alias("p")).collect()
+    assert [r["j"] for r in got] == ['{"a":null,"b":"1"}', "{}"] and [[round(x, 6) for x in r["p"]] for r in got] == [[0.707107, 0.707107], [0.0, 0.0]]
+    assert canonical.coerced(df.select("k", F.lit(1.5).alias("n"), F.lit(None).alias("z"))).first()[:] == ("[1,0,1]", "1.5", None)
+    assert engine.dialect("x > SYSDATE - (4/24) AND y < sysdate - 14 AND z = SYSDATE") == "x > (current_timestamp() - INTERVAL 4 HOURS) AND y < (current_timestamp() - INTERVAL 14 DAYS) AND z = current_timestamp()"
+    assert spark.sql("SELECT " + engine.dialect("SYSDATE > SYSDATE - (4/24)")).first()[0]
