@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tallywright.session import cut, tasks
 
 CAPACITY = 2048
-#: Items and gaps of a task, which holds them as arrays.
-ROWS_A_TASK = 200_000
+#: Items and gaps of a task, which holds them as arrays: at most, and from how many on there is more than one task for them.
+ROWS_A_TASK, WORTH_A_TASK = 200_000, 8_000
 #: Rows of a round's state: items without a container, gaps of containers, items placed in the round.
 ITEM, GAP, PLACED = range(3)
 
@@ -146,7 +146,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
         parts = F.greatest(F.lit(1).cast("long"), F.floor(F.col("size") / now["high"]))
         gaps = state.where((F.col("kind") == GAP) & (F.col("size") >= now["low"])).select("kind", "key", "size", parts.alias("_n")).select("kind", "key", "size", "_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_at"))
         gaps = gaps.select("kind", "key", (F.floor(F.col("size") / F.col("_n")) + F.when(F.col("_at") == 1, F.col("size") % F.col("_n")).otherwise(0)).cast("long").alias("size"))
-        n = tasks(spark, 2 * now["n"], ROWS_A_TASK)
+        n = min(-(-2 * now["n"] // WORTH_A_TASK), tasks(spark, 2 * now["n"], ROWS_A_TASK))
         both = state.where(is_item).unionByName(gaps).repartitionByRange(n, "size", "kind", "key").sortWithinPartitions("size", "kind", "key")
         swept = cut(both.mapInArrow(_sweep, "kind int, key bigint, size bigint, match bigint, rank bigint, left bigint").withColumn("pid", F.spark_partition_id()))
         counts = swept.groupBy("pid").agg(F.count_if(~is_item & (F.col("rank") >= 0)).alias("gaps"), F.count_if(is_item & (F.col("rank") >= 0)).alias("items"), F.count_if(F.col("match") >= 0).alias("n")).collect()

@@ -87,6 +87,7 @@ def test_between_partitions(spark, monkeypatch):
     """With many small partitions, none merged: as good as best fit, and the work is spread."""
     seen = []
     monkeypatch.setattr(packing, "ROWS_A_TASK", 60)
+    monkeypatch.setattr(packing, "WORTH_A_TASK", 60)
     monkeypatch.setattr(packing, "cut", lambda df: seen.append(cut(df)) or seen[-1])
     rng = random.Random(6)
     sizes = [min(2000, int(rng.lognormvariate(4.5, 1.2))) for _ in range(600)]
