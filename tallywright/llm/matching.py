@@ -74,7 +74,12 @@ def _window_pairs(t: pa.Table, known: Evidence, threshold: float, crossing: np.n
     return pa.RecordBatch.from_arrays([key.take(pa.array(a)), key.take(pa.array(b)), *w.columns(ok)], names=["a", "b", *PAIR_NAMES])
 
 
-def candidates(records: DataFrame, margin: float = MARGIN, known: Evidence | None = None, counts: DataFrame | None = None) -> DataFrame:
+def most_keys(records: DataFrame) -> int:
+    """How many different keys the larger source has, 2 at least."""
+    return max(2, records.select("source", "key").distinct().groupBy("source").count().agg(F.max("count")).first()[0] or 0)
+
+
+def candidates(records: DataFrame, margin: float = MARGIN, known: Evidence | None = None, counts: DataFrame | None = None, keys: int | None = None) -> DataFrame:
     """Rows (a, b, bits): keys of sources 0 and 1 whose records, in some window, are one person's by their evidence.
 
     records as people() gives them, of sources 0 and 1. They are range-sorted by each of several
@@ -87,8 +92,7 @@ def candidates(records: DataFrame, margin: float = MARGIN, known: Evidence | Non
     spark = records.sparkSession
     counts = tally(records) if counts is None else counts
     known = evidence(records, counts) if known is None else known
-    per_source = records.groupBy("source").agg(F.count_distinct("key").alias("n")).agg(F.max("n")).first()[0] or 1
-    threshold = float(np.log2(max(2, per_source)) + margin)
+    threshold = float(np.log2(keys or most_keys(records)) + margin)
     shared = spark.sparkContext.broadcast((known.n, known.parts, known.born, known.email, known.post))
     sorted_rows = sort_keys(records).repartitionByRange(tasks(spark, known.n * KEYS, ROWS_A_TASK), "at", "key").sortWithinPartitions("at", "key").withColumn("pid", F.spark_partition_id())
     edge_fields = ["at", *_FIELDS]
@@ -228,9 +232,9 @@ def match(records: DataFrame, margin: float = MARGIN) -> DataFrame:
     against; several keys of one person all get its partner; repeated records are one; a table that is empty gives no rows; ties go by key.
     """
     records = cut(records)
-    n = max(2, records.select("source", "key").distinct().groupBy("source").count().agg(F.max("count")).first()[0] or 1)
+    n = most_keys(records)
     counts = tally(records)
     known = evidence(records, counts)
-    pairs = cut(candidates(records, margin, known, counts))
+    pairs = cut(candidates(records, margin, known, counts, n))
     out = assign(pairs, float(np.log2(n)) + BEYOND_DOUBT, entries(records, pairs, known, counts))
     return out.withColumn("confidence", 1 / (1 + F.pow(F.lit(2.0), F.lit(float(np.log2(n))) - F.col("bits"))))

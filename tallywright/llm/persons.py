@@ -212,8 +212,9 @@ def people(df: DataFrame, source: int, key: Column, first: str, middle: str | No
     cleaning are one. email and post are hashes, null where blank. Rows without a key are left out.
     """
     text = lambda c: F.col(c) if c else F.lit(None).cast("string")
-    packed = lambda c: F.lower(F.regexp_replace(text(c), r"(?U)\s", ""))
-    hashed = lambda c: F.when(packed(c) != "", F.xxhash64(packed(c)))
+    spaced = r"(?U)\s"
+    packed = lambda c: F.lower(F.when(text(c).rlike(spaced), F.regexp_replace(text(c), spaced, "")).otherwise(text(c)))
+    hashed = lambda c: F.when(F.length(text(c)) > 0, F.nullif(F.xxhash64(packed(c)), F.xxhash64(F.lit(""))))
     own, kind = (number(F.lit(source), key.cast("string")).alias("person"), "person bigint") if numbered else (key.cast("string").alias("key"), "key string")
     raw = df.where(key.isNotNull()).select(own, text(first).alias("f"), text(middle).alias("m"), text(last).alias("l"), F.col(birth).cast("string").alias("born"), hashed(email).alias("email"), hashed(postcode).alias("post"))
 
