@@ -231,10 +231,14 @@ def match(records: DataFrame, margin: float = MARGIN) -> DataFrame:
     Defined cases: records without any name are matched to nothing; null fields say nothing for or
     against; several keys of one person all get its partner; repeated records are one; a table that is empty gives no rows; ties go by key.
     """
-    records = cut(records)
-    n = most_keys(records)
-    counts = tally(records)
-    known = evidence(records, counts)
-    pairs = cut(candidates(records, margin, known, counts, n))
-    out = assign(pairs, float(np.log2(n)) + BEYOND_DOUBT, entries(records, pairs, known, counts))
+    # read several times; what is lost of it with an executor is made again from the table
+    records = records.persist()
+    try:
+        n = most_keys(records)
+        counts = tally(records)
+        known = evidence(records, counts)
+        pairs = cut(candidates(records, margin, known, counts, n))
+        out = assign(pairs, float(np.log2(n)) + BEYOND_DOUBT, entries(records, pairs, known, counts))
+    finally:
+        records.unpersist()
     return out.withColumn("confidence", 1 / (1 + F.pow(F.lit(2.0), F.lit(float(np.log2(n))) - F.col("bits"))))

@@ -238,8 +238,12 @@ def variants(records: DataFrame, margin: float = MARGIN, keys: DataFrame | None
     """
     if keys is None:
         records = records.withColumn("person", number(F.col("source"), F.col("key")))
-    records = cut(records)
-    keys = (records if keys is None else keys).select(number(F.col("source"), F.col("key")).alias("key"), "source", F.col("key").alias("name"))
-    stars = cut(star_clusters(link(records, margin)).join(keys, "key").select("source", "center", "name").distinct())
+    # read several times; what is lost of it with an executor is made again from the table
+    records = records.persist()
+    try:
+        keys = (records if keys is None else keys).select(number(F.col("source"), F.col("key")).alias("key"), "source", F.col("key").alias("name"))
+        stars = cut(star_clusters(link(records, margin)).join(keys, "key").select("source", "center", "name").distinct())
+    finally:
+        records.unpersist()
     one = stars.withColumnRenamed("name", "key_1")
     return one.join(stars.withColumnRenamed("name", "key_2"), ["source", "center"]).where("key_1 < key_2").select("source", "key_1", "key_2")
