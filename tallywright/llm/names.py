@@ -63,15 +63,16 @@ def _collisions(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _links(t: pa.Table, known: Evidence, threshold: float) -> pa.RecordBatch | None:
     """The links among the records of whole blocks, with their bits as settle() takes them."""
-    block, source, person = (numbers(t, c) for c in ("block", "source", "person"))
+    block, source, person = numbers(t, "block"), numbers(t, "packed") % 8, numbers(t, "person")
     starts = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (source[1:] != source[:-1])))
     several = np.minimum.reduceat(person, starts) != np.maximum.reduceat(person, starts)
     t = t.filter(pa.array(np.repeat(several, np.diff(np.append(starts, len(block))))))
     if not t.num_rows:
         return None
-    block, kind, source, person, email, post = (numbers(t, c) for c in ("block", "kind", "source", "person", "email", "post"))
+    block, packed, person, email, post = (numbers(t, c) for c in ("block", "packed", "person", "email", "post"))
+    source, kind, born = packed % 8, packed // 8 % 8, packed // 64
     # a block's own value is not repeated in its records
-    batch = Batch(t["name"].combine_chunks(), numbers(t, "born"), np.where(kind == EMAIL, block, email), np.where(kind == POST, block, post), known)
+    batch = Batch(t["name"].combine_chunks(), born, np.where(kind == EMAIL, block, email), np.where(kind == POST, block, post), known)
     signature = batch.signature(max(r * b for r, b in zip(ROWS, BANDS, strict=True)))
     block = block ^ source  # records of one source only are compared
     found = []
@@ -144,7 +145,15 @@ def link(records: DataFrame, margin: float = MARGIN) -> DataFrame:
     threshold = float(np.log2(max(2, known.n)) + margin)
     shared = spark.sparkContext.broadcast((known.n, known.parts, known.born, known.email, known.post))
     fields = ["source", "person", "name", "born", "email", "post"]
-    schema = "block bigint, kind int, source int, person bigint, name string, born int, email bigint, post bigint"
+    # as they are shuffled: birth date, kind of block and source in one number
+    schema = "block bigint, person bigint, email bigint, post bigint, packed bigint, name string"
+
+    def rows(key: np.ndarray, kind: int, b: pa.RecordBatch) -> pa.RecordBatch:
+        """Some records in blocks of one kind."""
+        t = pa.Table.from_batches([b])
+        packed = (numbers(t, "born").astype("i8") * 8 + kind) * 8 + numbers(t, "source")
+        own = [t[c].combine_chunks() for c in ("person", "email", "post")]
+        return pa.RecordBatch.from_arrays([pa.array(key.view("i8")), *own, pa.array(packed), t["name"].combine_chunks()], names=["block", "person", "email", "post", "packed", "name"])
 
     # which values are hot: as many rows as there are such values
     hot = [counts.where((F.col("kind") == n) & (F.col("c") > (HOT_ADDRESS if n else HOT))).select(F.col("value").alias(c)).withColumn(f"hot_{c}", F.lit(True)) for n, c in enumerate(KINDS)]
@@ -158,7 +167,8 @@ def link(records: DataFrame, margin: float = MARGIN) -> DataFrame:
     blocks = F.array(block("born", BORN, y * 10000 + F.least(m, d) * 100 + F.greatest(m, d)), block("email", EMAIL, F.col("email")), block("post", POST, F.col("post")))
     placed = records.select(*fields, F.explode(F.filter(blocks, lambda x: x.isNotNull())).alias("_b"))
     own = {"email": F.when(F.col("_b.kind") != EMAIL, F.col("email")).alias("email"), "post": F.when(F.col("_b.kind") != POST, F.col("post")).alias("post")}
-    placed = placed.select("_b.block", "_b.kind", *[own.get(c, F.col(c)) for c in fields])
+    packed = (F.coalesce("born", F.lit(0)).cast("bigint") * 8 + F.col("_b.kind")) * 8 + F.col("source")
+    placed = placed.select("_b.block", "person", own["email"], own["post"], packed.alias("packed"), "name")
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = Evidence(1)
@@ -171,7 +181,7 @@ def link(records: DataFrame, margin: float = MARGIN) -> DataFrame:
                     at = np.flatnonzero(numbers(t, f"hot_{c}"))
                     for n, key in enumerate(_keys(columns[c][at], signature[at], ROWS[k], BANDS[k])) if len(at) else ():
                         key = (key ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)  # a part for each band
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), pa.array(np.full(len(at), PART, "i4")), *b.select(fields).take(pa.array(at)).columns], names=["block", "kind", *fields])
+                        yield rows(key, PART, b.take(pa.array(at)))
 
     if len(records.columns) > len(fields):
         heated = records.where(flags["born"] | flags["email"] | flags["post"]).select(*fields, *[f.cast("int").alias(f"hot_{c}") for c, f in flags.items()])
@@ -186,7 +196,7 @@ def link(records: DataFrame, margin: float = MARGIN) -> DataFrame:
                 at = np.flatnonzero((batch.most_bits() >= threshold - TWO_PARTS)[batch.code])
                 signature, own = batch.signature(NAME_ROWS * NAME_BANDS)[at], b.take(pa.array(at))
                 for n, key in enumerate(_keys(zero[at] + NAME, signature, NAME_ROWS, NAME_BANDS)):
-                    yield pa.RecordBatch.from_arrays([pa.array((key ^ np.uint64(n)).view("i8")), pa.array(np.full(len(at), NAME, "i4")), *own.columns], names=["block", "kind", *fields])
+                    yield rows(key ^ np.uint64(n), NAME, own)
 
     placed = placed.unionByName(records.select(*fields).mapInArrow(band, schema))
 
@@ -196,7 +206,7 @@ def link(records: DataFrame, margin: float = MARGIN) -> DataFrame:
             if (out := _links(t, evid, threshold)) is not None:
                 yield out
 
-    linked = placed.repartition(tasks(spark, known.n, ROWS_A_TASK), "block").sortWithinPartitions("block", "source", "person").mapInArrow(compare, "a bigint, b bigint, " + PAIR)
+    linked = placed.repartition(tasks(spark, known.n, ROWS_A_TASK), "block").sortWithinPartitions("block", F.col("packed") % 8, "person").mapInArrow(compare, "a bigint, b bigint, " + PAIR)
     return settle(linked, counts, known, threshold)
 
 
