@@ -15,6 +15,8 @@ from tallywright.session import cut, tasks
 CAPACITY = 2048
 #: Items and gaps of a task, which holds them as arrays: at most, and from how many on there is more than one task for them.
 ROWS_A_TASK, WORTH_A_TASK = 200_000, 8_000
+#: The largest item left is small where so many of it fit into a container.
+FINE = 8
 #: Rows of a round's state: items without a container, gaps of containers, items placed in the round.
 ITEM, GAP, PLACED = range(3)
 
@@ -106,8 +108,9 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
     An item above the capacity is split: pieces of full capacity, each a container of its own, and
     the rest, placed like an item. No other item is split.
 
-    Containers are opened for the sum of all sizes. In each round a gap counts as several of equal
-    size, as many as the largest item left fits into it, so that no round is lost on small items.
+    Containers are opened for the sum of all sizes. Once the largest item left is small, a gap
+    counts as several of equal size, as many as that item fits into it, so that no round is lost on
+    small items.
     Items and gaps are range-sorted by size together; sweeps match every gap with the largest item
     that fits and that no smaller gap took: within the partitions first, then, over what these leave,
     between them, for which the driver gets two counts per partition. Gaps shrink by what they took,
@@ -142,8 +145,8 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
             new = max(1, -(-now["total"] // capacity))
             state = state.unionByName(spark.range(opened, opened + new).select(F.lit(GAP).alias("kind"), F.col("id").alias("key"), F.lit(capacity).cast("long").alias("size")))
             opened += new
-        # gaps below the smallest item can take nothing any more; the others count as often as the largest fits, the first with what is over
-        parts = F.greatest(F.lit(1).cast("long"), F.floor(F.col("size") / now["high"]))
+        # gaps below the smallest item can take nothing any more; of small items the others count as often as the largest fits, the first with what is over
+        parts = F.greatest(F.lit(1).cast("long"), F.floor(F.col("size") / now["high"])) if now["high"] * FINE <= capacity else F.lit(1).cast("long")
         gaps = state.where((F.col("kind") == GAP) & (F.col("size") >= now["low"])).select("kind", "key", "size", parts.alias("_n")).select("kind", "key", "size", "_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_at"))
         gaps = gaps.select("kind", "key", (F.floor(F.col("size") / F.col("_n")) + F.when(F.col("_at") == 1, F.col("size") % F.col("_n")).otherwise(0)).cast("long").alias("size"))
         n = min(-(-2 * now["n"] // WORTH_A_TASK), tasks(spark, 2 * now["n"], ROWS_A_TASK))
