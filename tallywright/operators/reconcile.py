@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.session import cut
+from tallywright.session import cut, small
 
 #: The fuzzy policy's terms (exact, within one edit) in the order they are added, and thresholds.
 LAST, FIRST, BORN, EMAIL, ALTERNATE = (0.35, 0.25), (0.20, 0.12), 0.30, 0.15, 0.20
@@ -18,6 +18,8 @@ FUZZY_THRESHOLD, REVIEW_BELOW, SURE_ABOVE = 0.7, 0.15, 0.1
 STRONG = ("husid", "ucasPid", "altid")
 #: Letters from which a text is long.
 LONG = 60
+#: Pairs of one birth date or mailbox from which its rows meet by keys of the last name.
+MANY = 100_000
 
 
 def norm(c: Column) -> Column:
@@ -27,13 +29,13 @@ def norm(c: Column) -> Column:
 
 def near(a: Column, b: Column) -> Column:
     """Whether two texts are at most one edit apart, an exchange of neighbours being one: no function from outside is needed for one edit."""
-    plain = F.levenshtein(a, b)
+    plain = F.levenshtein(a, b, 2)  # -1 beyond
     i = F.lit(1)
     # the first place where they differ; after an exchange there they must be equal
     same = F.length(a) == F.length(b)
     at = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(a), i)), F.lit(0), lambda acc, n: F.when((acc == 0) & (F.substr(a, n, i) != F.substr(b, n, i)), n).otherwise(acc))
     swapped = F.concat(F.substr(b, i, F.greatest(at - 1, F.lit(0))), F.substr(b, at + 1, i), F.substr(b, at, i), F.substr(b, at + 2, F.length(b)))
-    return (plain <= 1) | (same & (plain == 2) & (at > 0) & (a == swapped))
+    return plain.between(0, 1) | (same & (plain == 2) & (at > 0) & (a == swapped))
 
 
 def osa(a: str, b: str, limit: int) -> int:
@@ -162,7 +164,8 @@ def match_fuzzy(a: DataFrame, b: DataFrame, a_key: str, b_key: str, last: str, f
     or has both names equal, or near last names and an equal birth date or e-mail address, or birth
     date and address equal: the terms allow no other. So equi-joins find all of them, at the default
     threshold. Near last names share one of their near_keys, which divide the rows of a birth date (a
-    placeholder, say) or a mailbox that very many share; none are left out.
+    placeholder, say) or a mailbox that makes more than MANY pairs; none are left out, and other
+    values' rows meet directly.
     """
     if threshold < FUZZY_THRESHOLD:
         raise ValueError("below the default threshold the joins would miss pairs")
@@ -170,14 +173,18 @@ def match_fuzzy(a: DataFrame, b: DataFrame, a_key: str, b_key: str, last: str, f
     keys = lambda d: alternate_keys(F.col(alternate)) if alternate else F.array().cast("array<string>")
     side = lambda d, key, s: d.select(F.col(key).alias(f"{s}_id"), *[norm(F.col(c).cast("string")).alias(f"{s}_{n}") for n, c in fields.items()], keys(d).alias(f"{s}_alt"))
     left, right = side(a, a_key, "a"), side(b, b_key, "b")
-    exploded = lambda d, s: d.where(f"{s}_born is not null or {s}_email is not null").select("*", F.explode(near_keys(F.col(f"{s}_last"), limit)).alias("_k"))
-    keyed = (exploded(left, "a"), exploded(right, "b"))
     both = lambda x, y: (F.col(f"a_{x}") == F.col(f"b_{x}")) & (F.col(f"a_{y}") == F.col(f"b_{y}"))
     parts = [left.join(right, both("last", "first")), left.join(right, both("born", "email"))]
     if alternate:
         parts.append(left.withColumn("_k", F.explode("a_alt")).join(right.withColumn("_k", F.explode("b_alt")), "_k").drop("_k"))
+    close = within(F.col("a_last"), F.col("b_last"), limit)
     for c in ("born", "email"):
-        l, r = keyed[0], keyed[1].withColumnRenamed("_k", "_kb")
+        counts = [d.where(f"{s}_{c} is not null").groupBy(F.col(f"{s}_{c}").alias("_v")).agg(F.count(F.lit(1)).alias(f"_n{s}")) for d, s in ((left, "a"), (right, "b"))]
+        hot = small(counts[0].join(counts[1], "_v").where(F.col("_na") * F.col("_nb") > MANY).select("_v"))
+        part = lambda d, s, how, c=c, hot=hot: d.join(hot, F.col(f"{s}_{c}") == F.col("_v"), how)
+        parts.append(part(left, "a", "left_anti").join(right, (F.col(f"a_{c}") == F.col(f"b_{c}")) & close))
+        keyed = lambda d, s, k: d.withColumn(k, F.explode(near_keys(F.col(f"{s}_last"), limit)))
+        l, r = keyed(part(left, "a", "left_semi"), "a", "_k"), keyed(part(right, "b", "left_semi"), "b", "_kb")
         parts.append(l.join(r, (F.col(f"a_{c}") == F.col(f"b_{c}")) & (F.col("_k") == F.col("_kb"))).drop("_k", "_kb"))
     pairs = reduce(DataFrame.unionByName, parts).distinct()
     eq = lambda n: F.coalesce(F.col(f"a_{n}") == F.col(f"b_{n}"), F.lit(False))

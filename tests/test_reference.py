@@ -19,7 +19,9 @@ def test_near_is_one_edit_or_exchange(spark):
     assert [r[0] for r in df.select(reconcile.near(F.col("a"), F.col("b"))).collect()] == [w for *_, w in pairs]
 
 
-def test_fuzzy_joins_lose_no_pair(spark):
+@pytest.mark.parametrize("many", [0, 20, 100_000])
+def test_fuzzy_joins_lose_no_pair(spark, monkeypatch, many):
+    monkeypatch.setattr(reconcile, "MANY", many)
     rng = random.Random(11)
     make = lambda: (rng.choice(["smith", "smyth", "jones", None]), rng.choice(["ann", "anne", "bob"]), rng.choice(["1", "2", "3", None]), rng.choice(["x", "y", "z", ""]))
     a, b = [(n, *make()) for n in range(40)], [(n, *make()) for n in range(40)]
