@@ -175,7 +175,7 @@ def match_fuzzy(a: DataFrame, b: DataFrame, a_key: str, b_key: str, last: str, f
     fields = {"last": last, "first": first, "born": born, "email": email}
     keys = lambda d: alternate_keys(F.col(alternate)) if alternate else F.array().cast("array<string>")
     side = lambda d, key, s: d.select(F.col(key).alias(f"{s}_id"), *[norm(F.col(c).cast("string")).alias(f"{s}_{n}") for n, c in fields.items()], keys(d).alias(f"{s}_alt"))
-    left, right = side(a, a_key, "a"), side(b, b_key, "b")
+    left, right = cut(side(a, a_key, "a")), cut(side(b, b_key, "b"))  # read by each join
     both = lambda x, y: (F.col(f"a_{x}") == F.col(f"b_{x}")) & (F.col(f"a_{y}") == F.col(f"b_{y}"))
     parts = [left.join(right, both("last", "first")), left.join(right, both("born", "email"))]
     if alternate:
