@@ -71,3 +71,40 @@ def test_capped(df):
     found = engine.run_rules(df, [engine.ColumnRule("R", "r", "INFO", lambda: F.lit(True)), engine.ColumnRule("S", "s", "INFO", lambda: F.lit(True))], "E", "id")
     assert sorted((r["rule_id"], r["subject_id"]) for r in engine.capped(found, 2).collect()) == [("R", "1"), ("R", "2"), ("S", "1"), ("S", "2")]
     assert engine.capped(found, 2, 3).count() == 3
+
+
+def test_not_in_of_large_tables_is_not_gathered(spark):
+    from tallywright.queries.rule_shapes import RULES
+
+    tables = {"orders": spark.range(1000).toDF("o_orderkey"), "lineitem": spark.range(999).toDF("l_orderkey")}
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = engine.run_sql(spark, engine.SqlRule("N", "n", "ERROR", RULES["rule_ref_not_in_null_aware"][0]), tables)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "LeftAnti" in plan and "Broadcast" not in plan
+        assert sorted((r["subject_id"], r["evidence"]["n"]) for r in found.collect()) == [("1", "1"), ("2", "0")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+@pytest.mark.parametrize("given", [[1, 2], [1, None], [None], []])
+@pytest.mark.parametrize(
+    "where",
+    [
+        "x NOT IN (SELECT v FROM {g})", "l.x NOT IN (SELECT v FROM {g}) AND x > 1", "x = 3 OR (x NOT IN (SELECT v FROM {g}))", "NOT x NOT IN (SELECT v FROM {g})",
+        "s <> ') AND x NOT IN (SELECT' AND x NOT IN (SELECT v FROM {g} WHERE ')' = ')' -- it's the last )\n)", "x NOT IN (SELECT v FROM {g} WHERE v NOT IN (SELECT x FROM {l} WHERE x > 1))", "TRUE AND x + 1 NOT IN (SELECT v FROM {g})", "x NOT IN (SELECT v FROM {g} WHERE v = l.x)",
+    ],
+)
+def test_not_in_by_joins_means_the_same(spark, rows, given, where):
+    tables = {"l": spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (3, "c"), (None, "d")], "x int, s string"), "g": spark.createDataFrame([(v,) for v in given], "v int")}
+    sql = f"SELECT x AS subject_id, s FROM {{l}} l WHERE {where}"
+    used = {n: t for n, t in tables.items() if "{" + n + "}" in sql}
+    assert rows(engine.run_sql(spark, engine.SqlRule("N", "n", "ERROR", sql), tables).select("subject_id", F.col("evidence")["s"])) == [(None if r[0] is None else str(r[0]), r[1]) for r in rows(spark.sql(sql, **used))]
+
+
+@pytest.mark.parametrize(("given", "unknown"), [([1, 2], [None]), ([1, None], [2, 3, 3, None]), ([], [])])
+def test_not_in_by_joins_knows_the_unknown(spark, given, unknown):
+    tables = {"l": spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "x int"), "g": spark.createDataFrame([(v,) for v in given], "v int")}
+    found = engine.run_sql(spark, engine.SqlRule("N", "n", "ERROR", "SELECT x AS subject_id FROM {l} WHERE (x NOT IN (SELECT v FROM {g})) IS NULL"), tables)
+    assert sorted((r["subject_id"] for r in found.collect()), key=str) == sorted((None if x is None else str(x) for x in unknown), key=str)
