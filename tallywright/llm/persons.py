@@ -296,11 +296,12 @@ PAIR = "bits double, email bigint, post bigint, words array<string>"
 def settle(pairs: DataFrame, counts: DataFrame, known: Evidence, threshold: float) -> DataFrame:
     """Rows (a, b, bits), the most of each pair, with the exact counts of all values, as far as they reach the threshold.
 
-    pairs has (a, b) and PAIR. Values that are not frequent count in it as if they occurred once,
+    pairs has (a, b) and PAIR; what else it has of a and b goes on. Values that are not frequent count in it as if they occurred once,
     which gives no less than their bits; the pairs that reach the threshold so are few, and only
     their values are looked up in the tally.
     """
     value = lambda kind, v, w: F.xxhash64(kind, v, w)
+    pair = ["a", "b", *(c for c in pairs.columns if c not in ("a", "b", *PAIR_NAMES))]
     none, no_word = F.lit(None).cast("bigint"), F.lit(None).cast("string")
     own = F.concat(
         F.filter(F.array(*[F.when(F.col(c).isNotNull(), value(F.lit(n), F.col(c), no_word)) for n, c in enumerate(KINDS) if n]), lambda x: x.isNotNull()),
@@ -310,11 +311,11 @@ def settle(pairs: DataFrame, counts: DataFrame, known: Evidence, threshold: floa
     if known.least > 2:
         counts = counts.where((F.col("kind") > 0) & (F.col("c") < known.least)).select(value(F.col("kind"), F.col("value"), F.col("word")).alias("v"), (F.lit(known.most) - F.log2(F.lit(float(known.n)) / F.col("c"))).alias("less"))
         # of pairs with the same values the one with most bits has most bits in the end
-        pairs = pairs.groupBy("a", "b", F.sort_array(own).alias("rare")).agg(F.max("bits").alias("bits"))
-        each = pairs.select("a", "b", "rare", "bits", F.explode_outer("rare").alias("v")).join(counts, "v", "left")
-        each = each.repartition("a", "b").groupBy("a", "b", "rare").agg(F.first("bits").alias("bits"), F.sum(F.col("less").cast("decimal(18,9)")).cast("double").alias("less"))
-        pairs = each.select("a", "b", (F.col("bits") - F.coalesce("less", F.lit(0.0))).alias("bits")).where(F.col("bits") >= threshold)
-    return pairs.groupBy("a", "b").agg(F.max("bits").alias("bits"))
+        pairs = pairs.groupBy(*pair, F.sort_array(own).alias("rare")).agg(F.max("bits").alias("bits"))
+        each = pairs.select(*pair, "rare", "bits", F.explode_outer("rare").alias("v")).join(counts, "v", "left")
+        each = each.repartition("a", "b").groupBy(*pair, "rare").agg(F.first("bits").alias("bits"), F.sum(F.col("less").cast("decimal(18,9)")).cast("double").alias("less"))
+        pairs = each.select(*pair, (F.col("bits") - F.coalesce("less", F.lit(0.0))).alias("bits")).where(F.col("bits") >= threshold)
+    return pairs.groupBy(*pair).agg(F.max("bits").alias("bits"))
 
 
 def numbers(t: pa.Table, name: str) -> np.ndarray:

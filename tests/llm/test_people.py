@@ -267,3 +267,19 @@ def test_dividing_hot_addresses_loses_no_pair(spark, monkeypatch):
     whole = links()
     monkeypatch.setattr(N, "HOT_ADDRESS", 50)
     assert len(whole) > 100 and links() == whole
+
+
+@pytest.mark.parametrize(("sure", "kept"), [(400_000, [24.6, 25.0, 27.1]), (10, [27.1])])
+def test_enough_bits_are_enough_in_a_large_table(spark, sure, kept):
+    sizes = {0: 1 << 22, 1: 5}
+    assert N.looked_at(1 << 22) < 3 and N.looked_at(1000) == N.MARGIN
+    links = spark.createDataFrame([(0, bits) for bits in (24.0, 24.6, 25.0, 27.1)] + [(1, 26.0)], "source int, bits double").unionByName(spark.range(sure).selectExpr("0 as source", "50d as bits"))
+    assert sorted(tuple(r) for r in N.likely(links, sizes).where("bits < 50").collect()) == [*((0, bits) for bits in kept), (1, 26.0)]
+    assert N.likely(links.limit(0), {}).count() == 0
+
+
+def test_a_lower_margin_adds_links_and_keeps_their_source(spark):
+    data = [(f"{p}-{c}", f, None, LAST[p % 12], f"19{50 + p % 40}-0{1 + p % 9}-1{p % 10}", None, None) for p in range(60) for c, f in enumerate([FIRST[p % 10], FIRST[p % 10][0]])]
+    recs = records(spark, data).unionByName(records(spark, data, 1)).withColumn("person", F.xxhash64("source", "key"))
+    few, many = ({(r["source"], r["a"], r["b"]) for r in N.link(recs, m).collect()} for m in (N.MARGIN, N.LEAST_MARGIN))
+    assert few < many and {s for s, _, _ in many} == {0, 1}
